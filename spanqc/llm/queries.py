@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import contamination, digest
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .token_counts import token_counts
+from .url_filter import judge
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,73 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_benchmark_decontamination)}
+#: The rules of op7: a host with the beginning of a path.
+ALLOWED = ["com/", "www.example.com/en/"]
+BLOCKED = ["example.com/en/", "net/es/", "net/fr/"]
 
-ORACLES: dict[str, str] = {}
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), ALLOWED, BLOCKED)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_benchmark_decontamination, op7_url_filter, op8_source_mixing)
+}
+
+ORACLES: dict[str, str] = {
+    "op7_url_filter": """
+        WITH rest AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parts AS (
+            SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rest
+        ), rules(rule, verdict) AS (
+            VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')
+        ), fits AS (
+            SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+            FROM parts JOIN rules
+              ON (host = split_part(rule, '/', 1) OR suffix(host, '.' || split_part(rule, '/', 1)))
+             AND starts_with(path, substr(rule, strpos(rule, '/')))
+            GROUP BY page_id
+        )
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+        FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id
+    """,
+    "op8_source_mixing": """
+        WITH sized AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint AS size FROM documents
+        ), totals AS (
+            SELECT source, sum(size)::bigint AS source_size, count(*) AS documents FROM sized GROUP BY source
+        ), weighed AS (
+            SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::double WHEN 1 THEN 1.0::double ELSE 2.0::double END AS weight FROM totals
+        ), summed AS (
+            SELECT *, row_number() OVER line AS pos, sum(source_size) OVER ()::double AS total,
+                   coalesce(sum(source_size) OVER (line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double AS stopped,
+                   sum(weight) OVER () - coalesce(sum(weight) OVER (line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_left
+            FROM weighed WINDOW line AS (ORDER BY source_size / weight, source NULLS LAST)
+        ), levels AS (
+            SELECT *, (1.5::double * total - 2 * stopped) / weight_left AS level FROM summed
+        ), chosen AS (
+            SELECT arg_min(level, pos) AS level FROM levels WHERE level * weight <= 2 * source_size
+        ), targets AS (
+            SELECT l.source, l.source_size, l.documents, least(2.0::double * l.source_size, c.level * l.weight) AS target FROM levels l, chosen c
+        ), placed AS (
+            SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
+                   ('0x' || substr(md5(concat_ws(':', '42', s.doc_id::varchar)), 1, 8))::bigint
+                     % greatest(1, ceil(t.documents::double / greatest(2048, floor(sqrt(t.documents))))::bigint) AS block
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+        ), lined AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY block, CASE WHEN block % 2 = 0 THEN size ELSE -size END, doc_id NULLS LAST) - 1 AS place,
+                   CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::double END AS ratio,
+                   ('0x' || substr(md5('offset 42:' || coalesce('=' || source, 'null')), 1, 8))::bigint / 4294967296.0::double AS start
+            FROM placed
+        )
+        SELECT doc_id, size, source_size, target, ((floor((place + 1) * ratio + start) - floor(place * ratio + start))::bigint * size)::bigint AS taken
+        FROM lined
+    """,
+}
