@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import contamination, digest
+from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .quality import score
 from .token_counts import token_counts
 from .url_filter import judge
 
@@ -19,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,8 +46,21 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_benchmark_decontamination, op7_url_filter, op8_source_mixing)
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op3_language_id,
+        op4_simhash_near_dedup,
+        op5_benchmark_decontamination,
+        op7_url_filter,
+        op8_source_mixing,
+        op10_quality_classifier,
+    )
 }
 
 ORACLES: dict[str, str] = {
