@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +48,15 @@ def text_bytes(column: str) -> Column:
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions in the block give Python processes at most so many rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

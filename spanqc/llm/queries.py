@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import shared_path, table
 from .decontamination import contamination, digest
 from .language_id import identify
 from .mixing import mix
@@ -15,6 +15,7 @@ from .near_dedup import near_duplicates
 from .quality import score
 from .token_counts import token_counts
 from .url_filter import judge
+from .warc import page_digests, read_archives, write_archives
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return page_digests(read_archives(spark, folder, data=False))
+
+
 #: The rules of op7: a host with the beginning of a path.
 ALLOWED = ["com/", "www.example.com/en/"]
 BLOCKED = ["example.com/en/", "net/es/", "net/fr/"]
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_language_id,
         op4_simhash_near_dedup,
         op5_benchmark_decontamination,
+        op6_warc_chunks,
         op7_url_filter,
         op8_source_mixing,
         op10_quality_classifier,
@@ -64,6 +72,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_warc_chunks": """
+        WITH sized AS (
+            SELECT page_id, octet_length(encode(coalesce(html, '')))::bigint AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), shared AS (
+            SELECT payload_digest AS d, max(page_id) AS original FROM sized WHERE payload_bytes >= 1000 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> original THEN original END AS refers_to
+        FROM sized LEFT JOIN shared ON payload_digest = d AND payload_bytes >= 1000
+    """,
     "op7_url_filter": """
         WITH rest AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
