@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import render
 from .common import shared_path, table
 from .decontamination import contamination, digest
 from .language_id import identify
@@ -22,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(table(spark, sf_dir, "conversations"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_chat_formatting,
         op3_language_id,
         op4_simhash_near_dedup,
         op5_benchmark_decontamination,
@@ -72,6 +78,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat_formatting": """
+        WITH lists AS (
+            SELECT conv_id, count(*)::bigint AS n_turns,
+                   list(length(role)::varchar || ':' || role || length(text)::varchar || ':' || text ORDER BY turn) AS turns,
+                   string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
+            FROM conversations GROUP BY conv_id
+        ), begun AS (
+            SELECT DISTINCT list_slice(turns, 1, k)::varchar AS beginning, k FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM lists)
+        )
+        SELECT conv_id, n_turns, rendered FROM lists
+        WHERE NOT EXISTS (SELECT 1 FROM begun WHERE k = n_turns AND beginning = turns::varchar)
+    """,
     "op6_warc_chunks": """
         WITH sized AS (
             SELECT page_id, octet_length(encode(coalesce(html, '')))::bigint AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
