@@ -142,7 +142,7 @@ def phrase_blocks(benchmark: DataFrame, item_column: str, text_column: str, widt
     return out
 
 
-def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", width: int = 10) -> DataFrame:
+def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", width: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """Where texts hold windows of benchmark items.
 
     Words are runs of 0-9, a-z (A-Z count as lower case) and characters beyond
@@ -150,14 +150,15 @@ def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     but not none, is one window. Returns a row for each row: ``id_column``, ``n_words``,
     ``n_hit`` (words inside any occurrence), ``items`` (the different ids, as
     strings in order, of items with an occurring window) and ``spans`` (merged
-    removal spans, from word to word, end exclusive). Null and empty texts have
+    removal spans, from word to word, end exclusive), and the columns ``keep``. Null and empty texts have
     no words, null and repeated ids keep their rows; an item without an id marks
     words but isn't listed, items that repeat an id count once; other columns
     are left aside. Either table may be empty.
     """
     blocks = phrase_blocks(benchmark, item_column, item_text_column, width)
     span = StructType().add("start", LongType()).add("end", LongType())
-    schema = StructType().add("id", frame.schema[id_column].dataType).add("n_words", LongType()).add("n_hit", LongType()).add("items", ArrayType(StringType())).add("spans", ArrayType(span))
+    plain = frame.select(text_bytes(text_column).alias("__text"), id_column, *keep)
+    schema = StructType([plain.schema[c] for c in plain.columns[1:]]).add("n_words", LongType()).add("n_hit", LongType()).add("items", ArrayType(StringType())).add("spans", ArrayType(span))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +172,7 @@ def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_
                     shard.search(block.value, spans, items)
                 return Shard(width)
 
-            for owner, text in enumerate(batch.column(1)):
+            for owner, text in enumerate(batch.column(0)):
                 n = 0
                 for first, new, words in pieces(text.as_py() or b"", width - 1):
                     n += new
@@ -183,17 +184,16 @@ def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_
             every = [merged(spans.get(k, [])) for k in range(len(counts))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[1:],
                     pa.array(counts, pa.int64()),
                     pa.array([sum(b - a for a, b in own) for own in every], pa.int64()),
                     pa.array([sorted(items.get(k, ())) for k in range(len(counts))], pa.list_(pa.string())),
                     pa.array([[{"start": a, "end": b} for a, b in own] for own in every], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
-                ["id", "n_words", "n_hit", "items", "spans"],
+                [*batch.schema.names[1:], "n_words", "n_hit", "items", "spans"],
             )
 
-    plain = frame.select(F.col(id_column).alias("id"), text_bytes(text_column).alias("text"))
-    return plain.mapInArrow(searched, schema).withColumnRenamed("id", id_column)
+    return plain.mapInArrow(searched, schema)
 
 
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
