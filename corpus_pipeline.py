@@ -20,9 +20,6 @@ from spanqc.llm.mixing import mix
 from spanqc.llm.near_dedup import near_duplicates
 from spanqc.llm.quality import score
 
-#: Share of the chances that the likeliest language needs.
-LEAST_LANGUAGE_SCORE = 0.5
-
 
 def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The documents with columns c0, c1, ..., which no operator's results clash with; and the new name of each."""
@@ -46,10 +43,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language; those without letters or of none with a majority of the chances go."""
+    """Documents whose language is identified; those without a letter are of none, and go."""
     plain, names = plain_names(docs)
     judged = identify(plain, public_tokenizers.path("piece_bpe_32k.model"), names["doc_id"], names["text"], names["lang"], keep=others(names))
-    return named_back(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)), names)
+    return named_back(judged.where(F.col("lang_pred") != "und"), names)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
