@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bm25 import top_k
 from .chat import render
 from .common import shared_path, table
 from .decontamination import contamination, digest
@@ -58,6 +59,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_warc_chunks,
         op7_url_filter,
         op8_source_mixing,
+        op9_bm25_top_k,
         op10_quality_classifier,
     )
 }
@@ -152,4 +158,32 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target, ((floor((place + 1) * ratio + start) - floor(place * ratio + start))::bigint * size)::bigint AS taken
         FROM lined
     """,
+    "op9_bm25_top_k": """
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word
+            FROM documents
+        ), counts AS (
+            SELECT doc_id, word, count(*) AS n FROM words GROUP BY doc_id, word
+        ), lengths AS (
+            SELECT doc_id, sum(n)::double AS length FROM counts GROUP BY doc_id
+        ), size AS (
+            SELECT (SELECT count(*) FROM documents) AS documents, (SELECT sum(n) FROM counts)::double / (SELECT count(*) FROM documents) AS mean
+        ), frequencies AS (
+            SELECT word, ln(1 + (documents - count(*) + 0.5) / (count(*) + 0.5)) AS weight FROM counts, size GROUP BY word, documents
+        ), shares AS (
+            SELECT c.doc_id, c.word, f.weight, f.weight * (c.n * 2.2 / (c.n + 1.2 * (1 - 0.75 + 0.75 * l.length / s.mean)))::double AS share
+            FROM counts c JOIN lengths l ON c.doc_id = l.doc_id JOIN frequencies f ON c.word = f.word, size s
+        ), asked AS (
+            SELECT query_id, word FROM (
+                SELECT doc_id AS query_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY round(share, 6) DESC, word) AS place
+                FROM shares WHERE doc_id % 20 = 0
+            ) WHERE place <= 12
+        ), scored AS (
+            SELECT query_id, doc_id, round(sum(share), 6) AS score FROM asked JOIN shares USING (word) GROUP BY query_id, doc_id
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored
+        )
+        SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
