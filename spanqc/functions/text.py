@@ -22,6 +22,15 @@ def or_empty(c: Column | str) -> Column:
     return F.coalesce(column(c).cast("string"), F.lit(""))
 
 
+def let(result, **columns: Column) -> Column:  # noqa: ANN001
+    """``result`` of a struct of columns, each worked out once however often it is used.
+
+    Filters that are pushed below a projection repeat its expressions; a bound variable isn't repeated.
+    """
+    bound = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return F.get(F.transform(bound, result), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(column(c), r"(?U)^\s+|\s+\z", "")

@@ -162,14 +162,26 @@ def english(kind: Column | str) -> Column:
 
 def heuristics(frame: DataFrame, old_kind: bool = False, exact: bool = False, rules: SemanticRules = RULES, old_rules: SemanticRules = OLD_RULES) -> DataFrame:
     """Adds ``question_kind``, ``semantic_flag_v1``, ``semantic_score``, ``semantic_flag_v2`` and the active ``semantic_heuristic_flag``."""
-    kinded = frame.withColumns({"question_kind": question_kind("question", old_kind, exact), "_a": T.normalize("answer_text", exact), "_c": T.normalize("context", exact)})
-    args = (F.col("question_kind"), F.col("_a"), F.col("_c"), F.col("qc_status"))
-    return kinded.withColumns({"semantic_flag_v1": old_rules.score(*args) >= 1, "semantic_score": rules.score(*args)}).withColumns(
-        {"semantic_flag_v2": F.col("semantic_score") >= 1, "semantic_heuristic_flag": F.col("semantic_score") >= 1}
-    ).drop("_a", "_c")
+    def both(x: Column) -> Column:
+        args = (x["kind"], x["answer"], x["context"], x["status"])
+        return F.struct((old_rules.score(*args) >= 1).alias("old"), rules.score(*args).alias("score"))
+
+    kind = question_kind("question", old_kind, exact)
+    answer, context = T.normalize("answer_text", exact), T.normalize("context", exact)
+    if exact:  # a Python function can't stand inside another function
+        frame = frame.withColumns({"_k": kind, "_a": answer, "_c": context})
+        kind, answer, context = F.col("_k"), F.col("_a"), F.col("_c")
+    found = T.let(both, kind=kind, answer=answer, context=context, status=F.col("qc_status"))
+    flag = F.col("_found.score") >= 1
+    return frame.withColumns({"question_kind": kind, "_found": found}).withColumns(
+        {"semantic_flag_v1": F.col("_found.old"), "semantic_score": F.col("_found.score"), "semantic_flag_v2": flag, "semantic_heuristic_flag": flag}
+    ).drop("_found", "_k", "_a", "_c")
 
 
 def audit_flag(frame: DataFrame, rules: SemanticRules = RULES) -> DataFrame:
     """The flag as the audit computes it: accents stay in texts, and the kind is a column of the rows."""
-    score = rules.score(F.lower(T.or_empty("question_kind")), T.collapse("answer_text"), T.collapse("context"), F.col("qc_status"))
+    score = T.let(
+        lambda x: rules.score(x["kind"], x["answer"], x["context"], x["status"]),
+        kind=F.lower(T.or_empty("question_kind")), answer=T.collapse("answer_text"), context=T.collapse("context"), status=F.col("qc_status"),
+    )
     return frame.withColumn("audit_flag", score >= 1)

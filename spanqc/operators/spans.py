@@ -47,43 +47,44 @@ def extractive_validity(frame: DataFrame, exact: bool = False, normal=None) -> D
     normal form; its answers are wanted only where no literal match is.
     """
     normal = normal or (lambda c: T.normalize(c, exact))
-    context, answer = T.or_empty("context"), T.strip(T.or_empty("answer_text"))
-    impossible = F.lower(T.strip(T.or_empty("is_impossible"))) == IMPOSSIBLE
-    count = T.count_overlapping(context, answer)
-    blank = F.col("_answer") == ""
-    n = F.col("_count")
-    looked = frame.withColumn("_answer", answer).withColumn("_impossible", impossible).withColumn("_count", count)
-    undecided = ~F.col("_impossible") & ~blank & (F.col("_answer") != SENTINEL) & (n == 0)
-    if exact:
-        # The Python function sees only the rows that need it; others give it nothing to do.
-        looked = looked.withColumn("_nc", normal(F.when(undecided, context))).withColumn("_na", normal(F.when(undecided, F.col("_answer"))))
-    else:
-        looked = looked.withColumn("_nc", F.when(undecided, normal(context))).withColumn("_na", F.when(undecided, normal(F.col("_answer"))))
-    by_form = F.coalesce(undecided & (F.col("_na") != "") & F.contains(F.col("_nc"), F.col("_na")), F.lit(False))
-    status = (
-        F.when(F.col("_impossible") & (F.col("_answer") == SENTINEL), "no_answer_clean")
-        .when(F.col("_impossible") & blank, "no_answer_empty")
-        .when(F.col("_impossible") & (n > 0), "imposible_but_span_present")
-        .when(F.col("_impossible"), "no_answer_free_text")
-        .when(blank | (F.col("_answer") == SENTINEL), "respondido_no_answer")
-        .when(n == 1, "extractive_valid_unique")
-        .when(n >= 2, "extractive_ambiguous")
-        .when(by_form, "extractive_only_normalized")
-        .otherwise("non_extractive_or_hallucinated")
-    )
-    answered = ~F.col("_impossible") & ~blank & (F.col("_answer") != SENTINEL)
-    literal = answered & (n > 0)
-    return looked.withColumns(
-        {
-            "literal_match": literal,
-            "norm_match": literal | by_form,
-            "literal_match_count": F.when(answered | F.col("_impossible"), n).otherwise(0),
-            "recomputed_answer_start": F.when(literal, T.find(context, F.col("_answer"))).otherwise(-1),
-            "provided_offset_valid": literal & valid_offset(context, F.col("_answer"), F.col("answer_start"), F.col("answer_end")),
-            "qc_status": status,
-            "answer_words": T.word_count("answer_text"),
-        }
-    ).drop("_answer", "_impossible", "_count", "_nc", "_na")
+    label = F.lower(T.strip(T.or_empty("is_impossible")))
+
+    def counted(x: Column) -> Column:
+        said = ~x["impossible"] & (x["answer"] != "") & (x["answer"] != SENTINEL)
+        count = T.count_overlapping(x["context"], x["answer"])
+        return F.struct(x["answer"].alias("answer"), x["impossible"].alias("impossible"), said.alias("said"), count.alias("n"))
+
+    looked = frame.withColumn("_l", T.let(counted, answer=T.strip(T.or_empty("answer_text")), impossible=label == IMPOSSIBLE, context=T.or_empty("context")))
+    undecided = F.col("_l.said") & (F.col("_l.n") == 0)
+    # Only undecided rows are normalised; a Python function gets nothing for the others.
+    form = (lambda c: normal(F.when(undecided, c))) if exact else (lambda c: F.when(undecided, normal(c)))
+    looked = looked.withColumns({"_nc": form(T.or_empty("context")), "_na": form(F.col("_l.answer"))})
+
+    def decided(x: Column) -> Column:
+        answer, impossible, said, n = (x["l"][name] for name in ("answer", "impossible", "said", "n"))
+        literal = said & (n > 0)
+        by_form = F.coalesce(said & (n == 0) & (x["na"] != "") & F.contains(x["nc"], x["na"]), F.lit(False))
+        status = (
+            F.when(impossible & (answer == SENTINEL), "no_answer_clean")
+            .when(impossible & (answer == ""), "no_answer_empty")
+            .when(impossible & (n > 0), "imposible_but_span_present")
+            .when(impossible, "no_answer_free_text")
+            .when(~said, "respondido_no_answer")
+            .when(n == 1, "extractive_valid_unique")
+            .when(n >= 2, "extractive_ambiguous")
+            .when(by_form, "extractive_only_normalized")
+            .otherwise("non_extractive_or_hallucinated")
+        )
+        return F.struct(
+            literal.alias("literal_match"), (literal | by_form).alias("norm_match"), F.when(said | impossible, n).otherwise(0).alias("literal_match_count"),
+            F.when(literal, T.find(x["context"], answer)).otherwise(-1).alias("recomputed_answer_start"),
+            (literal & valid_offset(x["context"], answer, x["start"], x["end"])).alias("provided_offset_valid"), status.alias("qc_status"),
+        )
+
+    verdict = T.let(decided, l=F.col("_l"), nc=F.col("_nc"), na=F.col("_na"), context=T.or_empty("context"), start=F.col("answer_start"), end=F.col("answer_end"))
+    names = ("literal_match", "norm_match", "literal_match_count", "recomputed_answer_start", "provided_offset_valid", "qc_status")
+    out = looked.withColumn("_v", verdict).withColumns({**{name: F.col(f"_v.{name}") for name in names}, "answer_words": T.word_count("answer_text")})
+    return out.drop("_l", "_nc", "_na", "_v")
 
 
 def row_id(model: Column | str) -> Column:
