@@ -128,10 +128,13 @@ def check_shares(train: float, dev: float, test: float) -> None:
 
 
 def ranked(ids: DataFrame, key: str, seed: int, buckets: int = 1024) -> DataFrame:
-    """Ids with ``place`` from 0 in hash order; sums over buckets of the hash, so no task sees all of them."""
+    """Ids with ``place`` from 0 in hash order, and ``n_keys``; sums over buckets of the hash, so no task sees all of them."""
     hashed = ids.withColumn("_h", hash_order(seed, key)).withColumn("_b", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     sizes = hashed.groupBy("_b").count()
-    before = sizes.select(F.col("_b").alias("_bucket"), F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(
+        F.col("_b").alias("_bucket"), F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"), F.sum("count").over(Window.partitionBy()).alias("n_keys")
+    )
     inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
     placed = hashed.withColumn("_in", inside).join(F.broadcast(before), F.col("_b") == F.col("_bucket"))  # at most ``buckets`` rows
     return placed.withColumn("place", (F.col("_before") + F.col("_in")).cast("long")).drop("_h", "_b", "_bucket", "_before", "_in")
@@ -146,8 +149,7 @@ def split_by_key(frame: DataFrame, key: str = "context_id", train: float = 0.8,
     check_shares(train, dev, test)
     ids = frame.select(key).where(F.col(key).isNotNull()).distinct()
     ids = ids.orderBy(key).limit(max(0, limit)) if limit is not None else ids
-    n = ids.count()
-    tests, devs = round(n * test), round(n * dev)
+    tests, devs = (F.bround(F.col("n_keys") * F.lit(share), 0) for share in (test, dev))
     place = F.col("place")
     return ranked(ids, key, seed).select(key, F.when(place < tests, "test").when(place < tests + devs, "validation").otherwise("train").alias("split"))
 
@@ -186,7 +188,7 @@ def prepared_splits(parts: dict[str, DataFrame], dev: float = 0.1, test: float =
 def shards(frame: DataFrame, key: str, workers: int, seed: int | None = None) -> DataFrame:
     """Rows with ``place`` in order of key and ``shard``, every ``workers``-th row alike."""
     ids = frame.select(key).distinct()
-    order = ids.withColumn("place", (F.row_number().over(Window.orderBy(key)) - 1).cast("long")) if seed is None else ranked(ids, key, seed)
+    order = ids.withColumn("place", (F.row_number().over(Window.orderBy(key)) - 1).cast("long")) if seed is None else ranked(ids, key, seed).drop("n_keys")
     return frame.join(order.withColumn("shard", F.pmod("place", F.lit(workers))), key)
 
 

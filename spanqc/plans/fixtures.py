@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import semantics, spans
 from ..schemas import ANSWERED, IMPOSSIBLE, SENTINEL, WORDS_HIGH, WORDS_LOW
+from ..sources.tables import read_table as table
 
 #: The five questions, one of each kind.
 QUESTIONS = (
@@ -20,10 +21,6 @@ QUESTIONS = (
 FOREIGN = "0000 respuesta ajena"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of 82 to 150 words. That they have 163 characters at least is implied, and can be pushed to the scan."""
     rows = table(spark, sf_dir, "documents").where((F.col("n_chars") >= 2 * WORDS_LOW - 1) & T.word_count("text").between(WORDS_LOW, WORDS_HIGH))
