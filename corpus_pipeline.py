@@ -13,12 +13,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanqc.llm.common import cut, shared_path, table
+from spanqc.llm.common import cut, shared_path
 from spanqc.llm.decontamination import contamination
 from spanqc.llm.language_id import identify
 from spanqc.llm.mixing import mix
 from spanqc.llm.near_dedup import near_duplicates
 from spanqc.llm.quality import score
+from spanqc.sources.tables import read_table
 
 
 def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -38,7 +39,7 @@ def named_back(kept: DataFrame, names: dict[str, str]) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts good; it learns from the labels of these documents."""
     plain, names = plain_names(docs)
-    judged = score(plain, table(spark, sf_dir, "labels"), names["doc_id"], names["text"], names.get("n_chars"), keep=others(names))
+    judged = score(plain, read_table(spark, sf_dir, "labels"), names["doc_id"], names["text"], names.get("n_chars"), keep=others(names))
     return named_back(judged.where("predicted = 1"), names)
 
 
@@ -62,7 +63,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     plain, names = plain_names(docs)
-    found = contamination(plain, table(spark, sf_dir, "benchmark"), names["doc_id"], names["text"], keep=others(names))
+    found = contamination(plain, read_table(spark, sf_dir, "benchmark"), names["doc_id"], names["text"], keep=others(names))
     return named_back(found.where("n_hit = 0"), names)
 
 
@@ -86,7 +87,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; what each keeps is written to the shared folder and read again."""
     folder = shared_path(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
 from .bm25 import top_k
 from .chat import render
-from .common import shared_path, table
+from .common import shared_path
 from .decontamination import contamination, digest
 from .language_id import identify
 from .mixing import mix
@@ -21,28 +22,28 @@ from .warc import page_digests, read_archives, write_archives
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render(table(spark, sf_dir, "conversations"))
+    return render(read_table(spark, sf_dir, "conversations"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return identify(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return digest(contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
 def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "archives")
-    write_archives(table(spark, sf_dir, "pages"), folder)
+    write_archives(read_table(spark, sf_dir, "pages"), folder)
     return page_digests(read_archives(spark, folder, data=False))
 
 
@@ -52,19 +53,19 @@ BLOCKED = ["example.com/en/", "net/es/", "net/fr/"]
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), ALLOWED, BLOCKED)
+    return judge(read_table(spark, sf_dir, "pages"), ALLOWED, BLOCKED)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(read_table(spark, sf_dir, "documents"))
 
 
 def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "documents"))
+    return top_k(read_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
