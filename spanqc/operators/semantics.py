@@ -146,15 +146,18 @@ RULES = SemanticRules(
 )
 
 
-def question_kind(question: Column | str, old: bool = False, exact: bool = False) -> Column:
-    """The first kind with a keyword in the normalised question, else ``otro``."""
-    q = T.normalize(question, exact)
+def kind_of(normal: Column, old: bool = False) -> Column:
+    """The first kind with a keyword in the normal form of a question, else ``otro``."""
     out = F.lit("otro")
     for kind, words in reversed(OLD_KIND_KEYWORDS if old else KIND_KEYWORDS):
-        out = F.when(T.any_hint(q, words), kind).otherwise(out)
+        out = F.when(T.any_hint(normal, words), kind).otherwise(out)
     return out
 
 
+def question_kind(question: Column | str, old: bool = False) -> Column:
+    return kind_of(T.normalize_fast(question), old)
+
+
 def english(kind: Column | str) -> Column:
     names = F.create_map(*[F.lit(x) for pair in KIND_NAMES.items() for x in pair])
     return F.coalesce(F.try_element_at(names, T.column(kind)), F.lit("other"))
@@ -166,16 +169,15 @@ def heuristics(frame: DataFrame, old_kind: bool = False, exact: bool = False, ru
         args = (x["kind"], x["answer"], x["context"], x["status"])
         return F.struct((old_rules.score(*args) >= 1).alias("old"), rules.score(*args).alias("score"))
 
-    kind = question_kind("question", old_kind, exact)
-    answer, context = T.normalize("answer_text", exact), T.normalize("context", exact)
+    normal = {"_q": T.normalize("question", exact), "_a": T.normalize("answer_text", exact), "_c": T.normalize("context", exact)}
     if exact:  # a Python function can't stand inside another function
-        frame = frame.withColumns({"_k": kind, "_a": answer, "_c": context})
-        kind, answer, context = F.col("_k"), F.col("_a"), F.col("_c")
+        frame, normal = frame.withColumns(normal), {name: F.col(name) for name in normal}
+    kind, answer, context = kind_of(normal["_q"], old_kind), normal["_a"], normal["_c"]
     found = T.let(both, kind=kind, answer=answer, context=context, status=F.col("qc_status"))
     flag = F.col("_found.score") >= 1
     return frame.withColumns({"question_kind": kind, "_found": found}).withColumns(
         {"semantic_flag_v1": F.col("_found.old"), "semantic_score": F.col("_found.score"), "semantic_flag_v2": flag, "semantic_heuristic_flag": flag}
-    ).drop("_found", "_k", "_a", "_c")
+    ).drop("_found", "_q", "_a", "_c")
 
 
 def audit_flag(frame: DataFrame, rules: SemanticRules = RULES) -> DataFrame:

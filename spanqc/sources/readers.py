@@ -23,8 +23,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType) -
 def read_jsonl_tolerant(spark: SparkSession, path: str | list[str], schema: StructType = CANDIDATE) -> tuple[DataFrame, DataFrame]:
     """JSON lines as good rows and bad lines; paths may be patterns, as of workers' shards."""
     wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    named = rows.withColumn("source_file", F.col("_metadata.file_path"))
+    lines = spark.read.text(path).where(T.strip("value") != "").select(F.col("_metadata.file_path").alias("source_file"), "value")
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    named = lines.select("source_file", parsed.alias("r")).select("source_file", "r.*")
     return named.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "source_file"), named.where(F.col(CORRUPT).isNotNull()).select("source_file", F.col(CORRUPT).alias("line"))
 
 
@@ -62,7 +63,7 @@ def read_metric_files(spark: SparkSession, root: str, schema: StructType, patter
 
 def read_logs(spark: SparkSession, root: str, pattern: str = "*.log") -> DataFrame:
     """Whole logs with their path relative to the folder."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     base = root.rstrip("/").rpartition("/")[2]
     relative = F.element_at(F.split(F.col("_metadata.file_path"), f"/{base}/"), F.lit(-1))
     return rows.select(relative.alias("path"), F.col("value").alias("text"))
