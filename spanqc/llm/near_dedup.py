@@ -204,8 +204,11 @@ def near_duplicates(frame: DataFrame, id_column: str = "doc_id", text_column: st
     """
     prints = cut(fingerprint_table(frame, id_column, text_column, width, seed))
     nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least")))
-    roots = cut(components(near_links(nodes.select("node"), radius)))
-    placed = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    roots = components(near_links(nodes.select("node"), radius))
+    # Each side of these joins is read from the shared folder, so hot keys are split.
+    linked = cut(roots.join(nodes, "node"))
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    names = cut(linked.join(least, "root").select("node", "component_id"))
+    named = cut(nodes.join(names, "node", "left").select("node", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
     digits = F.lower(F.lpad(F.hex("node"), 16, "0"))
     return prints.join(named, "node").select(F.col("id").alias(id_column), digits.alias("fingerprint"), "component_id")
