@@ -112,7 +112,7 @@ class Lattice:
             use = before[row, start] * part * scale[row]
             for k in range(languages):
                 out[:, k] += np.bincount(number, use[:, k], len(out))
-                after[:, :, k].ravel()[:] += np.bincount(row * (top + 1) + start, part[:, k], n * (top + 1))
+                after[:, :, k] += np.bincount(row * (top + 1) + start, part[:, k], n * (top + 1)).reshape(n, top + 1)
         return out
 
 
