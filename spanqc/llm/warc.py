@@ -41,9 +41,11 @@ END = b"\r\n\r\n"
 
 def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system of a URI or an absolute path, and the path in it."""
-    for hadoop, plain in (("s3a:", "s3:"), ("s3n:", "s3:")):
-        path = plain + path[len(hadoop) :] if path.startswith(hadoop) else path
-    return pyarrow.fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+    if path.startswith(("/", "file:")):
+        return pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    for hadoop in ("s3a:", "s3n:"):
+        path = "s3:" + path.removeprefix(hadoop) if path.startswith(hadoop) else path
+    return pyarrow.fs.FileSystem.from_uri(path)
 
 
 def record_name(page: str | None, digest: str) -> str:

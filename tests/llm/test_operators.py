@@ -1,0 +1,538 @@
+"""The operators on small tables against brute force, with nulls, ties, repeats, empty tables and clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import public_tokenizers
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+
+from spanqc.llm import bm25, chat, components, decontamination, fm_index, language_id, mixing, near_dedup, quality, simhash_kernel, token_counts, url_filter, warc
+from spanqc.llm.common import shared_path
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+ODD = [None, "", " ", "\n\t", "a", "A", "é", "日本 🎉", "x" * 3000, "the " * 900, "one two three", "One, two!\nthree", "12 34", "a\u00a0b", "<s> </s> ▁▁a", "tail  "]
+
+
+def documents(spark, rows, schema="doc_id long, text string, lang string, source string, n_chars long"):
+    return spark.createDataFrame(rows, schema)
+
+
+def odd_documents(spark):
+    rows = [(i, t, ["en", None][i % 2], ["s", None, ""][i % 3], None if i % 4 == 0 else len(t or "")) for i, t in enumerate(ODD)]
+    rows += [rows[10], (None, "one two three", "en", "s", 3), (None, None, None, None, None)]
+    # Names that the operators' results have too, and that they use inside.
+    return documents(spark, rows).withColumns({c: F.lit(7) for c in ("n_tokens", "score", "held_out", "id", "node", "rank", "size", "target", "block", "__text", "n_words", "items", "fingerprint", "lang_pred", "predicted")})
+
+
+# Token counts.
+
+
+def test_token_counts_are_the_librarys(spark):
+    rng = random.Random(2)
+    alphabet = list("aehtn  \n▁<s>é日🎉\x00.,1")
+    texts = ODD + ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(800)] + ["ab" * 4000, " " * 3000]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    frame = documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r for r in token_counts.token_counts(frame, MODEL).collect()}
+    for i, t in enumerate(texts):
+        n = len(library.encode(t or ""))
+        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 4096)
+
+
+def test_token_counts_edges(spark):
+    frame = odd_documents(spark)
+    out = token_counts.token_counts(frame, MODEL)
+    assert out.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and out.count() == frame.count()
+    assert token_counts.token_counts(frame.where("false"), MODEL).collect() == []
+
+
+# Chat.
+
+
+def conversations(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+def test_snapshots_collapse(spark):
+    rng = random.Random(4)
+    logs, rows = {}, []
+    for c in range(120):
+        base = logs[rng.choice(list(logs))] if logs and rng.random() < 0.6 else []
+        turns = base[: rng.randint(0, len(base))] + [(rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "", None])) for _ in range(rng.randint(1, 2))]
+        logs[c] = turns
+        first = rng.randint(0, 5)
+        rows += [(c, first + 2 * k, *t) for k, t in enumerate(turns)]
+    rng.shuffle(rows)
+    want = {c: t for c, t in logs.items() if not any(len(o) > len(t) and o[: len(t)] == t for o in logs.values())}
+    got = {r["conv_id"]: r for r in chat.render(conversations(spark, rows)).collect()}
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["rendered"] == "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in turns)
+
+
+def test_chat_edges(spark):
+    rows = [(1, 0, "u", "a"), (1, 0, "u", "a"), (2, 0, "u", "a"), (None, None, "u", "z"), (None, 1, None, None), (3, 0, "u", "b"), (4, 0, "u", "b")]
+    frame = conversations(spark, rows).withColumns({c: F.lit(1) for c in ("place", "h0", "more", "conv", "c", "n_turns", "rendered", "digest")})
+    got = {r["conv_id"]: r["n_turns"] for r in chat.render(frame).collect()}
+    assert got == {1: 2, None: 2, 3: 1, 4: 1}  # equal conversations both stay; a repeated row is a turn
+    assert chat.render(frame.where("false")).collect() == []
+
+
+# Language.
+
+
+def test_segmentations_are_all_summed():
+    pieces = {"a": 1, "b": 2, "ab": 3, "▁": 4, "▁a": 5, "ba": 6, "aba": 7}
+    chance = np.random.default_rng(1).random((8, 3)) / 4
+
+    def every(word):
+        if not word:
+            return np.ones(3)
+        return sum(chance[pieces.get(word[:k], 0)] * every(word[k:]) for k in range(1, min(3, len(word)) + 1) if word[:k] in pieces or k == 1)
+
+    words = ["a", "ab", "abab", "babba", "xax"]
+    lattice = language_id.Lattice(words, pieces, 3)
+    assert np.allclose(lattice.whole(lattice.forward(chance)), [every("▁" + w) for w in words])
+    # Expected counts weighted by piece length cover every character of every word once.
+    counts = np.ones((len(words), 3))
+    use = lattice.expected(chance, counts)
+    size = np.array([1, 1, 1, 2, 1, 2, 2, 3])
+    assert np.allclose((use * size[:, None]).sum(axis=0), sum(len(w) + 1 for w in words))
+
+
+def test_scorer_of_long_and_short_words_agree():
+    model = language_id.Model.learn({"x": {"hello": 3, "hell": 1}, "y": {"allez": 2, "alle": 5}}, MODEL)
+    scorer = language_id.Scorer(model)
+    words = ["hello", "allez", "zzz"]
+    totals, lettered = scorer.totals(words + [None, "12"])
+    assert np.allclose(totals[:3], [scorer.alone(w) for w in words]) and lettered.tolist() == [True] * 3 + [False] * 2
+    names, shares = scorer.best(["hello", "alle allez", "", "a" * 500])
+    assert names[:3] == ["x", "y", "und"] and shares[2] == 0.0 and all(0 <= s <= 1 for s in shares)
+
+
+def test_language_of_held_out_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = language_id.identify(docs, MODEL, keep=("lang",)).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(rows) == docs.count() and len(held) > 20
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) >= 0.97
+    # Labels of held-out rows aren't learned from, and no row's own label is an input.
+    other = docs.withColumn("lang", F.when(language_id.held_out("doc_id"), F.lit("xx")).otherwise(F.col("lang")))
+    again = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(other, MODEL).collect()}
+    assert again == {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows}
+
+
+def test_language_edges(spark):
+    frame = odd_documents(spark)
+    rows = language_id.identify(frame, MODEL).collect()
+    assert len(rows) == frame.count()
+    und = {r["doc_id"] for r in rows if r["lang_pred"] == "und"}
+    assert und >= {0, 1, 2, 3, 12} and 4 not in und
+    assert language_id.identify(frame.where("false"), MODEL).collect() == []
+    unlabelled = language_id.identify(frame.withColumn("lang", F.lit(None).cast("string")), MODEL).collect()
+    assert {r["lang_pred"] for r in unlabelled} == {"und"} and {r["score"] for r in unlabelled} == {0.0}
+
+
+# Near-duplicates.
+
+
+def fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def smallest_reachable(ids, prints, radius=4):
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, x in enumerate(ids):
+        if x is not None:
+            least[root(i)] = min(least.get(root(i), x), x)
+    return [least.get(root(i)) for i in range(len(ids))]
+
+
+def test_near_duplicates_by_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    texts = [(r["doc_id"], r["text"]) for r in rows] + [(10_000 + i, t) for i, t in enumerate(ODD)] + [(None, ODD[10]), (None, "alone here now"), (rows[0]["doc_id"], rows[0]["text"])]
+    prints = [fingerprint(t) for _, t in texts]
+    want = sorted((str(i), f"{p:016x}", str(c)) for (i, _), p, c in zip(texts, prints, smallest_reachable([i for i, _ in texts], prints), strict=True))
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "node", "least", "root", "component_id")})
+    out = near_dedup.near_duplicates(frame)
+    assert out.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in out.collect()) == want
+    assert near_dedup.near_duplicates(frame.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("crowded", [20, 10**6])
+def test_dense_and_chained_fingerprints(spark, crowded):
+    """A crowd around one fingerprint, chains of distance four, and chance ones; places are split or not."""
+    rng = random.Random(8)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    centre = rng.getrandbits(64)
+    prints = [flip(centre, rng.randint(0, 3)) for _ in range(150)]
+    for _ in range(30):
+        chain = [rng.getrandbits(64)]
+        for _ in range(rng.randint(1, 6)):
+            chain.append(flip(chain[-1], 4))
+        prints += chain
+    prints += [rng.getrandbits(64) for _ in range(200)]
+    prints = sorted(set(prints))
+    signed = [p - (p >> 63 << 64) for p in prints]
+    links = near_dedup.near_links(spark.createDataFrame([(s,) for s in signed], "node long"), 4, crowded)
+    found = {r["node"]: r["root"] for r in components.components(links).collect()}
+    want = smallest_reachable(signed, prints)
+    assert [found.get(s, s) for s in signed] == want
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert all(got.get(x, x) == root(x) for x in parent)
+    assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_pivot_filter_keeps_all_near_pairs():
+    nodes = np.random.default_rng(5).integers(0, 2**64, 300, np.uint64)
+    near = nodes ^ np.uint64(0b1011)
+    both = np.r_[nodes, near]
+    table = near_dedup.distance_table(both)
+    a, b = np.triu_indices(len(both), 1)
+    exact = np.bitwise_count(both[a] ^ both[b]) <= 4
+    assert (near_dedup.within(a, b, both, table, 4) == exact).all() and exact.sum() >= 300
+    assert near_dedup.blocks_for(10, 4) == 6 < near_dedup.blocks_for(10**9, 4)
+
+
+def test_long_texts_are_counted_in_blocks(monkeypatch):
+    texts = [b"a b c d e f", None, b"", b"x", b"Q w e r t y " * 40]
+    whole = simhash_kernel.fingerprints(texts)
+    monkeypatch.setattr(simhash_kernel, "BLOCK", 3)
+    assert (simhash_kernel.fingerprints(texts) == whole).all()
+    assert [int(x) for x in whole] == [fingerprint(t.decode() if t is not None else None) for t in texts]
+
+
+# Decontamination.
+
+
+def words_of(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def contaminated(texts, items, width):
+    windows = {}
+    for name, text in items:
+        w = words_of(text)
+        for k in range(max(1, len(w) - width + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + width]), set()).add(name)
+    out = []
+    for text in texts:
+        w, names = words_of(text), set()
+        hit = [False] * len(w)
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if found := windows.get(tuple(w[k : k + size])):
+                    names |= found
+                    hit[k : k + size] = [True] * size
+        listed = sorted(n for n in names if n is not None)
+        out.append((len(w), sum(hit), len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), any(hit)))
+    return out
+
+
+@pytest.mark.parametrize("limits", [(7, 5, 40), (10**6, 4_000_000, 16_000_000)])
+def test_contamination_by_brute_force(spark, monkeypatch, limits):
+    rng = random.Random(6)
+    mk = lambda n: rng.choice([" ", "-", "\n"]).join(rng.choice(["a", "B", "c", "é", "4"]) for _ in range(rng.randint(0, n)))
+    texts = [rng.choice([None, "", mk(80), mk(80), mk(6)]) for _ in range(60)]
+    items = [(rng.choice([None, i % 9]), rng.choice([None, "", mk(12), mk(3)])) for i in range(14)]
+    for name, value in zip(("SHARD_WORDS", "PIECE_BYTES", "BLOCK_BYTES"), limits, strict=True):
+        monkeypatch.setattr(decontamination, name, value)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "n_words", "items", "spans")})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("item", F.lit(0))
+    for width in (1, 3, 10):
+        got = {r[0]: tuple(r)[1:] for r in decontamination.digest(decontamination.contamination(frame, bench, width=width)).collect()}
+        assert [got[i] for i in range(len(texts))] == contaminated(texts, [(None if n is None else str(n), t) for n, t in items], width)
+
+
+def test_contamination_edges(spark, sf_dir):
+    frame = odd_documents(spark)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    for docs, items, n in ((frame, bench, frame.count()), (frame, bench.where("false"), frame.count()), (frame.where("false"), bench, 0)):
+        rows = decontamination.contamination(docs, items).collect()
+        assert len(rows) == n and all(r["n_hit"] == 0 for r in rows)
+    one = spark.createDataFrame([(1, "x Y z, a b.")], "doc_id long, text string")
+    item = spark.createDataFrame([(5, "y Z")], "item_id long, text string")
+    r = decontamination.contamination(one, item).head()
+    assert [tuple(s) for s in r["spans"]] == [(1, 3)] and r["items"] == ["5"]
+    assert decontamination.without_spans("x Y z, a b.", [(1, 3)]) == "x , a b."
+
+
+def test_suffix_order_and_ranks():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        parts = [np.r_[rng.integers(1, 4, rng.integers(1, 40)), 0] for _ in range(rng.integers(1, 8))]
+        text = np.concatenate(parts)
+        cuts = np.cumsum(text == 0)
+        # A separator is less than all symbols, and than the separators after it.
+        key = [(int(t), 0) if t else (-1, int(c)) for t, c in zip(text, cuts, strict=True)]
+        want = sorted(range(len(text)), key=lambda i: key[i:])
+        assert fm_index.suffix_array(text, 3).tolist() == want
+        tree = fm_index.WaveletTree(text, 3)
+        for s in range(4):
+            at = np.arange(len(text) + 1)
+            assert tree.rank(np.full(len(at), s), at).tolist() == [int((text[:i] == s).sum()) for i in at]
+        index = fm_index.FMIndex(text, 3)
+        phrases = np.array([[0, 1], [1, 2], [2, 2], [3, 1]])
+        low, high = index.search(phrases, np.array([1, 2, 2, 2]))
+        for (a, b), size, lo, hi in zip(phrases.tolist(), (1, 2, 2, 2), low, high, strict=True):
+            found = sorted(index.locate(np.arange(lo, hi)).tolist())
+            assert found == [i for i in range(len(text)) if (text[i : i + size].tolist() == [a, b][-size:])]
+
+
+# WARC.
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_archives_round_trip(spark):
+    big, same = "é<p>\r\n\r\n" * 40_000, "WARC/1.1\r\n\r\n" + "s" * 1200
+    rows = [(1, "http://a/", big), (2, None, ""), (3, "u\nv", None), (4, "x", same), (5, "y", same), (6, "z", "short"), (7, "z", "short"), (None, "q", same), (9, "w", same), (9, "w", same), (10, "b", big), (11, "c", "t" * 999), (12, "c", "t" * 999)]
+    folder = shared_path(spark, "warc-test")
+    frame = pages(spark, rows).repartition(3).withColumns({c: F.lit(1) for c in ("page", "digest", "payload", "original", "chunk", "data", "n", "kind")})
+    warc.write_archives(frame, folder)
+    chunks = warc.read_archives(spark, folder).cache()
+    got = sorted((tuple(r) for r in warc.page_digests(chunks).collect()), key=str)
+    group = {}
+    for page, _, html in rows:
+        if page is not None and len((html or "").encode()) >= 1000:
+            group[html] = max(group.get(html, page), page)
+    want = []
+    for page, _, html in rows:
+        data = (html or "").encode()
+        first = group.get(html, page)
+        want.append((page, len(data), hashlib.sha1(data).hexdigest(), "response" if page == first else "revisit", None if page == first else first))
+    assert got == sorted(want, key=str)
+    # The payload comes back whole, in chunks of bounded size that carry the digest so far.
+    parts = chunks.where("page = '10'").orderBy("chunk").collect()
+    assert b"".join(bytes(p["data"]) for p in parts) == big.encode() and [p["chunk"] for p in parts] == list(range(len(parts)))
+    done = b""
+    for p in parts:
+        done += bytes(p["data"])
+        assert len(p["data"]) <= warc.CHUNK and (p["bytes_so_far"], p["sha1_so_far"]) == (len(done), hashlib.sha1(done).hexdigest())
+    assert [p["last"] for p in parts] == [False] * (len(parts) - 1) + [True]
+
+
+def test_archives_edges(spark):
+    folder = shared_path(spark, "warc-empty")
+    warc.write_archives(pages(spark, []), folder)
+    assert warc.read_archives(spark, folder).collect() == []
+    store, path = warc.filesystem("file:/tmp/x y")
+    assert path == "/tmp/x y" and warc.filesystem("/tmp/z")[1] == "/tmp/z"
+
+
+def test_a_damaged_archive_is_an_error(spark):
+    folder = shared_path(spark, "warc-bad")
+    warc.write_archives(pages(spark, [(1, "a", "x" * 5000)]).coalesce(1), folder)
+    store, path = warc.filesystem(spark.read.parquet(f"{folder}/manifest").head()["file"])
+    data = store.open_input_stream(path, compression=None).read()
+    with store.open_output_stream(path, compression=None) as out:
+        out.write(data[:-30])
+    with pytest.raises(Exception, match="archive|record|digest|incomplete"):
+        warc.read_archives(spark, folder).collect()
+
+
+# URL filters.
+
+
+RULES = (["com/", "www.example.com/en/"], ["example.com/en/", "net/es/", "net/fr/"])
+
+
+def judged(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
+    host, path = re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]
+    best = None
+    for verdict, rules in zip(("allow", "block"), RULES, strict=True):
+        for rule in rules:
+            h, p = rule[: rule.index("/")], rule[rule.index("/") :]
+            if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(rule) > len(best[0])):
+                best = (rule, verdict)
+    return host, path, *(best or (None, "allow"))
+
+
+def test_urls(spark):
+    hosts = ["example.com", "www.example.com", "WWW.Example.COM", "xexample.com", "a.b.net", "net", "com", "", "example.com:80", ".com", "..net", "m.org"]
+    urls = [f"{s}{h}{p}" for s in ("http://", "x://", "", "a://b://") for h in hosts for p in ("", "/", "/en/", "/en", "/es/1?x", "/fr/#a", "?q=/en/", "#/", "/EN/", "/en/\nz")] + [None, "://", "http://" + "a." * 500 + "com/"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit(1) for c in ("id", "host", "path", "rule", "verdict")})
+    got = {r[0]: tuple(r)[1:] for r in url_filter.judge(frame, *RULES).collect()}
+    assert [got[i] for i in range(len(urls))] == [judged(u) for u in urls]
+    assert url_filter.judge(frame.where("false"), *RULES).collect() == []
+    assert {r["verdict"] for r in url_filter.judge(frame, [], [], default="block").collect()} == {"block"}
+
+
+def test_cascade_is_exact_over_its_universe():
+    listed = [f"k{i}" for i in range(200)]
+    universe = [f"k{i}" for i in range(20_000)]
+    first = url_filter.Bloom(listed, 0.3, 1)
+    cascade = url_filter.Cascade(first, listed, [k for k in universe[200:] if k in first])
+    assert len(cascade.levels) > 3 and all((k in cascade) == (i < 200) for i, k in enumerate(universe))
+
+
+# Mixing.
+
+
+def test_targets_by_resharing(spark):
+    rng = random.Random(9)
+    for n in (1, 2, 5, 23):
+        sizes = {s: rng.choice([0, 5, 100, 100, 10_000]) for s in [f"s{i:02d}" for i in range(n)] + [None]}
+        frame = spark.createDataFrame([(s, v) for s, v in sizes.items()], "source string, size long")
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+        total, target, free = 1.5 * sum(sizes.values()), dict.fromkeys(order, 0.0), set(order)
+        left = total
+        while free:  # share what is left by weight; those that would be above stop
+            level = left / sum(weight[s] for s in free)
+            full = {s for s in free if level * weight[s] > 2 * sizes[s]}
+            target.update({s: 2.0 * sizes[s] for s in full} if full else {s: level * weight[s] for s in free})
+            left -= sum(2.0 * sizes[s] for s in full)
+            free = free - full if full else set()
+        got = {r["source"]: r["target"] for r in mixing.source_targets(frame).collect()}
+        assert all(abs(got[s] - target[s]) < 1e-6 * (1 + total) for s in order)
+
+
+def test_mix(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for rows in (2048, 3):
+        monkeypatch.setattr(mixing, "BLOCK_ROWS", rows)
+        out = [tuple(r) for r in mixing.mix(docs).orderBy("doc_id").collect()]
+        assert out == [tuple(r) for r in mixing.mix(docs.repartition(3)).orderBy("doc_id").collect()]
+        assert len(out) == docs.count() and all(t in (0, s, 2 * s) for _, s, _, _, t in out)
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    taken, target, most = {}, {}, {}
+    for d, s, _, t, k in out:
+        taken[source[d]] = taken.get(source[d], 0) + k
+        target[source[d]] = t
+        most[source[d]] = max(most.get(source[d], 0), s)
+    assert all(abs(taken[s] - target[s]) <= 2.5 * most[s] for s in taken)
+
+
+def test_mix_edges(spark):
+    frame = odd_documents(spark)
+    rows = mixing.mix(frame).collect()
+    assert len(rows) == frame.count() and all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert {r["doc_id"]: r["size"] for r in rows}[11] == 3
+    assert mixing.mix(frame.where("false")).collect() == []
+    assert {r["target"] for r in mixing.mix(frame.withColumn("text", F.lit(None).cast("string"))).collect()} == {0.0}
+
+
+# Search.
+
+
+def best_rows(texts, k, every, terms):
+    import math
+    from collections import Counter
+
+    counts = [Counter(words_of(t)) for _, t in texts]
+    mean = sum(sum(c.values()) for c in counts) / max(1, len(texts))
+    df = Counter(w for c in counts for w in c)
+    idf = {w: math.log1p((len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    share = lambda c, w: c[w] * 2.2 / (c[w] + 1.2 * (1 - 0.75 + 0.75 * sum(c.values()) / mean))
+    out = []
+    for (name, _), c in zip(texts, counts, strict=True):
+        if name is None or name % every:
+            continue
+        asked = sorted(c, key=lambda w: (-round(idf[w] * share(c, w), 6), w))[:terms]
+        scored = [(round(sum(idf[w] * share(d, w) for w in asked if w in d), 6), i) for i, d in enumerate(counts) if any(w in d for w in asked)]
+        ranked = sorted(scored, key=lambda x: (-x[0], texts[x[1]][0] is None, texts[x[1]][0] or 0))[:k]
+        out += [(name, r + 1, texts[i][0], s) for r, (s, i) in enumerate(ranked)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_search_by_brute_force(spark, monkeypatch, block):
+    rng = random.Random(block)
+    monkeypatch.setattr(bm25, "BLOCK", block)
+    monkeypatch.setattr(bm25, "QUERIES_AT_ONCE", 5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    texts = [(i, rng.choice([" ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 30)))] * 6 + [None, "", "w1 w2"])) for i in range(300)] + [(None, "w1 w3 w2")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "query", "word", "score", "rank", "query_id")})
+    for k, terms in ((1, 3), (5, 12)):
+        got = sorted((tuple(r) for r in bm25.top_k(frame, k=k, every=7, terms=terms).collect()), key=str)
+        want = best_rows(texts, k, 7, terms)
+        assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
+
+
+def test_search_edges(spark):
+    frame = odd_documents(spark)
+    assert bm25.top_k(frame, every=1).count() > 0
+    assert bm25.top_k(frame.where("false")).collect() == []
+
+
+# Quality.
+
+
+def test_interactions_in_linear_time():
+    machine = quality.Machine(50, 4, seed=3)
+    rng = np.random.default_rng(1)
+    machine.weights[:] = rng.normal(size=50)
+    machine.factors[:] = rng.normal(size=(50, 4))
+    at, x = np.array([3, 7, 20, 41], np.int32), rng.normal(size=4).astype(np.float32)
+    pairs = sum(float(machine.factors[at[i]] @ machine.factors[at[j]]) * float(x[i] * x[j]) for i in range(4) for j in range(i + 1, 4))
+    raw = machine.bias + float(machine.weights[at] @ x) + pairs
+    assert abs(machine.scores([(at, x)])[0] - 1 / (1 + np.exp(-raw))) < 1e-5
+
+
+def test_quality_of_held_out_texts(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    rows = {r["doc_id"]: r for r in quality.score(docs, labels).collect()}
+    assert len(rows) == docs.count()
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for d, r in rows.items())
+    known = [(rows[r["doc_id"]]["predicted"], r["quality"]) for r in labels.collect() if rows[r["doc_id"]]["held_out"]]
+    assert len(known) > 40 and sum(a == b for a, b in known) / len(known) >= 0.93
+    # Held-out labels, languages and sources make no difference.
+    other = labels.withColumn("quality", F.when(quality.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality.score(docs.withColumn("lang", F.lit("zz")).withColumn("source", F.lit(None).cast("string")), other).collect()
+    assert {r["doc_id"]: r["score"] for r in again} == {d: r["score"] for d, r in rows.items()}
+
+
+def test_quality_edges(spark):
+    frame = odd_documents(spark)
+    labels = spark.createDataFrame([(4, 1), (5, 0), (5, 0), (6, None), (None, 1), (7, 3), (10, 1)], "doc_id long, quality int").withColumn("toxic", F.lit(0))
+    rows = quality.score(frame, labels).collect()
+    assert len(rows) == frame.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality.score(frame.where("false"), labels).collect() == []
+    assert {r["score"] for r in quality.score(frame, labels.where("false")).collect()} <= {r["score"] for r in quality.score(frame, labels.where("false")).collect()}
+    assert quality.score(frame.drop("n_chars"), labels).count() == frame.count()
