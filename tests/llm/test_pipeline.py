@@ -46,7 +46,7 @@ def test_stages(spark, sf_dir, tmp_path):
 
 
 def test_odd_documents(spark, sf_dir, tmp_path):
-    from test_operators import odd_documents
+    from test_corpus_operators import odd_documents
 
     docs = odd_documents(spark).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet"), allowMissingColumns=True)
     kept = stages(spark, docs, sf_dir, tmp_path)
