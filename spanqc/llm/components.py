@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     links = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while not links.isEmpty():
         # Large star: what is linked to u and lies above it goes to u's least neighbour.
-        least = nearest_root(links)
+        # Read from the shared folder on both sides, the rows of a node of very many links are split.
+        least = cut(nearest_root(links))
         large = links.join(least, links.v == least.node).select("u", F.col("least").alias("v")).distinct()
         # Small star: of the lower neighbours of u the least takes the others and u.
         lower = large.groupBy("u").agg(F.min("v").alias("root"))
