@@ -97,6 +97,33 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, n_turns, rendered FROM lists
         WHERE NOT EXISTS (SELECT 1 FROM begun WHERE k = n_turns AND beginning = turns::varchar)
     """,
+    "op5_benchmark_decontamination": """
+        WITH doc_words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+        ), item_words AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark
+        ), item_starts AS (
+            SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS k FROM item_words WHERE len(words) > 0
+        ), windows AS (
+            SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(list_slice(words, k, k + least(len(words), 10) - 1), ' ') AS key FROM item_starts
+        ), sizes AS (
+            SELECT DISTINCT size FROM windows
+        ), starts AS (
+            SELECT doc_id, size, words, unnest(range(1, len(words) - size + 2)) AS k FROM doc_words, sizes WHERE len(words) >= size
+        ), keyed AS (
+            SELECT doc_id, size, k, array_to_string(list_slice(words, k, k + size - 1), ' ') AS key FROM starts
+        ), found AS (
+            SELECT doc_id, item_id, k, size FROM keyed JOIN windows USING (size, key)
+        ), places AS (
+            SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS place FROM found
+        ), hits AS (
+            SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id
+        ), names AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS listed FROM (SELECT DISTINCT doc_id, item_id::varchar AS name FROM found) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(words)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc_words d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN names n ON d.doc_id = n.doc_id
+    """,
     "op6_warc_chunks": """
         WITH sized AS (
             SELECT page_id, octet_length(encode(coalesce(html, '')))::bigint AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
