@@ -115,8 +115,9 @@ def audit_sample(frame: DataFrame, n: int, seed: int = 42, by: str = "model") ->
     }
     strata = F.filter(F.array(*[F.when(F.coalesce(member[s], F.lit(False)), F.struct(F.lit(i).alias("stratum"), F.lit(max(1, int(n * q))).alias("quota"))) for i, (s, q) in enumerate(QUOTAS)]), lambda s: s.isNotNull())
     rows = frame.withColumn("_hash", hash_order(seed, "context_id", "question")).withColumn("_s", F.explode(strata)).select("*", "_s.*").drop("_s")
+    most = max(max(1, int(n * q)) for _, q in QUOTAS)  # a number, so that each task keeps no more rows of a stratum before the shuffle
     in_stratum = Window.partitionBy(by, "stratum").orderBy("_hash", "context_id", "question")
-    drawn = rows.withColumn("_n", F.row_number().over(in_stratum)).where(F.col("_n") <= F.col("quota"))
+    drawn = rows.withColumn("_n", F.row_number().over(in_stratum)).where((F.col("_n") <= most) & (F.col("_n") <= F.col("quota")))
     first = drawn.withColumn("_k", F.row_number().over(Window.partitionBy(by, "context_id", "question").orderBy("stratum", "_n"))).where("_k = 1")
     out = first.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("stratum", "_n"))).where(F.col("place") <= n)
     return out.drop("_hash", "_n", "_k", "quota")
@@ -186,7 +187,11 @@ def prepared_splits(parts: dict[str, DataFrame], dev: float = 0.1, test: float =
 
 
 def shards(frame: DataFrame, key: str, workers: int, seed: int | None = None) -> DataFrame:
-    """Rows with ``place`` in order of key and ``shard``, every ``workers``-th row alike."""
+    """Rows with ``place`` in order and ``shard``, every ``workers``-th key alike.
+
+    With a seed the order is that of a hash, summed over buckets; without one it is that of the keys, for
+    which one task sees all of them.
+    """
     ids = frame.select(key).distinct()
     order = ids.withColumn("place", (F.row_number().over(Window.orderBy(key)) - 1).cast("long")) if seed is None else ranked(ids, key, seed).drop("n_keys")
     return frame.join(order.withColumn("shard", F.pmod("place", F.lit(workers))), key)

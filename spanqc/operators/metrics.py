@@ -57,22 +57,38 @@ def squad_metrics(predictions: DataFrame, references: DataFrame, threshold: floa
     return summary(at_threshold(scored(predictions, references), threshold), *by)
 
 
+def stretches(frame: DataFrame, column: str, parts: int = 256) -> Column:
+    """A number for each row that never falls as the column rises, so that about equally many rows share one."""
+    at = [k / parts for k in range(1, parts)]
+    found = frame.agg(F.percentile_approx(column, at, 10_000)).head()[0] or []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(found))]) if found else F.array().cast("array<double>")
+    return F.size(F.filter(bounds, lambda b: b < F.col(column)))
+
+
 def sweep(rows: DataFrame) -> DataFrame:
     """The scores at every threshold: minus infinity, each different score, infinity.
 
-    Rows are summed for each score first; a threshold keeps the scores up to it. The sums run
-    over different scores only.
+    Rows are summed for each score first; a threshold keeps the scores up to it. Different scores
+    can be as many as rows, so they are cut into stretches: sums run within a stretch, and over the
+    stretches' totals.
     """
-    kept = [F.sum(c).alias(c) for c in ("em_kept", "f1_kept", "em_blank", "f1_blank")]
-    sums = rows.groupBy(F.col("no_answer_probability").alias("threshold")).agg(F.count(F.lit(1)).alias("n"), *kept)
-    ends = rows.sparkSession.createDataFrame([(float("-inf"), 0, 0.0, 0.0, 0.0, 0.0), (float("inf"), 0, 0.0, 0.0, 0.0, 0.0)], sums.schema)
-    every = sums.unionByName(ends).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in sums.columns[1:]])
-    upto = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.orderBy("threshold").rowsBetween(1, Window.unboundedFollowing)
-    total = F.sum("n").over(Window.partitionBy())
-    # At minus infinity scores of minus infinity are kept, as none is above it.
-    mean = lambda m: (F.sum(f"{m}_kept").over(upto) + F.coalesce(F.sum(f"{m}_blank").over(after), F.lit(0.0))) / total
-    return every.select("threshold", mean("em").alias("exact"), mean("f1").alias("f1"))
+    names = ("n", "em_kept", "f1_kept", "em_blank", "f1_blank")
+    sums = rows.groupBy(F.col("no_answer_probability").alias("threshold")).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in names[1:]])
+    ends = rows.sparkSession.createDataFrame([(float("-inf"), *[0.0] * 5), (float("inf"), *[0.0] * 5)], sums.schema)
+    every = sums.unionByName(ends).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in names])
+    every = every.withColumn("stretch", stretches(sums, "threshold"))
+    before, all_ = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    totals = every.groupBy(F.col("stretch").alias("_s")).agg(*[F.sum(c).alias(c) for c in names])
+    so_far = totals.select("_s", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"before_{c}") for c in names], *[F.sum(c).over(all_).alias(f"all_{c}") for c in names])
+    upto = Window.partitionBy("stretch").orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
+    summed = every.withColumns({f"upto_{c}": F.sum(c).over(upto) for c in names}).join(F.broadcast(so_far), F.col("stretch") == F.col("_s"))  # at most 256 rows
+
+    def mean(m: str) -> Column:
+        kept = F.col(f"before_{m}_kept") + F.col(f"upto_{m}_kept")
+        blank = F.col(f"all_{m}_blank") - F.col(f"before_{m}_blank") - F.col(f"upto_{m}_blank")
+        return (kept + blank) / F.col("all_n")
+
+    return summed.select("threshold", mean("em").alias("exact"), mean("f1").alias("f1"))
 
 
 def best_thresholds(rows: DataFrame) -> DataFrame:
