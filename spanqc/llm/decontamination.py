@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import text_bytes
+from .common import keep_nothing, text_bytes
 from .fm_index import FMIndex
 
 #: A-Z to lower case; what is neither 0-9, a-z nor beyond ASCII to a blank.
@@ -161,6 +161,7 @@ def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     schema = StructType([plain.schema[c] for c in plain.columns[1:]]).add("n_words", LongType()).add("n_hit", LongType()).add("items", ArrayType(StringType())).add("spans", ArrayType(span))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             counts: list[int] = []
             spans: dict[int, list[tuple[int, int]]] = {}

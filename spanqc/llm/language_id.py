@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from .common import crc_mod
+from .common import crc_mod, kept
 
 #: A run of letters, and of the numbers that aren't digits; the latter are taken out afterwards.
 RUN = re.compile(r"[^\W\d_]+")
@@ -35,7 +35,7 @@ MOST_LANGUAGES = 500
 #: Rounds of expectation maximisation, and the weight of the pooled probabilities in each language's.
 ROUNDS, POOLED = 3, 200.0
 #: Words that a worker remembers; words of a longer run are scored alone, in logarithms.
-REMEMBERED, LONGEST = 600_000, 40
+REMEMBERED, LONGEST = 400_000, 40
 #: Words scored at a time.
 TOGETHER = 20_000
 
@@ -239,17 +239,6 @@ def learn(frame: DataFrame, path: str, id_column: str, text_column: str, lang_co
     return Model.learn(counts, path)
 
 
-#: What a worker keeps from task to task: a model's number and its scorer.
-WORKER: dict[str, tuple[str, Scorer]] = {}
-
-
-def scorer_of(name: str, model: Model) -> Scorer:
-    """The worker's scorer of a model, with the words it remembers."""
-    if WORKER.get("scorer", ("", None))[0] != name:
-        WORKER["scorer"] = (name, Scorer(model))
-    return WORKER["scorer"][1]
-
-
 def identify(frame: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """The language of every whole text.
 
@@ -264,10 +253,10 @@ def identify(frame: DataFrame, path: str, id_column: str = "doc_id", text_column
     spark = frame.sparkSession
     model = spark.sparkContext.broadcast(learn(frame, path, id_column, text_column, lang_column, ~held_out(id_column)))
 
-    name = uuid.uuid4().hex
+    name = f"scorer {uuid.uuid4().hex}"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(name, model.value)
+        scorer = kept(name, lambda: Scorer(model.value))
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)

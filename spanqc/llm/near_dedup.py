@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import cut, text_bytes
+from .common import cut, keep_nothing, text_bytes
 from .components import components
 from .simhash_kernel import fingerprints
 
@@ -184,6 +184,7 @@ def fingerprint_table(frame: DataFrame, id_column: str = "doc_id", text_column:
     """``id`` and the fingerprint ``node`` (its 64 bits as a signed integer) of every row."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             prints = fingerprints((text.as_py() for text in batch.column(1)), width, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "node"])

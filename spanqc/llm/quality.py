@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructType
 
-from .common import crc_mod, text_bytes
+from .common import crc_mod, kept, text_bytes
 
 #: Buckets of hashed words, of which the first hold the statistics; factors of the interactions.
 BUCKETS, FACTORS = 1 << 18, 6
@@ -183,10 +183,6 @@ def learn(frame: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     return Machine().learn([(at[k], x[k]) for k in order], known, weight)
 
 
-#: What a worker keeps from task to task: the number of a machine, and the machine.
-WORKER: dict[str, tuple[str, Machine]] = {}
-
-
 def score(frame: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = "n_chars", label_id: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """The quality of every whole text.
 
@@ -200,12 +196,10 @@ def score(frame: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     none. With no label learned from, every score is 0.5.
     """
     machine = frame.sparkSession.sparkContext.broadcast(learn(frame, labels, id_column, text_column, length_column, label_id, label))
-    name = uuid.uuid4().hex
+    name = f"machine {uuid.uuid4().hex}"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if WORKER.get("machine", ("", None))[0] != name:
-            WORKER["machine"] = (name, machine.value)
-        known = WORKER["machine"][1]
+        known = kept(name, lambda: machine.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)

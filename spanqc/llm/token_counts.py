@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -23,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from .common import kept
+
 #: The model's mark for a blank.
 BLANK = "▁"
 #: A run of blanks with what follows it, or the blanks at the end.
@@ -114,10 +115,9 @@ class Counts(dict):
         return sum(map(self.__getitem__, keys))
 
 
-@lru_cache(maxsize=2)
 def counts_of(path: str) -> Counts:
-    """The counts of a model, kept as long as the worker lives."""
-    return Counts(Merges(path))
+    """The counts of a model, kept as long as the worker lives and does nothing else."""
+    return kept(f"token counts {path}", lambda: Counts(Merges(path)))
 
 
 def token_counts(frame: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", limit: int = 4096) -> DataFrame:
