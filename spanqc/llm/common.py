@@ -41,6 +41,13 @@ def text_bytes(column: str) -> Column:
     return F.col(column).cast("string").cast("binary")
 
 
+def rows_with_text(frame: DataFrame, id_column: str, text_column: str, keep: tuple[str, ...] = (), **more: Column) -> tuple[DataFrame, str]:
+    """Id, columns to keep and more columns, with the text once; and the name it has there, ``__text`` unless it is kept."""
+    if text_column in keep:
+        return frame.select(id_column, *keep, *[c.alias(name) for name, c in more.items()]), text_column
+    return frame.select(id_column, *keep, *[c.alias(name) for name, c in more.items()], F.col(text_column).cast("string").alias("__text")), "__text"
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

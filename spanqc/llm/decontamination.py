@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import keep_nothing, text_bytes
+from .common import keep_nothing, rows_with_text, text_bytes
 from .fm_index import FMIndex
 
 #: A-Z to lower case; what is neither 0-9, a-z nor beyond ASCII to a blank.
@@ -157,8 +157,9 @@ def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     """
     blocks = phrase_blocks(benchmark, item_column, item_text_column, width)
     span = StructType().add("start", LongType()).add("end", LongType())
-    plain = frame.select(text_bytes(text_column).alias("__text"), id_column, *keep)
-    schema = StructType([plain.schema[c] for c in plain.columns[1:]]).add("n_words", LongType()).add("n_hit", LongType()).add("items", ArrayType(StringType())).add("spans", ArrayType(span))
+    plain, text_name = rows_with_text(frame, id_column, text_column, keep)
+    out = [c for c in plain.columns if c != "__text"]
+    schema = StructType([plain.schema[c] for c in out]).add("n_words", LongType()).add("n_hit", LongType()).add("items", ArrayType(StringType())).add("spans", ArrayType(span))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_nothing()
@@ -173,7 +174,7 @@ def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_
                     shard.search(block.value, spans, items)
                 return Shard(width)
 
-            for owner, text in enumerate(batch.column(0)):
+            for owner, text in enumerate(batch.column(text_name).cast(pa.binary())):
                 n = 0
                 for first, new, words in pieces(text.as_py() or b"", width - 1):
                     n += new
@@ -185,13 +186,13 @@ def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_
             every = [merged(spans.get(k, [])) for k in range(len(counts))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[1:],
+                    *(batch.column(c) for c in out),
                     pa.array(counts, pa.int64()),
                     pa.array([sum(b - a for a, b in own) for own in every], pa.int64()),
                     pa.array([sorted(items.get(k, ())) for k in range(len(counts))], pa.list_(pa.string())),
                     pa.array([[{"start": a, "end": b} for a, b in own] for own in every], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
-                [*batch.schema.names[1:], "n_words", "n_hit", "items", "spans"],
+                [*out, "n_words", "n_hit", "items", "spans"],
             )
 
     return plain.mapInArrow(searched, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from .common import crc_mod, kept
+from .common import crc_mod, kept, rows_with_text
 
 #: A run of letters, and of the numbers that aren't digits; the latter are taken out afterwards.
 RUN = re.compile(r"[^\W\d_]+")
@@ -255,14 +255,16 @@ def identify(frame: DataFrame, path: str, id_column: str = "doc_id", text_column
 
     name = f"scorer {uuid.uuid4().hex}"
 
+    rows, text = rows_with_text(frame, id_column, text_column, keep, held_out=held_out(id_column))
+    out = [c for c in rows.columns if c != "__text"]
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = kept(name, lambda: Scorer(model.value))
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                names, shares = scorer.best(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(shares, pa.float64())], [*part.schema.names[1:], "lang_pred", "score"])
+                names, shares = scorer.best(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in out), pa.array(names, pa.string()), pa.array(shares, pa.float64())], [*out, "lang_pred", "score"])
 
-    rows = frame.select(F.col(text_column).cast("string").alias("__text"), id_column, *keep, held_out(id_column).alias("held_out"))
-    schema = StructType([rows.schema[c] for c in rows.columns[1:]]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([rows.schema[c] for c in out]).add("lang_pred", StringType()).add("score", DoubleType())
     return rows.mapInArrow(scored, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructType
 
-from .common import crc_mod, kept, text_bytes
+from .common import crc_mod, kept, rows_with_text, text_bytes
 
 #: Buckets of hashed words, of which the first hold the statistics; factors of the interactions.
 BUCKETS, FACTORS = 1 << 18, 6
@@ -146,10 +146,8 @@ def held_out(id_column: str, modulus: int = 5, remainder: int = 0) -> Column:
     return F.coalesce(crc_mod(id_column, modulus), F.lit(0)) == remainder
 
 
-def plain_rows(frame: DataFrame, id_column: str, text_column: str, length_column: str | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Text, recorded length, id and the columns to keep."""
-    recorded = F.col(length_column).cast("double") if length_column in frame.columns else F.lit(None).cast("double")
-    return frame.select(text_bytes(text_column).alias("__text"), recorded.alias("__recorded"), id_column, *keep)
+def recorded_length(frame: DataFrame, length_column: str | None) -> Column:
+    return F.col(length_column).cast("double") if length_column in frame.columns else F.lit(None).cast("double")
 
 
 def learn(frame: DataFrame, labels: DataFrame, id_column: str, text_column: str, length_column: str | None, label_id: str, label: str, rows: int = TRAIN_ROWS) -> Machine:
@@ -162,7 +160,8 @@ def learn(frame: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     sample = usable.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < share * 1_000_003)
     if sample.count() <= 4 * rows:
         sample = F.broadcast(sample)
-    texts = plain_rows(frame, id_column, text_column, length_column).where(F.coalesce(F.octet_length("__text"), F.lit(0)) <= TRAIN_BYTES)
+    texts = frame.select(text_bytes(text_column).alias("__text"), recorded_length(frame, length_column).alias("__recorded"), id_column)
+    texts = texts.where(F.coalesce(F.octet_length("__text"), F.lit(0)) <= TRAIN_BYTES)
     joined = texts.join(sample, texts[id_column] == F.col("__id")).select("__text", "__recorded", "__label")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,14 +197,17 @@ def score(frame: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     machine = frame.sparkSession.sparkContext.broadcast(learn(frame, labels, id_column, text_column, length_column, label_id, label))
     name = f"machine {uuid.uuid4().hex}"
 
+    rows, text = rows_with_text(frame, id_column, text_column, keep, held_out=held_out(id_column), __recorded=recorded_length(frame, length_column))
+    out = [c for c in rows.columns if c not in ("__text", "__recorded")]
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept(name, lambda: machine.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                rows = [features(t.as_py(), r) for t, r in zip(part.column(0), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(known.scores(rows), pa.float64())], [*part.schema.names[2:], "score"])
+                texts = part.column(text).cast(pa.binary())
+                rows = [features(t.as_py(), r) for t, r in zip(texts, part.column("__recorded").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in out), pa.array(known.scores(rows), pa.float64())], [*out, "score"])
 
-    rows = plain_rows(frame, id_column, text_column, length_column, keep).withColumn("held_out", held_out(id_column))
-    schema = StructType([rows.schema[c] for c in rows.columns[2:]]).add("score", DoubleType())
+    schema = StructType([rows.schema[c] for c in out]).add("score", DoubleType())
     return rows.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
