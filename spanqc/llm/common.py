@@ -53,6 +53,16 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame's rows, written to the shared folder and read again, so that the planner knows their size.
+
+    A join with them broadcasts them if they are below ``spark.sql.autoBroadcastJoinThreshold``, and shuffles else.
+    """
+    path = shared_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions in the block give Python processes at most so many rows at a time."""

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import batches_of, text_bytes
+from .common import batches_of, stored, text_bytes
 
 #: Bytes of a chunk.
 CHUNK = 64 * 1024
@@ -83,7 +83,8 @@ def payload_chunks(frame: DataFrame, id_column: str, url_column: str, payload_co
     rows = frame.select(F.col(id_column).alias("page"), F.col(url_column).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     shared = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page").alias("original"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where(F.col("n") > 1).select(F.col("digest").alias("d"), F.col("size").alias("s"), "original")
+    # Only where repeated payloads are many are the rows with payloads shuffled for the join.
+    shared = stored(shared.where(F.col("n") > 1).select(F.col("digest").alias("d"), F.col("size").alias("s"), "original"), "repeated-payloads")
     joined = rows.join(shared, (rows.digest == shared["d"]) & (rows["size"] == shared["s"]), "left")
     revisit = F.col("original").isNotNull() & ~F.col("page").eqNullSafe(F.col("original"))
     last = F.when(revisit, F.lit(0)).otherwise(F.floor((F.col("size") - 1) / CHUNK)).cast("int")
