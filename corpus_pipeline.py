@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanqc.llm.common import cut, shared_path
+from spanqc.llm.common import shared_path, stored
 from spanqc.llm.decontamination import contamination
 from spanqc.llm.language_id import identify
 from spanqc.llm.mixing import mix
@@ -53,11 +53,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the least id.
 
-    Rows that repeat an id stay or go together; rows without one stay.
+    Rows that repeat an id stay or go together, and stay if one of them is the least of its
+    group; rows without an id stay. Texts are shuffled only where the ids to drop are many.
     """
     groups = near_duplicates(docs.select("doc_id", "text"))
-    kept = cut(groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct())
-    return docs.join(kept, docs.doc_id == kept["__kept"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    least = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    gone = groups.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__gone")).agg(least.alias("least")).where(~F.col("least"))
+    return docs.join(stored(gone.select("__gone"), "near-duplicates"), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
