@@ -30,8 +30,8 @@ from .common import crc_mod, kept, rows_with_text, text_bytes
 BUCKETS, FACTORS = 1 << 18, 6
 #: Labelled rows of each quality learned from, at most about, and bytes of the longest text learned from.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 100_000
-#: Passes over the sample, texts of a step, rate, and decay of the weights.
-PASSES, STEP, RATE, DECAY = 12, 64, 0.08, 1e-5
+#: Passes over the sample and steps, both at least; texts of a step, rate, and decay of the weights.
+PASSES, STEPS, STEP, RATE, DECAY = 12, 800, 64, 0.08, 1e-5
 #: Scores from here on are predicted good.
 THRESHOLD = 0.3
 
@@ -77,7 +77,7 @@ def statistics(text: bytes, words: list[bytes], seen: Counter[bytes], recorded:
 
 
 def features(text: bytes | None, recorded: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values: the statistics, then words in lower case by damped count, of length one together."""
+    """Buckets and values: the statistics, then words in lower case by damped count, of length a half together."""
     text = text or b""
     words = text.split()
     seen = Counter(text.translate(TO_LOWER).split())
@@ -89,7 +89,7 @@ def features(text: bytes | None, recorded: float | None = None) -> tuple[np.ndar
     if len(at):
         at, where = np.unique(at, return_inverse=True)
         x = np.bincount(where, x)
-        x /= math.sqrt(float(x @ x))
+        x /= 2 * math.sqrt(float(x @ x))
     return np.r_[np.arange(first), at].astype(np.int32), np.r_[np.clip(values, -8, 8), x].astype(np.float32)
 
 
@@ -119,7 +119,7 @@ class Machine:
         """Logistic loss by stochastic gradients whose steps shrink with the gradients seen (AdaGrad)."""
         shuffle = np.random.default_rng(seed)
         of_weights, of_factors, of_bias = np.full_like(self.weights, 1e-3), np.full_like(self.factors, 1e-3), 1e-3
-        for _ in range(PASSES if rows else 0):
+        for _ in range(max(PASSES, -(-STEPS * STEP // len(rows))) if rows else 0):
             order = shuffle.permutation(len(rows))
             for k in range(0, len(order), STEP):
                 some = order[k : k + STEP]
