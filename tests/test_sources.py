@@ -61,12 +61,12 @@ def test_logs_and_metrics(spark, tmp_path):
     got = {r["segment"]: r for r in reports.parsed_logs(readers.read_logs(spark, str(logs)).withColumn("model", F.lit("m"))).collect()}
     assert (got["initial"]["processed"], got["initial"]["total_seconds"], got["initial"]["fallbacks"], got["initial"]["critical_errors"]) == (3747, 37248, 1, 1)
     assert got["resume_1"]["processed"] == 0 and got["resume_1"]["seconds_per_context"] is None
-    folder = tmp_path / "m" / "beto" / "strict" / "ft"
+    folder = tmp_path / "m" / "m1" / "strict" / "ft"
     folder.mkdir(parents=True)
     (folder / "metrics_test.csv").write_text("exact,f1\n0.5,0.6\n")
     schema = spark.createDataFrame([], "exact double, f1 double").schema
     r = readers.read_metric_files(spark, str(tmp_path / "m"), schema).head()
-    assert (r["model"], r["dataset"], r["mode"], r["f1"]) == ("beto", "strict", "ft", 0.6)
+    assert (r["model"], r["dataset"], r["mode"], r["f1"]) == ("m1", "strict", "ft", 0.6)
 
 
 def test_writers(spark, tmp_path):
