@@ -733,19 +733,28 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6: spans of characters as tokens of fixed width."""
+    """M6: spans of characters as tokens of fixed width, as many as the context has."""
     rows = X.classified(spark, sf_dir).where("model = 'a' AND literal_match")
-    offsets = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct((i * 10).alias("b"), (i * 10 + 10).alias("e")))
+    size = F.length("context")
+    offsets = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / 10).cast("int")), lambda i: F.struct((i * 10).alias("b"), F.least(i * 10 + 10, size).alias("e")))
     at = F.col("recomputed_answer_start")
     return rows.select("context_id", long("k").alias("k"), decode.span_tokens(offsets, at, at + F.length(T.strip("answer_text"))).alias("s")).select("context_id", "k", long("s.start_token").alias("start_token"), long("s.end_token").alias("end_token"))
 
 
 def logits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two windows of forty tokens for each context, with logits that follow from a hash."""
+    """Windows over each whole context, half overlapping, with logits that follow from a hash.
+
+    A window has 38 tokens of five characters and, at 0 and 20, two that stand for none; these and tokens beyond the end are at (0, 0).
+    """
     ids = X.contexts(spark, sf_dir).select(F.col("context_id").alias("id"), "context")
     value = lambda side: F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: (F.conv(F.substring(F.md5(F.concat_ws("/", "id", "window", i, F.lit(side))), 1, 6), 16, 10).cast("double") / 1e6))
-    offsets = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.when((i == 0) | (i == 20), F.struct(F.lit(0).alias("b"), F.lit(0).alias("e"))).otherwise(F.struct((F.col("window") * 100 + i * 5).alias("b"), (F.col("window") * 100 + i * 5 + 4).alias("e"))))
-    wide = ids.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("window"))
+    begin = lambda i: F.col("window") * 95 + (i - F.when(i < 20, 1).otherwise(2)) * 5
+    offsets = F.transform(
+        F.sequence(F.lit(0), F.lit(39)),
+        lambda i: F.when((i == 0) | (i == 20) | (begin(i) >= F.col("size")), F.struct(F.lit(0).alias("b"), F.lit(0).alias("e"))).otherwise(F.struct(begin(i).alias("b"), F.least(begin(i) + 5, F.col("size")).alias("e"))),
+    )
+    last = F.greatest(F.ceil(F.length("context") / 95).cast("int") - 2, F.lit(0))
+    wide = ids.select("id", F.length("context").alias("size"), F.explode(F.sequence(F.lit(0), last)).alias("window"))
     return wide.select(F.col("id").alias("example_id"), "window", offsets.alias("offsets"), value("s").alias("start_logits"), value("e").alias("end_logits")), ids
 
 

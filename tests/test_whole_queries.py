@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from test_operators import naive_decode
 from test_queries import plain
 
+from spanqc.plans import queries
 from spanqc.plans.oracles import ORACLES
 from spanqc.plans.queries import QUERIES
 
@@ -30,3 +32,20 @@ def test_every_event_is_a_log(spark, sf_dir, name):
     frame = same_as(spark, sf_dir.replace("sf0.001", "sf0.01"), name, ORACLES[name].replace(cut, ""), ["events"])  # users grow with the scale
     if name == "log_segments":
         assert frame.groupBy().sum("workers").head()[0] == 10_000
+
+
+def test_every_span_is_labelled(spark, sf_dir):
+    frame = same_as(spark, sf_dir, "token_labels", ORACLES["token_labels"].replace("e <= 200", "true"), ["documents"])
+    assert frame.where("end_token >= 20").count() > frame.where("end_token < 20").count()
+
+
+def test_windows_reach_the_end(spark, sf_dir):
+    features, examples = queries.logits(spark, sf_dir)
+    contexts = {r["id"]: r["context"] for r in examples.collect()}
+    rows = [(r["example_id"], r["window"], [tuple(o) for o in r["offsets"]], r["start_logits"], r["end_logits"]) for r in features.collect()]
+    covered = {name: set() for name in contexts}
+    for name, _, offsets, _, _ in rows:
+        covered[name].update(*[range(b, e) for b, e in offsets])
+    assert covered == {name: set(range(len(c))) for name, c in contexts.items()}
+    got = {r["id"]: (r["prediction_text"], r["no_answer_probability"]) for r in QUERIES["decode_spans"](spark, sf_dir).collect()}
+    assert got == naive_decode(rows, contexts, 20, 100)
