@@ -77,10 +77,14 @@ def within_iqr(frame: DataFrame, value: str, most: float | None = 100) -> DataFr
     return frame.crossJoin(F.broadcast(bounds)).where((F.col(value) >= F.col("lower")) & (F.col(value) <= upper)).select(frame.columns)  # one row
 
 
-def histogram(frame: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
-    """Rows of each bin of equal width; the highest value belongs to the last bin."""
-    bucket = F.least(F.width_bucket(F.col(value).cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins))
-    return frame.where(F.col(value).between(low, high)).groupBy(bucket.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def histogram(frame: DataFrame, value: str, bins: int) -> DataFrame:
+    """Rows of each bin of equal width from the least value to the highest, which belongs to the last bin; values that are all equal lie in the middle of a width of 1. Nulls aren't counted."""
+    v = F.col(value).cast("double")
+    low, high = F.col("_low"), F.col("_high")
+    middle = F.when(low == high, 0.5).otherwise(0.0)
+    bounds = frame.agg(F.min(v).alias("_low"), F.max(v).alias("_high")).select((low - middle).alias("_low"), (high + middle).alias("_high"))
+    bucket = F.least(F.width_bucket(v, low, high, F.lit(bins)), F.lit(bins))
+    return frame.where(v.isNotNull()).crossJoin(F.broadcast(bounds)).groupBy(bucket.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # one row of bounds
 
 
 def length_counts(frame: DataFrame, value: str, *by: str) -> DataFrame:

@@ -575,7 +575,7 @@ def word_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def word_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11."""
-    return reports.histogram(worded(spark, sf_dir), "words", 0, 1000, 50)
+    return reports.histogram(worded(spark, sf_dir), "words", 50)
 
 
 @query

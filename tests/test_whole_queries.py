@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 from test_operators import naive_decode
 from test_queries import plain
 
+from spanqc.operators import reports
 from spanqc.plans import queries
 from spanqc.plans.oracles import ORACLES
 from spanqc.plans.queries import QUERIES
@@ -49,3 +51,13 @@ def test_windows_reach_the_end(spark, sf_dir):
     assert covered == {name: set(range(len(c))) for name, c in contexts.items()}
     got = {r["id"]: (r["prediction_text"], r["no_answer_probability"]) for r in QUERIES["decode_spans"](spark, sf_dir).collect()}
     assert got == naive_decode(rows, contexts, 20, 100)
+
+
+def test_histogram_spans_all_values(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    words = [r["words"] for r in queries.worded(spark, big).collect()]
+    assert max(words) > 1000
+    want = {k + 1: n for k, n in enumerate(np.histogram(words, 50)[0].tolist()) if n}
+    assert {r["bin"]: r["n"] for r in QUERIES["word_histogram"](spark, big).collect()} == want
+    same = spark.createDataFrame([(5,), (5,), (None,)], "x int")
+    assert [tuple(r) for r in reports.histogram(same, "x", 4).collect()] == [(3, 2)] and reports.histogram(same.where("false"), "x", 4).collect() == []
