@@ -51,15 +51,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the least id.
+    """Of every group of near-duplicates one row: that with the least id, nulls last; of rows that repeat it any one.
 
-    Rows that repeat an id stay or go together, and stay if one of them is the least of its
-    group; rows without an id stay. Texts are shuffled only where the ids to drop are many.
+    Rows get a key, and are stored with it so that it stays theirs. Texts are shuffled only where the rows to drop are many.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    least = F.bool_or(F.col("doc_id") == F.col("component_id"))
-    gone = groups.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__gone")).agg(least.alias("least")).where(~F.col("least"))
-    return docs.join(stored(gone.select("__gone"), "near-duplicates"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    plain, names = plain_names(docs)
+    keyed = stored(plain.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    key = F.struct(F.col(names["doc_id"]).isNull().alias("none"), F.col(names["doc_id"]).alias("id"), "row")
+    groups = near_duplicates(keyed.select(key.alias("key"), names["text"]), "key", names["text"])
+    gone = groups.where(F.col("key.row") != F.col("component_id.row")).select(F.col("key.row").alias("gone"))
+    return named_back(keyed.join(stored(gone, "near-duplicates"), F.col("row") == F.col("gone"), "left_anti"), names)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
