@@ -209,15 +209,18 @@ def qc_status_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage whole.
 
-    A passage's first three words are looked for among the documents' runs of three words, so pairs meet by key.
+    A passage's words 2 to 4 are looked for among the documents' runs of three words, so pairs meet by key.
+    Of passages of fewer than five words these may be the last, which can be the beginning of a longer word; every document is searched for them.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(3)), " "))
     docs = X.table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = X.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(words(F.col("text")), 2, 3), " ").alias("run"))
+    every = X.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("_w"))
+    items = every.where(F.size("_w") >= 5).select("item_id", "passage", F.array_join(F.slice("_w", 2, 3), " ").alias("run"))
+    short = docs.join(every.where(F.size("_w") < 5).drop("_w"), F.contains("text", "passage"))
     keyed = docs.withColumn("_w", words(F.col("text"))).select("doc_id", F.explode(F.array_distinct(runs(F.col("_w")))).alias("run"))
     pairs = keyed.join(items, "run").join(docs, "doc_id")
-    return pairs.where(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
+    return pairs.where(F.contains("text", "passage")).select("doc_id", "item_id").union(short.select("doc_id", "item_id")).distinct()
 
 
 # Semantics.

@@ -61,3 +61,12 @@ def test_histogram_spans_all_values(spark, sf_dir):
     assert {r["bin"]: r["n"] for r in QUERIES["word_histogram"](spark, big).collect()} == want
     same = spark.createDataFrame([(5,), (5,), (None,)], "x int")
     assert [tuple(r) for r in reports.histogram(same, "x", 4).collect()] == [(3, 2)] and reports.histogram(same.where("false"), "x", 4).collect() == []
+
+
+def test_short_passages(spark, tmp_path):
+    docs = [(1, "the red fox jumps over it"), (2, "red foxes"), (3, "of one two three fourteen and"), (4, "x"), (5, None)]
+    items = [(1, "red fox"), (2, "one two three four"), (3, "x"), (4, "red fox jumps over it"), (5, "he red fox jumps over i"), (6, None), (7, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["passage_containment"](spark, str(tmp_path)).collect())
+    assert got == sorted((d, i) for d, text in docs for i, passage in items if None not in (text, passage) and passage in text)
