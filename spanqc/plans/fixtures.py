@@ -22,8 +22,8 @@ FOREIGN = "0000 respuesta ajena"
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of 82 to 150 words. That they have 163 characters at least is implied, and can be pushed to the scan."""
-    rows = table(spark, sf_dir, "documents").where((F.col("n_chars") >= 2 * WORDS_LOW - 1) & T.word_count("text").between(WORDS_LOW, WORDS_HIGH))
+    """Documents of 82 to 150 words."""
+    rows = table(spark, sf_dir, "documents").where(T.word_count("text").between(WORDS_LOW, WORDS_HIGH))
     return rows.select("doc_id", F.concat(F.lit("context_"), F.col("doc_id").cast("string")).alias("context_id"), F.col("text").alias("context"))
 
 

@@ -70,3 +70,9 @@ def test_short_passages(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
     got = sorted(tuple(r) for r in QUERIES["passage_containment"](spark, str(tmp_path)).collect())
     assert got == sorted((d, i) for d, text in docs for i, passage in items if None not in (text, passage) and passage in text)
+
+
+def test_contexts_by_words_alone(spark, tmp_path):
+    rows = [(k, " ".join(["w"] * n), size) for k, (n, size) in enumerate([(81, 500), (82, None), (100, 3), (150, 299), (151, None)])]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r["doc_id"] for r in queries.X.contexts(spark, str(tmp_path)).collect()) == [1, 2, 3]
