@@ -2,38 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, a single machine) a temporary one is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+from ..sources.shared import WRITTEN, filesystem, shared_dir, shared_path
 
 
 def cut(frame: DataFrame) -> DataFrame:
     """The frame's rows, held in the shared folder and without lineage."""
     shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    held = frame.checkpoint(eager=True)
+    files = held._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if files.isDefined():
+        WRITTEN.add(files.get())
+    return held
 
 
 def text_bytes(column: str) -> Column:
@@ -63,6 +54,43 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+#: Halvings of a hash that a draw tells apart.
+LEVELS = 53
+
+
+def drawn(rows: DataFrame, key: str, by: tuple[str, ...], most: int, weight: Column | None = None, heaviest: float = 0.0, keys: int = 500) -> tuple[DataFrame, dict]:
+    """At least ``most`` rows of each value of ``key``, or all, and at most four times as many; and each value's number of rows.
+
+    Rows are drawn by a hash of the columns ``by``, whatever the order they come in: one pass counts each value's
+    rows by how often their hash can be halved, the draw takes those of the least hashes. Where repeated
+    rows, whose hashes are equal, would make it more than that, it takes ``most`` of them in order of hash.
+    With a ``weight`` the draw also ends where the weights of a value's rows sum up to ``heaviest``, about. Null
+    values aren't drawn; more than ``keys`` values are an error.
+    """
+    number = F.shiftrightunsigned(F.xxhash64(*by), 64 - LEVELS)
+    level = (LEVELS - F.floor(F.log2(number.cast("double") + 1))).cast("int")
+    known = rows.where(F.col(key).isNotNull())
+    counted = known.groupBy(key, level.alias("__level")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.lit(0.0) if weight is None else weight.cast("double")).alias("__weight"))
+    levels: dict[object, dict[int, tuple[int, float]]] = {}
+    for value, at, n, heavy in counted.limit((LEVELS + 1) * keys + 1).collect():
+        levels.setdefault(value, {})[at] = n, heavy
+    if len(levels) > keys:
+        raise ValueError(f"more than {keys} values of {key}")
+    least, crowded = F.lit(LEVELS + 1), False
+    for value, own in levels.items():
+        n, heavy, at = 0, 0.0, LEVELS + 1
+        for at in sorted(own, reverse=True):
+            n, heavy = n + own[at][0], heavy + own[at][1]
+            if n >= most or weight is not None and heavy >= heaviest:
+                break
+        least, crowded = F.when(F.col(key) == F.lit(value), F.lit(at)).otherwise(least), crowded or n > 4 * most
+    found = known.where(level >= least)
+    if crowded:
+        line = Window.partitionBy(key).orderBy(number)
+        found = found.withColumn("__place", F.row_number().over(line)).where(F.col("__place") <= most).drop("__place")
+    return found, {value: sum(n for n, _ in own.values()) for value, own in levels.items()}
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions in the block give Python processes at most so many rows at a time."""
@@ -75,6 +103,41 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def save(path: str, **arrays: np.ndarray) -> None:
+    """Arrays as one file, which has its name only once it is whole."""
+    store, name = filesystem(path)
+    data = io.BytesIO()
+    np.savez(data, **arrays)
+    part = f"{name}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part, compression=None) as out:
+        out.write(data.getbuffer())
+    if store.get_file_info(name).is_file:  # another attempt at the task has written the same
+        store.delete_file(part)
+    else:
+        store.move(part, name)
+
+
+def load(path: str) -> dict[str, np.ndarray] | None:
+    """The arrays of a file; none if there is no such file."""
+    store, name = filesystem(path)
+    if not store.get_file_info(name).is_file:
+        return None
+    with store.open_input_stream(name, compression=None) as file:
+        found = np.load(io.BytesIO(file.read()), allow_pickle=False)
+        return {key: found[key] for key in found.files}
+
+
+def packed(words: list[bytes]) -> np.ndarray:
+    """Words, which hold no blanks, as one array."""
+    return np.frombuffer(b" ".join(words), np.uint8)
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from zero on in the narrowest type."""
+    top = int(values.max(initial=0))
+    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.int64)
+
+
 T = TypeVar("T")
 #: The one thing that a Python worker keeps from task to task, by its name.
 KEPT: dict[str, object] = {}
@@ -91,3 +154,26 @@ def kept(name: str, make: Callable[[], T]) -> T:
 def keep_nothing() -> None:
     """Gives up what another operator left in this worker."""
     KEPT.clear()
+
+
+def for_each_block(rows: DataFrame, by: tuple[str, ...], blocks: int, make: Callable[[int, pa.Table], None]) -> None:
+    """Deals rows into blocks by a hash of the columns ``by``, and calls ``make`` on executors with each block that has rows."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            ends = np.r_[np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+            for low, high in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                if low < high:
+                    if held and held[0].column("block")[0].as_py() != block[low]:
+                        make(held[0].column("block")[0].as_py(), pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(low, high - low))
+        if held:
+            make(held[0].column("block")[0].as_py(), pa.Table.from_batches(held))
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["done"])
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(*by), F.lit(blocks))).repartition(blocks, "block").sortWithinPartitions("block")
+    dealt.mapInArrow(made, StructType().add("done", LongType())).count()
