@@ -18,19 +18,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from .common import crc_mod, kept, rows_with_text
+from .common import crc_mod, drawn, kept, rows_with_text
 
 #: A run of letters, and of the numbers that aren't digits; the latter are taken out afterwards.
 RUN = re.compile(r"[^\W\d_]+")
 #: Opens a word.
 BEGIN = "▁"
-#: Labelled rows of a language that are learned from, at most about; and the bytes of the longest text learned from.
-TRAIN_ROWS, TRAIN_BYTES = 600, 100_000
-#: Different languages at most.
+#: Labelled rows of a language that are learned from, whatever their length: all if it has fewer, at most four times as many.
+TRAIN_ROWS = 600
+#: Different words of these rows that are learned from: the most frequent ones, of a language and of all languages together.
+TRAIN_WORDS, ALL_WORDS = 100_000, 2_000_000
+#: Different languages at most; more are an error.
 MOST_LANGUAGES = 500
 #: Rounds of expectation maximisation, and the weight of the pooled probabilities in each language's.
 ROUNDS, POOLED = 3, 200.0
@@ -207,18 +209,6 @@ def held_out(id_column: str, modulus: int = 4, remainder: int = 2) -> Column:
     return F.coalesce(crc_mod(id_column, modulus), F.lit(0)) == remainder
 
 
-def sampled_rows(rows: DataFrame, key: str, most: int, bytes_: int) -> DataFrame:
-    """About ``most`` rows of each value of ``key``, by a hash of id and text, of texts of at most ``bytes_``."""
-    rows = rows.where(F.col(key).isNotNull() & (F.octet_length("text") <= bytes_))
-    sizes = {r[key]: r["count"] for r in rows.groupBy(key).count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of {key}")
-    share = F.lit(0.0)
-    for value, n in sizes.items():
-        share = F.when(F.col(key) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) < share * 1_000_003)
-
-
 def learn(frame: DataFrame, path: str, id_column: str, text_column: str, lang_column: str, learned_rows: Column, rows: int = TRAIN_ROWS) -> Model:
     """The model of the labelled rows for which ``learned_rows`` holds."""
     labelled = frame.where(learned_rows).select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
@@ -227,12 +217,15 @@ def learn(frame: DataFrame, path: str, id_column: str, text_column: str, lang_co
         for batch in batches:
             counts: Counter[tuple[str, str]] = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((lang, word) for word in letters(text) if 0 < len(word) <= LONGEST)
+                counts.update((lang, word) for word in letters(text or "") if 0 < len(word) <= LONGEST)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
     schema = StructType().add("lang", StringType()).add("word", StringType()).add("n", LongType())
-    words = sampled_rows(labelled, "lang", rows, TRAIN_BYTES).select("lang", "text").mapInArrow(counted, schema)
-    found = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    sample, languages = drawn(labelled, "lang", ("id", "text"), rows, keys=MOST_LANGUAGES)
+    words = sample.select("lang", "text").mapInArrow(counted, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    line = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
+    most = min(TRAIN_WORDS, ALL_WORDS // max(1, len(languages)))
+    found = words.withColumn("place", F.row_number().over(line)).where(F.col("place") <= most).select("lang", "word", "n").toArrow()
     counts: dict[str, dict[str, int]] = {}
     for lang, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
         counts.setdefault(lang, {})[word] = n
@@ -243,8 +236,8 @@ def identify(frame: DataFrame, path: str, id_column: str = "doc_id", text_column
     """The language of every whole text.
 
     Learns from the text and non-null language of rows that aren't held out (crc32 of
-    the id as text, modulo 4, is 2; a null id isn't held out), at most about
-    ``TRAIN_ROWS`` of each language. Returns ``id_column``, the columns ``keep``, ``held_out``,
+    the id as text, modulo 4, is 2; a null id isn't held out): about
+    ``TRAIN_ROWS`` of each language, drawn whatever their length and row by row where rows repeat. Returns ``id_column``, the columns ``keep``, ``held_out``,
     ``lang_pred`` (a learned language; ``und`` if the text is null or has no letter, or
     if nothing could be learned) and ``score`` (the language's share of the
     chances, 0 for ``und``; ties go to the first language in order). Null and repeated
