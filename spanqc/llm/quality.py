@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructType
 
-from .common import crc_mod, kept, rows_with_text, text_bytes
+from .common import crc_mod, drawn, kept, rows_with_text, text_bytes
 
 #: Buckets of hashed words, of which the first hold the statistics; factors of the interactions.
 BUCKETS, FACTORS = 1 << 18, 6
-#: Labelled rows of each quality learned from, at most about, and bytes of the longest text learned from.
-TRAIN_ROWS, TRAIN_BYTES = 3000, 100_000
+#: Labelled rows of each quality that are learned from, whatever their length: all if there are fewer, at most four times as many.
+TRAIN_ROWS = 3000
+#: Features of each quality's rows that come to the driver, about; where rows are very long fewer of them are drawn.
+TRAIN_FEATURES = 4_000_000
 #: Passes over the sample and steps, both at least; texts of a step, rate, and decay of the weights.
 PASSES, STEPS, STEP, RATE, DECAY = 12, 800, 64, 0.08, 1e-5
 #: Scores from here on are predicted good.
@@ -117,9 +119,12 @@ class Machine:
 
     def learn(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, seed: int = 42) -> Machine:
         """Logistic loss by stochastic gradients whose steps shrink with the gradients seen (AdaGrad)."""
+        if not rows:
+            self.factors[:] = 0  # so that every score is 0.5
+            return self
         shuffle = np.random.default_rng(seed)
         of_weights, of_factors, of_bias = np.full_like(self.weights, 1e-3), np.full_like(self.factors, 1e-3), 1e-3
-        for _ in range(max(PASSES, -(-STEPS * STEP // len(rows))) if rows else 0):
+        for _ in range(max(PASSES, -(-STEPS * STEP // len(rows)))):
             order = shuffle.permutation(len(rows))
             for k in range(0, len(order), STEP):
                 some = order[k : k + STEP]
@@ -153,16 +158,14 @@ def recorded_length(frame: DataFrame, length_column: str | None) -> Column:
 def learn(frame: DataFrame, labels: DataFrame, id_column: str, text_column: str, length_column: str | None, label_id: str, label: str, rows: int = TRAIN_ROWS) -> Machine:
     """The machine learned from labelled rows that aren't held out, about ``rows`` of each label."""
     usable = labels.where(~held_out(label_id) & F.col(label).isin(0, 1)).select(F.col(label_id).alias("__id"), F.col(label).cast("int").alias("__label"))
-    sizes = {r["__label"]: r["count"] for r in usable.groupBy("__label").count().collect()}
-    share = F.lit(0.0)
-    for value, n in sizes.items():
-        share = F.when(F.col("__label") == value, F.lit(min(1.0, rows / n))).otherwise(share)
-    sample = usable.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < share * 1_000_003)
-    if sample.count() <= 4 * rows:
-        sample = F.broadcast(sample)
+    few, sizes = drawn(usable, "__label", ("__id",), rows)
+    # At most four times ``rows`` of each label.
     texts = frame.select(text_bytes(text_column).alias("__text"), recorded_length(frame, length_column).alias("__recorded"), id_column)
-    texts = texts.where(F.coalesce(F.octet_length("__text"), F.lit(0)) <= TRAIN_BYTES)
-    joined = texts.join(sample, texts[id_column] == F.col("__id")).select("__text", "__recorded", "__label")
+    joined = texts.join(F.broadcast(few), texts[id_column] == F.col("__id")).select("__id", "__text", "__recorded", "__label")
+    # An id may have any number of rows, so the rows are drawn once more.
+    features_of = F.least(F.lit(BUCKETS), F.coalesce(F.octet_length("__text"), F.lit(0)) / 2 + len(STATISTICS))
+    sample, _ = drawn(joined, "__label", ("__id", "__text"), rows, features_of, TRAIN_FEATURES)
+    joined = sample.select("__text", "__recorded", "__label")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +190,8 @@ def score(frame: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
 
     Learns from labels (0 or 1; others and null are left aside) of rows that aren't held
     out (crc32 of the id as text, modulo 5, is 0; a null id counts as an empty
-    text), at most about ``TRAIN_ROWS`` of each. Ids, languages, sources and labels are
+    text): about ``TRAIN_ROWS`` of each, drawn whatever their length and row by row where rows
+    or ids repeat, fewer where they have more than ``TRAIN_FEATURES``. Ids, languages, sources and labels are
     no inputs of a score. Returns ``id_column``, the columns ``keep``, ``held_out``, ``score`` (0 to 1,
     higher: 1 likelier) and ``predicted`` (1 from ``threshold`` on). Null texts score as
     empty ones; where the recorded length is missing it is marked so; null and
