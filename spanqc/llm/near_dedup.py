@@ -1,24 +1,26 @@
 """Near-duplicates by SimHash, with pivot distance tables.
 
 Fingerprints that differ in at most ``radius`` of 64 bits are linked. Texts with
-equal fingerprints form a class and are one node. Nodes meet where they can
-be near: the 64 bits are cut into blocks, of which a pair within the radius
-shares all but ``radius``, so a node goes to one place for each choice of
-shared blocks. In a place every node has its row in the pivot table, its Hamming
-distances to many reference fingerprints. By the triangle inequality two nodes
-within the radius have no coordinates further apart than that; pairs that do
-are discarded, and the others are verified bit by bit. Only a forest of a
-place's links leaves it, never all pairs; whole components come from joins.
+equal fingerprints form a class and are one node. Every node gets its row of the pivot
+table once, its Hamming distances to many reference fingerprints, which then goes with it.
+Nodes meet where they can be near: the 64 bits are cut into blocks, of which a pair within
+the radius shares all but ``radius``, so a node goes to one place for each choice of
+shared blocks. By the triangle inequality two nodes within the radius have no coordinates
+further apart than that. In a place the nodes stand in order of one coordinate, and a node is
+compared with those near it in that order only; the other coordinates discard pairs, and
+what is left is verified bit by bit. Only a forest of a place's links leaves it, never
+all pairs; whole components come from joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -36,42 +38,78 @@ CROWDED = 50_000
 AT_ONCE = 400_000
 
 
-def distance_table(nodes: np.ndarray) -> np.ndarray:
-    """Hamming distances of each fingerprint to each pivot."""
-    return np.bitwise_count(nodes[:, None] ^ PIVOTS).astype(np.int8)
+def table_columns(node: str) -> list[Column]:
+    """A node's row of the pivot table, its Hamming distance to each pivot, eight of them in each column."""
+    out = []
+    for k in range(0, len(PIVOTS), 8):
+        apart = [F.bit_count(F.col(node).bitwiseXOR(F.lit(p))).cast("long") for p in PIVOTS[k : k + 8].view(np.int64).tolist()]
+        out.append(reduce(Column.bitwiseOR, [F.shiftleft(d, 8 * i) for i, d in enumerate(apart)]).alias(f"table{k // 8}"))
+    return out
+
+
+TABLE = [f"table{k}" for k in range(len(PIVOTS) // 8)]
+
+
+#: A one, and the highest bit, in each byte.
+ONES, HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def coordinates_near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """For pairs of columns of the table, whether none of the eight coordinates are further apart than the radius.
+
+    Coordinates are 64 at most, so a byte of ``x`` is a difference plus 64 + radius, and no byte carries into the next.
+    """
+    x = a + ONES * np.uint64(64 + radius) - b
+    return (x + ONES * np.uint64(64)) & ~(x + ONES * np.uint64(63 - 2 * radius)) & HIGH == HIGH
 
 
-def within(a: np.ndarray, b: np.ndarray, nodes: np.ndarray, distances: np.ndarray, radius: int) -> np.ndarray:
-    """For pairs of indices, whether the fingerprints lie within the radius."""
+def within(a: np.ndarray, b: np.ndarray, nodes: np.ndarray, table: list[np.ndarray], radius: int) -> np.ndarray:
+    """For pairs of indices, whether the fingerprints lie within the radius; the table discards pairs, what is left is verified."""
     out = np.zeros(len(a), bool)
     for k in range(0, len(a), AT_ONCE):
         x, y = a[k : k + AT_ONCE], b[k : k + AT_ONCE]
-        left = np.flatnonzero(np.abs(distances[x] - distances[y]).max(axis=1) <= radius)
+        left = np.arange(len(x))
+        for column in table:
+            left = left[coordinates_near(column[x[left]], column[y[left]], radius)]
         out[k + left] = np.bitwise_count(nodes[x[left]] ^ nodes[y[left]]) <= radius
     return out
 
 
-def forest(nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(nodes: np.ndarray, table: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the near pairs of these different fingerprints connect.
 
-    Each tree grows by breadth: what it has reached is compared with what no
-    tree has reached, so nodes that are all near each other cost one round.
+    The nodes stand in order of the coordinate that differs most. Each tree grows by breadth: what it has
+    reached is compared with what no tree has reached and stands within the radius of it in that order, so
+    nodes that are all near each other cost one round.
     """
-    table, free = distance_table(nodes), np.arange(len(nodes))
+    plain = np.stack(table, 1).astype("<u8", copy=False).view(np.uint8)
+    line = plain[:, plain.astype(np.float32).var(axis=0).argmax()]
+    order = np.argsort(line, kind="stable")
+    own, columns, line = nodes[order], [column[order] for column in table], line[order]
+    begins = np.searchsorted(line, np.arange(-radius, 66 + radius))  # where each coordinate begins, from -radius on
+    free, left, low = np.ones(len(own), bool), len(own), 0
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(free) > 1:
-        reached, free = [free[0]], free[1:]
-        while reached and len(free):
+    while left > 1:
+        low += int(np.argmax(free[low:]))  # none before it is free
+        free[low] = False
+        left -= 1
+        reached = [low]
+        while reached and left:
             centre = reached.pop()
-            near = within(np.full(len(free), centre), free, nodes, table, radius)
-            new, free = free[near], free[~near]
-            found.append((np.full(len(new), centre), new))
-            reached += new.tolist()
-    a, b = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+            at = int(line[centre])
+            near = slice(max(low, int(begins[at])), int(begins[at + 2 * radius + 1]))
+            some = np.flatnonzero(coordinates_near(columns[0][near], columns[0][centre], radius) & free[near]) + near.start
+            some = some[within(np.full(len(some), centre), some, own, columns, radius)]
+            if len(some):
+                free[some] = False
+                left -= len(some)
+                found.append((np.full(len(some), centre), some))
+                reached += some.tolist()
+    a, b = (order[np.concatenate([x[i] for x in found])] if found else np.empty(0, np.int64) for i in (0, 1))
     return a, b
 
 
-def links_of(place: np.ndarray, nodes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links_of(place: np.ndarray, nodes: np.ndarray, table: list[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within the runs of equal ``place``; each run is whole and has no node twice."""
     starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     sizes = np.diff(np.r_[starts, len(place)])
@@ -81,15 +119,13 @@ def links_of(place: np.ndarray, nodes: np.ndarray, radius: int) -> Iterator[tupl
         begin = starts[sizes == size]
         step = max(1, AT_ONCE // len(one))
         for k in range(0, len(begin), step):
-            some = (begin[k : k + step, None] + np.arange(size)).ravel()
-            own, table = nodes[some], distance_table(nodes[some])
-            base = np.arange(0, len(some), size)[:, None]
+            base = begin[k : k + step, None]
             a, b = (base + one).ravel(), (base + other).ravel()
-            near = within(a, b, own, table, radius)
-            yield own[a[near]], own[b[near]]
+            near = within(a, b, nodes, table, radius)
+            yield nodes[a[near]], nodes[b[near]]
     for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
         own = nodes[start : start + size]
-        a, b = forest(own, radius)
+        a, b = forest(own, [column[start : start + size] for column in table], radius)
         yield own[a], own[b]
 
 
@@ -122,13 +158,13 @@ def blocks_for(count: int, radius: int) -> int:
 
 
 def places(nodes: DataFrame, count: int, radius: int) -> DataFrame:
-    """A row ``choice``, ``bits``, ``node`` for each place that a node goes to."""
+    """A row ``choice``, ``bits``, ``node`` and its table for each place that a node goes to."""
     blocks = blocks_for(count, radius)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [sum((1 << hi) - (1 << lo) for lo, hi in (edges[i : i + 2] for i in kept)) for kept in combinations(range(blocks), blocks - radius)]
     signed = [m - (m >> 63 << 64) for m in masks]
     rows = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("node").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])
-    return nodes.select("node", F.explode(rows).alias("place")).select("place.*", "node")
+    return nodes.select("node", *TABLE, F.explode(rows).alias("place")).select("place.*", "node", *TABLE)
 
 
 def spread(rows: DataFrame, crowded: int) -> DataFrame:
@@ -137,14 +173,15 @@ def spread(rows: DataFrame, crowded: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.least(o, own) * F.col("parts") + F.greatest(o, own))
     joined = rows.join(hot.select("choice", "bits", "parts"), ["choice", "bits"], "left")
-    return joined.select("choice", "bits", "node", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("part"))
+    return joined.select("choice", "bits", "node", *TABLE, F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("part"))
 
 
 def near_links(nodes: DataFrame, radius: int = 4, crowded: int = CROWDED) -> DataFrame:
-    """Links that connect all nodes within the radius; ``nodes`` has each fingerprint once, as ``node``."""
+    """Links that connect all nodes within the radius; ``nodes`` has each fingerprint once, as ``node``, with its row of the table."""
     count = nodes.count()
     rows = places(nodes, count, radius)
     rows = spread(rows, crowded) if count > crowded else rows.withColumn("part", F.lit(0).cast("long"))
+    names = ("choice", "bits", "part", "node", *TABLE)
     dealt = rows.repartition(F.col("choice"), F.col("bits"), F.col("part")).sortWithinPartitions("choice", "bits", "part")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,32 +189,32 @@ def near_links(nodes: DataFrame, radius: int = 4, crowded: int = CROWDED) -> Dat
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out(columns: tuple[np.ndarray, ...]) -> None:
-            choice, bits, part, node = columns
+            choice, bits, part, node, *table = columns
             new = (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1]) | (part[1:] != part[:-1])
-            found.extend(links_of(np.r_[0, np.cumsum(new)], node.view(np.uint64), radius))
+            found.extend(links_of(np.r_[0, np.cumsum(new)], node.view(np.uint64), [t.view(np.uint64) for t in table], radius))
             if sum(len(a) for a, _ in found) > AT_ONCE:
                 found[:] = [local_forest(*(np.concatenate([x[i] for x in found]) for i in (0, 1)))]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = tuple(batch.column(name).to_numpy(zero_copy_only=False) for name in ("choice", "bits", "part", "node"))
+            new = tuple(batch.column(name).to_numpy(zero_copy_only=False) for name in names)
             # A place may go on in the next batch, so the last one waits.
             last = np.flatnonzero((new[0] != new[0][-1]) | (new[1] != new[1][-1]) | (new[2] != new[2][-1]))
             if not len(last):
                 held.append(new)
                 continue
             upto = int(last[-1]) + 1
-            out(tuple(np.concatenate([*(h[i] for h in held), new[i][:upto]]) for i in range(4)))
+            out(tuple(np.concatenate([*(h[i] for h in held), new[i][:upto]]) for i in range(len(names))))
             held = [tuple(x[upto:] for x in new)]
         if held:
-            out(tuple(np.concatenate([h[i] for h in held]) for i in range(4)))
+            out(tuple(np.concatenate([h[i] for h in held]) for i in range(len(names))))
         if found:
             a, b = local_forest(*(np.concatenate([x[i] for x in found]) for i in (0, 1)))
             for k in range(0, len(a), AT_ONCE):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + AT_ONCE].view(np.int64)) for x in (a, b)], ["u", "v"])
 
-    return dealt.select("choice", "bits", "part", "node").mapInArrow(linked, StructType().add("u", LongType()).add("v", LongType()))
+    return dealt.select(*names).mapInArrow(linked, StructType().add("u", LongType()).add("v", LongType()))
 
 
 def fingerprint_table(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
@@ -205,7 +242,7 @@ def near_duplicates(frame: DataFrame, id_column: str = "doc_id", text_column: st
     """
     prints = cut(fingerprint_table(frame, id_column, text_column, width, seed))
     nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least")))
-    roots = components(near_links(nodes.select("node"), radius))
+    roots = components(near_links(cut(nodes.select("node", *table_columns("node"))), radius))
     # Each side of these joins is read from the shared folder, so hot keys are split.
     linked = cut(roots.join(nodes, "node"))
     least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
