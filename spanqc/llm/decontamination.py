@@ -5,7 +5,8 @@ that no benchmark item has can't lie in an occurrence, so the index holds
 the stretches of other words that are long enough for one. All windows of the
 benchmark are searched backwards, occurrences are located from sampled suffix
 positions, and what they cover is merged into removal spans. No text leaves its
-partition; the benchmark goes to the executors in blocks of bounded size.
+partition; the benchmark's windows lie in the shared folder in blocks of bounded size, of which
+a process holds one at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import keep_nothing, rows_with_text, text_bytes
+from ..sources.shared import filesystem, shared_path
+from .common import for_each_block, keep_nothing, load, packed, rows_with_text, save, text_bytes
 from .fm_index import FMIndex
 
 #: A-Z to lower case; what is neither 0-9, a-z nor beyond ASCII to a blank.
@@ -29,33 +31,60 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b) in string.digi
 SHARD_WORDS = 1_000_000
 #: Bytes of a text that are cut into words at a time.
 PIECE_BYTES = 4_000_000
-#: Bytes of the benchmark texts that are searched at a time, about.
-BLOCK_BYTES = 16_000_000
+#: Bytes of the benchmark texts that are searched at a time, about; an item is searched whole.
+BLOCK_BYTES = 4_000_000
 
 
 class Phrases:
-    """Windows of the items: ``width`` words each, or an item's all if it has fewer."""
+    """Windows of a block of items: ``width`` words each, or an item's all if it has fewer.
 
-    def __init__(self, items: list[tuple[str | None, bytes | None]], width: int) -> None:
-        self.width = width
-        self.symbol: dict[bytes, int] = {}
-        self.names: list[str | None] = []
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for name, text in items:
-            words = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in (text or b"").translate(FOLD).split()]
-            for k in range(max(len(words) - width + 1, 1) if words else 0):
-                owners.setdefault(tuple(words[k : k + width]), set()).add(len(self.names))
-            self.names.append(name)
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.matrix = np.zeros((len(owners), width), np.int64)
-        for k, window in enumerate(owners):
-            self.matrix[k, width - len(window) :] = window
-        self.shortest = int(self.lengths.min()) if len(owners) else width
-        self.owners = list(owners.values())
+    ``symbol`` numbers the words from 1. A window is a row of ``matrix``, at its end; those of window k are the items ``owners[first[k] : first[k + 1]]``.
+    """
+
+    def __init__(self, width: int, words: list[bytes], matrix: np.ndarray, lengths: np.ndarray, first: np.ndarray, owners: np.ndarray, names: pa.Array) -> None:
+        self.width, self.symbol, self.matrix, self.lengths, self.first, self.owners, self.names = width, {w: k for k, w in enumerate(words, 1)}, matrix, lengths, first, owners, names
+        self.shortest = int(lengths.min(initial=width))
+
+    @staticmethod
+    def arrays(names: pa.Array, texts: pa.Array, width: int) -> dict[str, np.ndarray]:
+        """What is kept of a block: windows, each once, with their items."""
+        symbol: dict[bytes, int] = {}
+        parts, sizes, owner = [np.zeros((0, width), np.int32)], [np.empty(0, np.int8)], [np.empty(0, np.int32)]
+        for k, text in enumerate(texts):
+            runs = [np.fromiter((symbol.setdefault(w, len(symbol) + 1) for w in words), np.int32, len(words)) for _, _, words in pieces(text.as_py() or b"", 0)]
+            words = np.concatenate([np.empty(0, np.int32), *runs])
+            if len(words):
+                windows = np.lib.stride_tricks.sliding_window_view(words, width) if len(words) >= width else np.r_[np.zeros(width - len(words), np.int32), words][None]
+                parts.append(windows)
+                sizes.append(np.full(len(windows), min(len(words), width), np.int8 if width < 128 else np.int64))
+                owner.append(np.full(len(windows), k, np.int32))
+        matrix, lengths, owners = np.concatenate(parts), np.concatenate(sizes), np.concatenate(owner)
+        order = np.lexsort((owners, *matrix.T))  # a shorter window has zeros in front, which no other has
+        matrix, lengths, owners = matrix[order], lengths[order], owners[order]
+        new = np.r_[True, (matrix[1:] != matrix[:-1]).any(axis=1)][: len(matrix)]
+        twice = np.r_[False, ~new[1:] & (owners[1:] == owners[:-1])][: len(matrix)]
+        first = np.flatnonzero(new[~twice])
+        kept = owners[~twice]
+        listed = pa.array(names, pa.string())
+        return {
+            "words": packed(list(symbol)), "matrix": matrix[new], "lengths": lengths[new].astype(np.int64), "first": np.r_[first, len(kept)], "owners": kept,
+            "names": np.frombuffer("".join(n or "" for n in listed.to_pylist()).encode(), np.uint8),
+            "ends": np.cumsum([0, *(len((n or "").encode()) for n in listed.to_pylist())]), "nulls": np.array([n is None for n in listed.to_pylist()], bool),
+        }
+
+    @staticmethod
+    def of(found: dict[str, np.ndarray], width: int) -> Phrases:
+        words = found["words"].tobytes().split(b" ") if len(found["words"]) else []
+        names = pa.array([None if none else found["names"][a:b].tobytes().decode() for a, b, none in zip(found["ends"][:-1].tolist(), found["ends"][1:].tolist(), found["nulls"].tolist(), strict=True)], pa.string())
+        return Phrases(width, words, found["matrix"], found["lengths"], found["first"], found["owners"], names)
+
+    def items(self, window: int) -> list[str]:
+        """The items that have a window, but those without a name."""
+        return self.names.take(pa.array(self.owners[self.first[window] : self.first[window + 1]])).drop_null().to_pylist()
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Every occurrence in these words: where it begins, and which window it is."""
-        symbols = np.fromiter(map(self.symbol.get, words, (0,) * len(words)), np.int64, len(words)) if self.owners else np.zeros(len(words), np.int64)
+        symbols = np.fromiter(map(self.symbol.get, words, (0,) * len(words)), np.int64, len(words))
         known = np.r_[0, (symbols > 0).astype(np.int8), 0]
         starts, ends = np.flatnonzero(np.diff(known) == 1), np.flatnonzero(np.diff(known) == -1)
         long = ends - starts >= self.shortest
@@ -126,20 +155,22 @@ class Shard:
             spans.setdefault(o, []).append((x, y))
         part = np.searchsorted(begins, at, "right") - 1
         for o, w in np.unique(np.stack([owner[part], window], 1), axis=0).tolist():
-            items.setdefault(o, set()).update(n for i in phrases.owners[w] if (n := phrases.names[i]) is not None)
+            items.setdefault(o, set()).update(phrases.items(w))
+
 
+def phrase_blocks(benchmark: DataFrame, item_column: str, text_column: str, width: int) -> tuple[str, int]:
+    """Writes the benchmark's windows as blocks into the shared folder, on executors; gives their folder and number.
 
-def phrase_blocks(benchmark: DataFrame, item_column: str, text_column: str, width: int) -> list:
-    """The benchmark's windows as broadcast blocks; the driver holds one block of rows at a time."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_column).cast("string").alias("item"), text_bytes(text_column).alias("text"))
+    Items that repeat an id and a text count once; the others are dealt by a hash of both.
+    """
+    folder = shared_path(benchmark.sparkSession, "benchmark")
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), text_bytes(text_column).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     count = max(1, -(-total // BLOCK_BYTES))
-    out = []
-    for k in range(count):
-        rows = items if count == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
-        out.append(spark.sparkContext.broadcast(Phrases([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in rows.toLocalIterator()], width)))
-    return out
+    store, path = filesystem(folder)
+    store.create_dir(path, recursive=True)
+    for_each_block(items, ("item", "text"), count, lambda number, table: save(f"{folder}/{number}", **Phrases.arrays(table.column("item").combine_chunks(), table.column("text").combine_chunks(), width)))
+    return folder, count
 
 
 def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", width: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -155,14 +186,20 @@ def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     words but isn't listed, items that repeat an id count once; other columns
     are left aside. Either table may be empty.
     """
-    blocks = phrase_blocks(benchmark, item_column, item_text_column, width)
+    folder, count = phrase_blocks(benchmark, item_column, item_text_column, width)
     span = StructType().add("start", LongType()).add("end", LongType())
     plain, text_name = rows_with_text(frame, id_column, text_column, keep)
     out = [c for c in plain.columns if c != "__text"]
     schema = StructType([plain.schema[c] for c in out]).add("n_words", LongType()).add("n_hit", LongType()).add("items", ArrayType(StringType())).add("spans", ArrayType(span))
 
+    def block(number: int) -> Phrases | None:
+        """One block at a time is held in a process."""
+        found = load(f"{folder}/{number}")
+        return found and Phrases.of(found, width)
+
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_nothing()
+        only = block(0) if count == 1 else None
         for batch in batches:
             counts: list[int] = []
             spans: dict[int, list[tuple[int, int]]] = {}
@@ -170,8 +207,9 @@ def contamination(frame: DataFrame, benchmark: DataFrame, id_column: str = "doc_
             shard = Shard(width)
 
             def flush(shard: Shard, spans: dict = spans, items: dict = items) -> Shard:
-                for block in blocks:
-                    shard.search(block.value, spans, items)
+                for number in range(count):
+                    if shard.words and (phrases := only if count == 1 else block(number)):
+                        shard.search(phrases, spans, items)
                 return Shard(width)
 
             for owner, text in enumerate(batch.column(text_name).cast(pa.binary())):
