@@ -5,8 +5,9 @@ of the source times. The documents of a source stand in a line; the expected
 copies are summed along it, one offset is added for the source, and a
 document is taken once for each whole number that its stretch of the line crosses.
 
-The line is cut into blocks by a hash of the id, so a hot source is summed in many
-tasks; only the blocks' numbers of documents are summed along a source.
+The line is cut into blocks by a hash of id and size, so a hot source is summed in many
+tasks; only the blocks' numbers of documents are summed along a source. Rows of one id and
+size are counted before they are put in line.
 Within a block documents stand by size, up in one block and down in the next,
 which keeps the words taken near the target.
 """
@@ -26,6 +27,8 @@ SHARE = 1.5
 MOST = 2
 #: Documents of a block while a source has fewer than the square of this.
 BLOCK_ROWS = 2048
+#: Rows alike that stay in one task.
+STRETCH = 10_000
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -73,7 +76,7 @@ def mix(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     source), ``taken`` (words, copies counted). No document is taken more than
     ``most`` times, rounded up. Sources stand by code point, null last and a source
     of its own. Null texts have no words; null and repeated ids keep their
-    rows (a null id's hash is that of no text). Where nothing has words, targets are zero.
+    rows. Where nothing has words, targets are zero.
     Other columns are left aside; an empty table gives none. Reruns agree:
     the offset comes from ``seed`` and the source.
     """
@@ -81,21 +84,26 @@ def mix(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     sized = cut(plain)
     targets = cut(source_targets(sized, weights, share, most))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("documents") / F.greatest(F.lit(BLOCK_ROWS), F.floor(F.sqrt("documents")))))
-    same = sized.source.eqNullSafe(targets.source)
-    placed = sized.join(targets, same).select(
-        "id", sized.source, "size", "source_size", "target",
-        F.pmod(unit_hash(F.lit(str(seed)), F.col("id").cast("string")), blocks).alias("block"),
+    # Rows of equal id and size can change places, so they stand as one with their number.
+    alike = sized.groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("rows"))
+    placed = alike.join(targets, alike.source.eqNullSafe(targets.source)).select(
+        "id", alike.source, "size", "source_size", "target", "rows",
+        F.pmod(unit_hash(F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size").cast("string")), blocks).alias("block"),
     )
     up = F.when(F.col("block") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    within = Window.partitionBy("source", "block").orderBy(up, F.col("id").asc_nulls_last())
-    ranked = placed.withColumn("rank", F.row_number().over(within) - 1)
+    within = Window.partitionBy("source", "block").orderBy(up, F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("rank", F.coalesce(F.sum("rows").over(within), F.lit(0)))
     # Documents in the blocks before; these are few rows for a source.
-    sums = placed.groupBy("source", "block").count()
+    sums = placed.groupBy("source", "block").agg(F.sum("rows").alias("count"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select(F.col("source").alias("of"), F.col("block").alias("at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    joined = ranked.join(first, ranked.source.eqNullSafe(first["of"]) & (ranked.block == first["at"]))
+    # A row for each document again; many alike are first dealt to many tasks in stretches.
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(STRETCH).cast("long")))
+    dealt = joined.select("*", stretch.alias("begin")).repartition("source", "block", "begin")
+    every = dealt.select("*", F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + STRETCH, F.col("rows")) - 1)).alias("own"))
     offset = unit_hash(F.lit(f"offset {seed}"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))) / F.lit(float(2**32))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place = F.col("before") + F.col("rank")
+    place = F.col("before") + F.col("rank") + F.col("own")
     copies = F.floor((place + 1) * ratio + offset) - F.floor(place * ratio + offset)
-    joined = ranked.join(first, ranked.source.eqNullSafe(first["of"]) & (ranked.block == first["at"]))
-    return joined.select(F.col("id").alias(id_column), "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+    return every.select(F.col("id").alias(id_column), "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
