@@ -16,13 +16,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructType
 
+from ..sources.shared import filesystem
 from .common import batches_of, stored, text_bytes
 
 #: Bytes of a chunk.
@@ -31,21 +32,21 @@ CHUNK = 64 * 1024
 AT_ONCE = 256
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 1000
-#: Bytes after which a task starts another file.
-FILE_BYTES = 1_000_000_000
+#: Bytes after which a task starts another file, and of a file's stretch of whole records that one task reads.
+FILE_BYTES, STRETCH_BYTES = 1_000_000_000, 64_000_000
 #: The profile of a record that stands for an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 END = b"\r\n\r\n"
 
 
-def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a URI or an absolute path, and the path in it."""
-    if path.startswith(("/", "file:")):
-        return pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    for hadoop in ("s3a:", "s3n:"):
-        path = "s3:" + path.removeprefix(hadoop) if path.startswith(hadoop) else path
-    return pyarrow.fs.FileSystem.from_uri(path)
+def on_a_line(page: str | None) -> str | None:
+    """An id as the value of a header line: what isn't a plain character is percent-encoded."""
+    return None if page is None else quote(page, safe="", errors="surrogatepass")
+
+
+def off_a_line(value: str | None) -> str | None:
+    return None if value is None else unquote(value, errors="surrogatepass")
 
 
 def record_name(page: str | None, digest: str) -> str:
@@ -54,7 +55,7 @@ def record_name(page: str | None, digest: str) -> str:
 
 def safe_uri(url: str | None, page: str | None) -> str:
     """A URL without characters that end a header line."""
-    return "".join(c if c > " " else f"%{ord(c):02X}" for c in url) if url else f"urn:page:{page}"
+    return "".join(c if c > " " else f"%{ord(c):02X}" for c in url) if url else f"urn:page:{on_a_line(page)}"
 
 
 def heads(page: str | None, url: str | None, digest: str, size: int, kind: str, original: str | None, date: str) -> bytes:
@@ -70,9 +71,9 @@ def heads(page: str | None, url: str | None, digest: str, size: int, kind: str,
         "Content-Type: application/http; msgtype=response",
     ]
     if page is not None:
-        lines.append(f"Page-ID: {page}")
+        lines.append(f"Page-ID: {on_a_line(page)}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_name(original, digest)}", f"Refers-To-Page-ID: {original}", f"Payload-Length: {size}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_name(original, digest)}", f"Refers-To-Page-ID: {on_a_line(original)}", f"Payload-Length: {size}"]
     block = len(http.encode()) + (size if kind == "response" else 0)
     return ("\r\n".join([*lines, f"Content-Length: {block}"]) + "\r\n\r\n" + http).encode("utf-8", "surrogatepass")
 
@@ -96,12 +97,16 @@ def payload_chunks(frame: DataFrame, id_column: str, url_column: str, payload_co
     return chunks.select("page", "url", "digest", "size", "kind", "original", "chunk", F.substring("payload", F.col("chunk") * CHUNK + 1, F.lit(CHUNK)).alias("data"))
 
 
+#: A row for each stretch of whole records of a file.
+MANIFEST = StructType().add("file", StringType()).add("offset", LongType()).add("first", LongType()).add("records", LongType()).add("bytes", LongType())
+
+
 class Writer:
     """Archive files of one task."""
 
     def __init__(self, folder: str, date: str) -> None:
         self.folder, self.date = folder, date
-        self.done: list[tuple[str, int, int]] = []
+        self.done: list[tuple[str, int, int, int, int]] = []  # file, where a stretch begins, its first record's number, records, bytes
         self.file = None
 
     def chunk(self, page: str | None, url: str | None, digest: str, size: int, kind: str, original: str | None, number: int, data: bytes) -> None:
@@ -111,6 +116,7 @@ class Writer:
                 self.end_file()
                 store, path = filesystem(f"{self.folder}/records-{uuid.uuid4().hex}.warc.gz")
                 self.path, self.file, self.bytes, self.records = f"{self.folder}/{path.rpartition('/')[2]}", store.open_output_stream(path, compression=None), 0, 0
+                self.begun, self.first = 0, 0
             self.packer, self.sha, self.wanted = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha1(), (kind, digest)
             self.put(self.packer.compress(heads(page, url, digest, size, kind, original, self.date)))
             self.open = True
@@ -130,11 +136,18 @@ class Writer:
             self.put(self.packer.compress(END) + self.packer.flush())
             self.records += 1
             self.open = False
+            if self.bytes - self.begun >= STRETCH_BYTES:
+                self.end_stretch()
+
+    def end_stretch(self) -> None:
+        if self.records > self.first:
+            self.done.append((self.path, self.begun, self.first, self.records - self.first, self.bytes - self.begun))
+            self.begun, self.first = self.bytes, self.records
 
     def end_file(self) -> None:
         if self.file is not None:
             self.file.close()
-            self.done.append((self.path, self.records, self.bytes))
+            self.end_stretch()
             self.file = None
 
 
@@ -143,7 +156,7 @@ def write_archives(frame: DataFrame, folder: str, id_column: str = "page_id", ur
 
     Of rows with equal payloads of at least ``least`` bytes that with the largest id is the
     response and the others revisit it; rows that repeat that id are responses
-    too. A null payload is empty; a null id is never the largest, and where all are null,
+    too. Ids may hold any characters. A null payload is empty; a null id is never the largest, and where all are null,
     all are responses. An empty table gives an empty manifest.
     """
 
@@ -155,14 +168,25 @@ def write_archives(frame: DataFrame, folder: str, id_column: str = "page_id", ur
                 out.chunk(*(column[k] for column in small), data.as_buffer())
         out.end_record()
         out.end_file()
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in out.done], pa.string()), *(pa.array([d[i] for d in out.done], pa.int64()) for i in (1, 2))], ["file", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in out.done], pa.string()), *(pa.array([d[i] for d in out.done], pa.int64()) for i in (1, 2, 3, 4))], MANIFEST.names)
 
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
     chunks = payload_chunks(frame, id_column, url_column, payload_column, least)
-    manifest = StructType().add("file", StringType()).add("records", LongType()).add("bytes", LongType())
     with batches_of(frame.sparkSession, AT_ONCE):
-        chunks.mapInArrow(written, manifest).write.parquet(f"{folder}/manifest")
+        chunks.mapInArrow(written, MANIFEST).write.parquet(f"{folder}/manifest")
+
+
+class Stretch:
+    """Some bytes of a file, from its position on."""
+
+    def __init__(self, file: BinaryIO, size: int) -> None:
+        self.file, self.left = file, size
+
+    def read(self, most: int) -> bytes:
+        found = self.file.read(min(most, self.left))
+        self.left -= len(found)
+        return found
 
 
 class Inflated:
@@ -244,11 +268,12 @@ def read_archives(spark: SparkSession, folder: str, data: bool = True) -> DataFr
     ``bytes_so_far``, ``sha1_so_far`` and ``last``. An empty payload has one chunk. A
     revisit has one chunk without data, with the length and digest of the full payload.
     """
-    def rows(path: str) -> Iterator[tuple]:
+    def rows(path: str, offset: int, first: int, size: int) -> Iterator[tuple]:
         store, name = filesystem(path)
-        with store.open_input_stream(name, compression=None) as file:
-            for number, (fields, parts) in enumerate(records(file)):
-                page, kind, refers = fields.get("page-id"), fields["warc-type"], fields.get("refers-to-page-id")
+        with store.open_input_file(name) as file:
+            file.seek(offset)
+            for number, (fields, parts) in enumerate(records(Stretch(file, size)), first):
+                page, kind, refers = off_a_line(fields.get("page-id")), fields["warc-type"], off_a_line(fields.get("refers-to-page-id"))
                 digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                 if kind == "revisit":
                     yield path, number, page, kind, refers, 0, None, int(fields["payload-length"]), digest, True
@@ -275,8 +300,8 @@ def read_archives(spark: SparkSession, folder: str, data: bool = True) -> DataFr
             def out(held: list[tuple]) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(types)], names)
 
-            for path in batch.column(0).to_pylist():
-                for row in rows(path):
+            for where in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "first", "bytes")), strict=True):
+                for row in rows(*where):
                     held.append(row)
                     weight += 200 + len(row[6] or b"")
                     if weight > 8_000_000:
@@ -285,9 +310,8 @@ def read_archives(spark: SparkSession, folder: str, data: bool = True) -> DataFr
             if held:
                 yield out(held)
 
-    files = spark.read.schema(StructType([StructField("file", StringType())])).parquet(f"{folder}/manifest")
-    count = max(1, files.count())
-    return files.repartition(count, "file").mapInArrow(read, CHUNKS)
+    stretches = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    return stretches.coalesce(1).repartition(max(1, stretches.count())).mapInArrow(read, CHUNKS)
 
 
 def page_digests(chunks: DataFrame, id_column: str = "page_id", id_type: str = "bigint") -> DataFrame:
