@@ -15,17 +15,21 @@ listed, so the levels grow with the list and the logarithm of the corpus only.
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-#: Rules listed at most; their filters go to every executor.
+#: Rules listed at most; their filters go to every executor. More are an error.
 MOST_RULES = 5_000_000
+#: A-Z to lower case.
+LOWER = {ord(a): ord(b) for a, b in zip(string.ascii_uppercase, string.ascii_lowercase, strict=True)}
 #: Levels at most; each has half of the one before, so far fewer are used.
 MOST_LEVELS = 200
 
@@ -114,19 +118,24 @@ def build_cascades(urls: DataFrame, lists: dict[str, list[str]], shape: Shape) -
     while True:
         first = {name: Bloom(sorted(keys), rate, salt) for salt, (name, keys) in enumerate(sorted(listed.items()), 1)}
 
-        def passing(batches: Iterator[pa.RecordBatch], first: dict[str, Bloom] = first) -> Iterator[pa.RecordBatch]:
+        filters = urls.sparkSession.sparkContext.broadcast(first)
+
+        def passing(batches: Iterator[pa.RecordBatch], filters: Broadcast[dict[str, Bloom]] = filters) -> Iterator[pa.RecordBatch]:
+            first = filters.value
             for batch in batches:
                 found: set[tuple[str, str]] = set()
                 for host, path in set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                     for key in shape.keys(host, path):
-                        found.update((name, key) for name, bloom in first.items() if key in bloom and key not in listed[name])
+                        found.update((name, key) for name, bloom in first.items() if key in bloom)
                 names, keys = ([x[i] for x in found] for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.string())], ["list", "key"])
 
-        most = 16 * sum(map(len, listed.values())) + 1000
+        # The listed keys that are asked for pass, and beside them about as many others.
+        most = 17 * sum(map(len, listed.values())) + 1000
         rows = urls.select("host", "path").mapInArrow(passing, StructType().add("list", StringType()).add("key", StringType())).distinct().limit(most + 1).collect()
+        filters.unpersist()
         if len(rows) <= most:
-            return {name: Cascade(first[name], sorted(listed[name]), sorted(r["key"] for r in rows if r["list"] == name)) for name in listed}
+            return {name: Cascade(first[name], sorted(listed[name]), sorted(r["key"] for r in rows if r["list"] == name and r["key"] not in listed[name])) for name in listed}
         rate /= 64
 
 
@@ -136,7 +145,7 @@ def judge(frame: DataFrame, allow: list[str], block: list[str], id_column: str =
     The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in
     lower case; the path goes on up to ``?``, ``#`` or the end. A rule fits its host and
     all subdomains where the URL's path starts with the rule's; the longest wins (of
-    equally long ones the longer host). Returns ``id_column``, ``host``, ``path``, ``rule``
+    equally long ones the longer host). A rule without a path, or with A-Z in its host, is an error. Returns ``id_column``, ``host``, ``path``, ``rule``
     (null where none fits) and ``verdict``: ``allow`` or ``block``, by the rule, or
     ``default`` without one, as a key that no cascade holds isn't listed. A rule in
     both lists blocks. Null URLs and those without ``://`` have empty host and path;
@@ -147,6 +156,8 @@ def judge(frame: DataFrame, allow: list[str], block: list[str], id_column: str =
         raise ValueError(f"more than {MOST_RULES} rules")
     if bad := [rule for rules in lists.values() for rule in rules if "/" not in rule]:
         raise ValueError(f"rules without a path: {bad[:5]}")
+    if bad := [rule for rules in lists.values() for rule in rules if (host := rule.partition("/")[0]) != host.translate(LOWER)]:
+        raise ValueError(f"rules whose host isn't in lower case, and so could never fit: {bad[:5]}")
     shape = Shape(rule for rules in lists.values() for rule in rules)
     urls = split_urls(frame, id_column, url_column)
     cascades = urls.sparkSession.sparkContext.broadcast(build_cascades(urls, lists, shape))
