@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_path
 from ..sources.tables import read_table
 from .bm25 import top_k
 from .chat import render
-from .common import shared_path
 from .decontamination import contamination, digest
 from .language_id import identify
 from .mixing import mix
@@ -90,7 +90,10 @@ ORACLES: dict[str, str] = {
             SELECT conv_id, count(*)::bigint AS n_turns,
                    list(length(role)::varchar || ':' || role || length(text)::varchar || ':' || text ORDER BY turn) AS turns,
                    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
-            FROM conversations GROUP BY conv_id
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+            UNION ALL
+            SELECT NULL, 1, [length(role)::varchar || ':' || role || length(text)::varchar || ':' || text], '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)
+            FROM conversations WHERE conv_id IS NULL
         ), begun AS (
             SELECT DISTINCT list_slice(turns, 1, k)::varchar AS beginning, k FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM lists)
         )
@@ -174,7 +177,7 @@ ORACLES: dict[str, str] = {
             SELECT l.source, l.source_size, l.documents, least(2.0::double * l.source_size, c.level * l.weight) AS target FROM levels l, chosen c
         ), placed AS (
             SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
-                   ('0x' || substr(md5(concat_ws(':', '42', s.doc_id::varchar)), 1, 8))::bigint
+                   ('0x' || substr(md5(concat_ws(':', '42', coalesce(s.doc_id::varchar, 'null'), s.size::varchar)), 1, 8))::bigint
                      % greatest(1, ceil(t.documents::double / greatest(2048, floor(sqrt(t.documents))))::bigint) AS block
             FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
         ), lined AS (

@@ -14,8 +14,8 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from spanqc.llm import bm25, chat, components, decontamination, fm_index, language_id, mixing, near_dedup, quality, simhash_kernel, token_counts, url_filter, warc
-from spanqc.llm.common import shared_path
+from spanqc.llm import bm25, chat, common, components, decontamination, fm_index, language_id, mixing, near_dedup, quality, simhash_kernel, token_counts, url_filter, warc
+from spanqc.sources.shared import shared_path
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n\t", "a", "A", "é", "日本 🎉", "x" * 3000, "the " * 900, "one two three", "One, two!\nthree", "12 34", "a\u00a0b", "<s> </s> ▁▁a", "tail  "]
@@ -79,11 +79,21 @@ def test_snapshots_collapse(spark):
         assert got[c]["rendered"] == "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in turns)
 
 
+def test_chat_rows_without_an_id(spark):
+    """They are conversations of one turn, dealt to many tasks, and collapse like any other."""
+    rows = [(None, k % 7, "u", f"t{k % 300}") for k in range(50_000)] + [(1, 0, "u", "t5"), (1, 1, "a", "x"), (2, 0, "u", "t6")]
+    out = chat.render(conversations(spark, rows).repartition(4))
+    got = out.groupBy("conv_id").count().rdd.collectAsMap()
+    lost = sum(t == "t5" for c, _, _, t in rows if c is None)
+    assert got == {None: 50_000 - lost, 1: 1, 2: 1}
+    assert {tuple(r) for r in out.where("conv_id IS NULL").select("n_turns", "rendered").distinct().collect()} == {(1, f"<|im_start|>u\nt{k}<|im_end|>\n") for k in range(300) if k != 5}
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "u", "a"), (1, 0, "u", "a"), (2, 0, "u", "a"), (None, None, "u", "z"), (None, 1, None, None), (3, 0, "u", "b"), (4, 0, "u", "b")]
     frame = conversations(spark, rows).withColumns({c: F.lit(1) for c in ("place", "h0", "more", "conv", "c", "n_turns", "rendered", "digest")})
-    got = {r["conv_id"]: r["n_turns"] for r in chat.render(frame).collect()}
-    assert got == {1: 2, None: 2, 3: 1, 4: 1}  # equal conversations both stay; a repeated row is a turn
+    got = sorted(((r["conv_id"], r["n_turns"]) for r in chat.render(frame).collect()), key=str)
+    assert got == [(1, 2), (3, 1), (4, 1), (None, 1), (None, 1)]  # equal conversations both stay; a repeated row is a turn; without an id each row stands alone
     assert chat.render(frame.where("false")).collect() == []
 
 
@@ -143,6 +153,42 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in unlabelled} == {"und"} and {r["score"] for r in unlabelled} == {0.0}
 
 
+def test_draws_are_bounded_and_tell_repeats_apart(spark):
+    rng = random.Random(5)
+    rows = [("a", str(i)) for i in range(5000)] + [("b", "same")] * 5000 + [("b", f"{i % 3}") for i in range(3)] + [("c", "few")] * 7 + [(None, "no")] * 50
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "kind string, text string")
+    found, sizes = common.drawn(frame, "kind", ("text",), 100)
+    got = found.groupBy("kind").count().rdd.collectAsMap()
+    assert sizes == {"a": 5000, "b": 5003, "c": 7} and got["b"] == 100 and got["c"] == 7 and 100 <= got["a"] <= 400
+    again, _ = common.drawn(frame.repartition(7), "kind", ("text",), 100)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
+    heavy, _ = common.drawn(frame, "kind", ("text",), 100, F.lit(10.0), 50.0)
+    assert 5 <= heavy.where("kind = 'a'").count() < 30
+    with pytest.raises(ValueError, match="more than 2 values"):
+        common.drawn(frame, "kind", ("text",), 100, keys=2)
+
+
+def test_languages_of_long_texts_and_of_repeats_are_learned(spark):
+    """Neither a text's length nor that rows are equal keeps a language from being learned."""
+    words = {"x": "hello world again and over there the thing", "y": "allez bonjour toujours merci encore une fois la chose", "z": "guten morgen wieder und noch einmal das ding"}
+    rows = [(k, (words["x"] + " ") * 4000, "x", None, None) for k in range(30)] + [(1000, words["y"], "y", None, None)] * 40_000 + [(2000 + k, words["z"], "z", None, None) for k in range(8)]
+    assert len(rows[0][1]) > 160_000
+    asked = [(5000, "hello there again", None, None, None), (5001, "merci toujours une fois", None, None, None), (5002, "wieder das ding", None, None, None)]
+    frame = documents(spark, rows + asked).repartition(4)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(frame, MODEL).where("doc_id >= 5000").collect()}
+    assert got == {5000: "x", 5001: "y", 5002: "z"}
+
+
+def test_learned_words_are_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_WORDS", 2)
+    frame = documents(spark, [(1, "aa aa aa bb bb cc", "x", None, None), (4, "dd", "y", None, None)])
+    kept = []
+    monkeypatch.setattr(language_id.Model, "learn", staticmethod(lambda counts, path: kept.append(counts)))
+    language_id.learn(frame, MODEL, "doc_id", "text", "lang", F.lit(True))
+    assert kept == [{"x": {"aa": 3, "bb": 2}, "y": {"dd": 1}}]
+
+
 # Near-duplicates.
 
 
@@ -152,7 +198,7 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def smallest_reachable(ids, prints, radius=4):
+def smallest_reachable(ids, prints, radius=4, links=None):
     parent = list(range(len(ids)))
 
     def root(x):
@@ -160,10 +206,9 @@ def smallest_reachable(ids, prints, radius=4):
             x = parent[x]
         return x
 
-    for i in range(len(ids)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius:
-                parent[root(i)] = root(j)
+    near = ((i, j) for i in range(len(ids)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius) if links is None else links
+    for i, j in near:
+        parent[root(i)] = root(j)
     least = {}
     for i, x in enumerate(ids):
         if x is not None:
@@ -198,7 +243,8 @@ def test_dense_and_chained_fingerprints(spark, crowded):
     prints += [rng.getrandbits(64) for _ in range(200)]
     prints = sorted(set(prints))
     signed = [p - (p >> 63 << 64) for p in prints]
-    links = near_dedup.near_links(spark.createDataFrame([(s,) for s in signed], "node long"), 4, crowded)
+    nodes = spark.createDataFrame([(s,) for s in signed], "node long")
+    links = near_dedup.near_links(nodes.select("node", *near_dedup.table_columns("node")), 4, crowded)
     found = {r["node"]: r["root"] for r in components.components(links).collect()}
     want = smallest_reachable(signed, prints)
     assert [found.get(s, s) for s in signed] == want
@@ -222,11 +268,50 @@ def test_components_of_random_graphs(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def distance_table(nodes):
+    plain = np.bitwise_count(nodes[:, None] ^ near_dedup.PIVOTS).astype(np.uint8)
+    return [np.ascontiguousarray(plain[:, k : k + 8]).view("<u8")[:, 0] for k in range(0, plain.shape[1], 8)]
+
+
+def test_pivot_tables_are_made_once_for_each_node(spark):
+    nodes = np.random.default_rng(6).integers(0, 2**64, 50, np.uint64)
+    frame = spark.createDataFrame([(int(n),) for n in nodes.view(np.int64)], "node long").select("node", *near_dedup.table_columns("node"))
+    rows = frame.collect()
+    want = distance_table(np.array([r["node"] for r in rows], np.int64).view(np.uint64))
+    assert [[r[c] for r in rows] for c in near_dedup.TABLE] == [w.view(np.int64).tolist() for w in want]
+    for radius in (0, 4, 9):
+        a, b = np.triu_indices(len(nodes), 1)
+        plain = np.bitwise_count(nodes[:, None] ^ near_dedup.PIVOTS).astype(int)
+        most = np.abs(plain[a] - plain[b])
+        for k, column in enumerate(distance_table(nodes)):
+            assert (near_dedup.coordinates_near(column[a], column[b], radius) == (most[:, 8 * k : 8 * k + 8].max(axis=1) <= radius)).all()
+
+
+def test_a_crowded_place_takes_seconds():
+    """Of 100,000 unrelated nodes that share a part of their bits, the tables leave few pairs to verify."""
+    import time
+
+    rng = np.random.default_rng(7)
+    nodes = np.unique(rng.integers(0, 2**43, 100_000, np.uint64))
+    nodes = np.unique(np.r_[nodes, nodes[:300] ^ np.uint64(0b1001)])
+    began = time.process_time()
+    a, b = near_dedup.forest(nodes, distance_table(nodes), 4)
+    assert time.process_time() - began < 60
+    near = np.bitwise_count(nodes[a] ^ nodes[b])
+    assert len(a) >= 300 and near.max() <= 4
+    pairs = set(zip(a.tolist(), b.tolist(), strict=True)) | set(zip(b.tolist(), a.tolist(), strict=True))
+    few = nodes[:2000]
+    x, y = np.triu_indices(len(few), 1)
+    exact = np.bitwise_count(few[x] ^ few[y]) <= 4
+    parent = smallest_reachable(list(range(len(nodes))), None, links=pairs)
+    assert all(parent[i] == parent[j] for i, j in zip(x[exact].tolist(), y[exact].tolist(), strict=True))
+
+
 def test_pivot_filter_keeps_all_near_pairs():
     nodes = np.random.default_rng(5).integers(0, 2**64, 300, np.uint64)
     near = nodes ^ np.uint64(0b1011)
     both = np.r_[nodes, near]
-    table = near_dedup.distance_table(both)
+    table = distance_table(both)
     a, b = np.triu_indices(len(both), 1)
     exact = np.bitwise_count(both[a] ^ both[b]) <= 4
     assert (near_dedup.within(a, b, both, table, 4) == exact).all() and exact.sum() >= 300
@@ -353,6 +438,35 @@ def test_archives_round_trip(spark):
     assert [p["last"] for p in parts] == [False] * (len(parts) - 1) + [True]
 
 
+def test_ids_of_any_characters(spark):
+    ids = ["a\r\nWARC-Type: x", " outer ", "é%41", "", "plain", None]
+    frame = spark.createDataFrame([(i, "u", "p" * 1500) for i in ids], "page_id string, url string, html string")
+    folder = shared_path(spark, "warc-ids")
+    warc.write_archives(frame, folder)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.page_digests(warc.read_archives(spark, folder), id_type="string").collect()}
+    assert got == {i: ("response", None) if i == "é%41" else ("revisit", "é%41") for i in ids}
+
+
+def test_archives_are_read_in_stretches(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "STRETCH_BYTES", 2000)
+    rng = random.Random(3)
+    payloads = [bytes(rng.randrange(256) for _ in range(900)) for _ in range(12)]
+    out = warc.Writer(str(tmp_path), "1970-01-01T00:00:00Z")
+    for k, p in enumerate(payloads):
+        out.chunk(str(k), None, hashlib.sha1(p).hexdigest(), len(p), "response", None, 0, p)
+    out.end_record()
+    out.end_file()
+    assert len(out.done) > 2 and [d[2] for d in out.done] == list(np.cumsum([0, *[d[3] for d in out.done]]))[:-1]
+    found = []
+    for path, offset, _, n, size in out.done:
+        with open(path, "rb") as file:
+            file.seek(offset)
+            part = [b"".join(pieces) for _, pieces in warc.records(warc.Stretch(file, size))]
+        assert len(part) == n
+        found += part
+    assert found == payloads
+
+
 def test_archives_edges(spark):
     folder = shared_path(spark, "warc-empty")
     warc.write_archives(pages(spark, []), folder)
@@ -399,6 +513,9 @@ def test_urls(spark):
     assert [got[i] for i in range(len(urls))] == [judged(u) for u in urls]
     assert url_filter.judge(frame.where("false"), *RULES).collect() == []
     assert {r["verdict"] for r in url_filter.judge(frame, [], [], default="block").collect()} == {"block"}
+    for rule in ("Example.com/", "nopath"):
+        with pytest.raises(ValueError, match="rules"):
+            url_filter.judge(frame, [rule], [])
 
 
 def test_cascade_is_exact_over_its_universe():
@@ -447,6 +564,53 @@ def test_mix(spark, sf_dir, monkeypatch):
     assert all(abs(taken[s] - target[s]) <= 2.5 * most[s] for s in taken)
 
 
+def mixed_by_hand(docs, block_rows):
+    """The mix restated: rows are (id, source, size)."""
+    import math
+
+    order = sorted({s for _, s, _ in docs}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(n for _, x, n in docs if x == s) for s in order}
+    rows = {s: sum(x == s for _, x, _ in docs) for s in order}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, target, free = 1.5 * sum(sizes.values()), dict.fromkeys(order, 0.0), set(order)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        target.update({s: 2.0 * sizes[s] for s in full} if full else {s: level * weight[s] for s in free})
+        left -= sum(2.0 * sizes[s] for s in full)
+        free = free - full if full else set()
+    digits = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    out = []
+    for s in order:
+        blocks = max(1, math.ceil(rows[s] / max(block_rows, math.floor(math.sqrt(rows[s])))))
+        line = [(digits(f"42:{'null' if d is None else d}:{n}") % blocks, n, d) for d, x, n in docs if x == s]
+        line.sort(key=lambda r: (r[0], r[1] if r[0] % 2 == 0 else -r[1], r[2] is None, r[2] or 0))
+        ratio = target[s] / sizes[s] if sizes[s] else 0.0
+        start = digits("offset 42:" + ("null" if s is None else "=" + s)) / 2**32
+        out += [(d, n, sizes[s], (math.floor((k + 1) * ratio + start) - math.floor(k * ratio + start)) * n) for k, (_, n, d) in enumerate(line)]
+    return out
+
+
+def test_mix_by_hand_with_repeats_and_null_ids(spark, monkeypatch):
+    """Rows of one id and size stand as one in the line, and are dealt to many tasks after it."""
+    monkeypatch.setattr(mixing, "STRETCH", 7)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 40)
+    rng = random.Random(12)
+    rows = [(None if rng.random() < 0.3 else rng.randint(0, 90), "w " * rng.randint(0, 9), None, rng.choice(["a", "b", None]), None) for _ in range(900)]
+    got = sorted(((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in mixing.mix(documents(spark, rows)).collect()), key=str)
+    want = sorted(mixed_by_hand([(d, s, len(t.split())) for d, t, _, s, _ in rows], 40), key=str)
+    assert got == want
+
+
+def test_mix_spreads_null_ids(spark):
+    rows = spark.range(50_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "repeat('w ', CAST(id % 500 AS int)) AS text", "'s' AS source")
+    out = mixing.mix(rows)
+    assert out.count() == 50_000
+    plan = out._jdf.queryExecution().toString()
+    assert "partial_count" in plan  # counted before they are shuffled
+    assert out.groupBy("size").count().count() == 500
+
+
 def test_mix_edges(spark):
     frame = odd_documents(spark)
     rows = mixing.mix(frame).collect()
@@ -482,7 +646,7 @@ def best_rows(texts, k, every, terms):
 @pytest.mark.parametrize("block", [1, 3, 64])
 def test_search_by_brute_force(spark, monkeypatch, block):
     rng = random.Random(block)
-    monkeypatch.setattr(bm25, "BLOCK", block)
+    monkeypatch.setattr(bm25, "FIRST", block)
     monkeypatch.setattr(bm25, "QUERIES_AT_ONCE", 5)
     vocabulary = [f"w{i}" for i in range(40)]
     weights = [1 / (i + 1) for i in range(40)]
@@ -494,9 +658,66 @@ def test_search_by_brute_force(spark, monkeypatch, block):
         assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
 
 
+def asked_once(texts):
+    """The texts with those of an id joined, as which its rows ask."""
+    joined = {}
+    for name, text in texts:
+        joined.setdefault(name, []).append(text or "")
+    return {name: " ".join(t) for name, t in joined.items()}
+
+
+def best_rows_of_repeats(texts, k, every):
+    """As ``best_rows``, where an id asks once with the different words of all its rows."""
+    alone = [(None, t) for _, t in texts]
+    out = []
+    for name, text in asked_once(texts).items():
+        if name is None or name % every:
+            continue
+        # A row more, which only asks: it isn't counted among the rows.
+        words = set(words_of(text))
+        found = scores_of(alone, words)
+        ranked = sorted(((-s, texts[i][0] is None, texts[i][0] or 0) for i, s in found.items()))[:k]
+        out += [(name, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(ranked)]
+    return sorted(out, key=str)
+
+
+def scores_of(texts, words):
+    import math
+    from collections import Counter
+
+    counts = [Counter(words_of(t)) for _, t in texts]
+    mean = sum(map(Counter.total, counts)) / max(1, len(texts))
+    df = Counter(w for c in counts for w in c)
+    idf = {w: math.log1p((len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    share = lambda c, w: c[w] * 2.2 / (c[w] + 1.2 * (1 - 0.75 + 0.75 * c.total() / mean))
+    return {i: round(sum(idf[w] * share(c, w) for w in sorted(words) if w in c), 6) for i, c in enumerate(counts) if words & set(c)}
+
+
+def test_search_with_repeated_ids(spark):
+    """Equal rows ask with a word once, and rows of one id with the words of all."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 25)))) for i in range(80)]
+    texts += [texts[0], texts[20], texts[20], (40, "w1 w2 w3 quite another text"), (None, texts[40][1]), (None, texts[40][1]), (60, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in bm25.top_k(frame).collect()), key=str)
+    want = best_rows_of_repeats(texts, 10, 20)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
+    once = [t for k, t in enumerate(texts[:80])]
+    frame = spark.createDataFrame([*once, once[20]], "doc_id long, text string")
+    few = {r["query_id"]: r for r in bm25.top_k(frame, k=1, terms=3).collect()}
+    words = sorted(words_of(once[20][1]), key=lambda w: w)
+    shares = {w: scores_of([*once, once[20]], {w})[20] for w in set(words)}
+    # The id's two rows ask as a text twice as long, so the shares differ; but three different words ask.
+    assert few[20]["score"] <= sum(sorted(shares.values())[-3:]) + 1e-5 and few[20]["doc_id"] == 20
+
+
 def test_search_edges(spark):
     frame = odd_documents(spark)
-    assert bm25.top_k(frame, every=1).count() > 0
+    rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
+    got = sorted((tuple(r) for r in bm25.top_k(frame, every=1).collect()), key=str)
+    want = best_rows_of_repeats(rows, 10, 1)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
     assert bm25.top_k(frame.where("false")).collect() == []
 
 
@@ -528,11 +749,27 @@ def test_quality_of_held_out_texts(spark, sf_dir):
     assert {r["doc_id"]: r["score"] for r in again} == {d: r["score"] for d, r in rows.items()}
 
 
+def test_quality_learns_a_bounded_number_of_repeats(spark, monkeypatch):
+    """A repeated id's rows are drawn one by one, and very long texts have fewer rows drawn."""
+    seen = []
+    learn = quality.Machine.learn
+    monkeypatch.setattr(quality.Machine, "learn", lambda self, rows, *rest: seen.append(len(rows)) or learn(self, rows[:50], *(r[:50] for r in rest)))
+    rows = [(1, f"good text {k % 5}", None, None, None) for k in range(40_000)] + [(k, f"bad {k}", None, None, None) for k in range(2, 200)]
+    labels = spark.createDataFrame([(1, 1)] + [(k, 0) for k in range(2, 200)], "doc_id long, quality int")
+    quality.learn(documents(spark, rows), labels, "doc_id", "text", None, "doc_id", "quality", 30)
+    assert 60 <= seen[0] <= 240
+    long = [(k, " ".join(f"w{k}x{i}" for i in range(4000)), None, None, None) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "TRAIN_FEATURES", 40_000)
+    quality.learn(documents(spark, long), labels, "doc_id", "text", None, "doc_id", "quality", 30)
+    assert 2 <= seen[1] < 20
+
+
 def test_quality_edges(spark):
     frame = odd_documents(spark)
     labels = spark.createDataFrame([(4, 1), (5, 0), (5, 0), (6, None), (None, 1), (7, 3), (10, 1)], "doc_id long, quality int").withColumn("toxic", F.lit(0))
     rows = quality.score(frame, labels).collect()
     assert len(rows) == frame.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.score(frame.where("false"), labels).collect() == []
-    assert {r["score"] for r in quality.score(frame, labels.where("false")).collect()} <= {r["score"] for r in quality.score(frame, labels.where("false")).collect()}
+    assert {r["score"] for r in quality.score(frame, labels.where("false")).collect()} == {0.5}
     assert quality.score(frame.drop("n_chars"), labels).count() == frame.count()
