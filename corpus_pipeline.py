@@ -13,12 +13,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanqc.llm.common import shared_path, stored
+from spanqc.llm.common import stored
 from spanqc.llm.decontamination import contamination
 from spanqc.llm.language_id import identify
 from spanqc.llm.mixing import mix
 from spanqc.llm.near_dedup import near_duplicates
 from spanqc.llm.quality import score
+from spanqc.sources.shared import WRITTEN, forget, shared_path
 from spanqc.sources.tables import read_table
 
 
@@ -83,16 +84,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source mixing", mixed),
 ]
 
-#: The classifiers and fingerprints can't be expressed in SQL; the tests hold the stages against brute force.
+#: The classifiers and fingerprints can't be expressed in SQL; tests/llm/test_pipeline.py holds each stage against brute force, given what the classifiers learned.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what each keeps is written to the shared folder and read again."""
+    """All stages on ``documents``; what each keeps is written to the shared folder and read again.
+
+    What a stage read, and what it put into the shared folder besides, is taken away once its rows are written.
+    """
     folder = shared_path(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES[:-1]):
+        others_ = set(WRITTEN)
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        forget(f"{folder}/{number - 1}", *(WRITTEN - others_))
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
