@@ -86,8 +86,29 @@ def normalize_exact(texts: pd.Series) -> pd.Series:
     return texts.map(normal_form, na_action=None)
 
 
-def normalize(c: Column | str, exact: bool = False) -> Column:
-    return normalize_exact(column(c)) if exact else normalize_fast(c)
+def runs_of(numbers: Sequence[int]) -> list[tuple[int, int]]:
+    """Numbers in order as runs, first and last."""
+    starts = [k for k in numbers if k - 1 not in numbers]
+    ends = [k for k in numbers if k + 1 not in numbers]
+    return list(zip(starts, ends, strict=True))
+
+
+#: Characters on which the fast normal form is exact; a rule makes the list.
+PLAIN = [k for k in range(0x250) if not 0x1C <= k <= 0x1F and (chr(k) in ACCENTED or bare(chr(k)) == chr(k))] + sorted(map(ord, QUOTES))
+PLAIN_TEXT = "\\A[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs_of(PLAIN)) + "]*\\z"
+
+
+def is_plain(c: Column | str) -> Column:
+    """Whether a text has only characters on which the fast normal form is exact."""
+    return F.rlike(F.lower(or_empty(c)), F.lit(PLAIN_TEXT))
+
+
+def normalize(c: Column | str, exact: bool = True) -> Column:
+    """The exact normal form; Python is given only texts on which the fast one may differ. Unless ``exact``, the fast one."""
+    if not exact:
+        return normalize_fast(c)
+    text, plain = column(c), is_plain(c)
+    return F.when(plain, normalize_fast(text)).otherwise(normalize_exact(F.when(~plain, text)))
 
 
 def similarity_of(a: str | None, b: str | None) -> float:

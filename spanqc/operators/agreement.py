@@ -27,12 +27,32 @@ def unmatched(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -> DataF
     return only(a, b, "a").unionByName(only(b, a, "b"))
 
 
-def same_answer(a: Column, b: Column, exact: bool = False) -> Column:
+def positional(a: DataFrame, b: DataFrame, columns: tuple[str, ...], context: str = "context_id", place: str = "k") -> DataFrame:
+    """The two generators' rows of equal place in a context, side by side.
+
+    Rows of a context that another number of places or another question at a place faces are an error: its answers can't be compared.
+    """
+    keys = (context, place)
+    left = a.select(*keys, F.col("question").alias("question_a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = b.select(*keys, F.col("question").alias("question_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    both = left.join(right, list(keys), "full")
+    wrong = F.when(~F.col("question_a").eqNullSafe(F.col("question_b")), F.raise_error(F.concat(F.lit("other questions or places in context "), F.coalesce(F.col(context).cast("string"), F.lit("null")))).cast("boolean"))
+    return both.where(F.coalesce(wrong, F.lit(True))).withColumnRenamed("question_a", "question").drop("question_b")
+
+
+def by_number(a: DataFrame, b: DataFrame, columns: tuple[str, ...], key: str = "context_id") -> DataFrame:
+    """Rows of contexts with the same number at the end of their ids, whatever stands before it, by question; rows whose number only one side has are left out."""
+    number = F.regexp_extract(F.col(key), r"(\d+)$", 1).try_cast("long")
+    with_number = lambda x: x.withColumn("context_number", number).where(F.col("context_number").isNotNull())
+    return paired(with_number(a), with_number(b), columns, ("context_number", "question"))
+
+
+def same_answer(a: Column, b: Column, exact: bool = True) -> Column:
     """Whether two answers have one normal form and the first isn't blank."""
     return (T.normalize(a, exact) == T.normalize(b, exact)) & (T.strip(T.or_empty(a)) != "")
 
 
-def agreement(a: DataFrame, b: DataFrame, exact: bool = False) -> DataFrame:
+def agreement(a: DataFrame, b: DataFrame, exact: bool = True) -> DataFrame:
     """Every pair of rows with its kind of agreement."""
     pairs = paired(a, b, ("answer_text", "is_impossible", "qc_status"))
     yes_a, yes_b = F.col("is_impossible_a") == ANSWERED, F.col("is_impossible_b") == ANSWERED
@@ -68,7 +88,7 @@ def similarity_agreement(a: DataFrame, b: DataFrame, threshold: float = 0.7) ->
     return pairs.withColumn("similarity", ratio).withColumn("agreement", kind)
 
 
-def merged(a: DataFrame, b: DataFrame, legacy: bool = False, exact: bool = False) -> DataFrame:
+def merged(a: DataFrame, b: DataFrame, legacy: bool = False, exact: bool = True) -> DataFrame:
     """One row for each pair that a policy can settle; the others are left out.
 
     Both impossible: no answer. Same answer: that of A if A's offset is valid, else B's; where

@@ -37,18 +37,20 @@ DATE = (
 )
 MONEY = r"\$\s?\d|\b\d[\d.,]*\b|d[óo]lares|dolares|centavos|usd"
 DISTANCE = r"\b(metros|metro|kilómetros|kilometros|km|cuadras|cuadra)\b"
-PLACES = (
-    "calle calles av avenida sector barrio vía via parroquia esquina diagonal altura intersección interseccion cdla ciudadela "
-    "urbanización urbanizacion coop cooperativa mz villa domicilio taller iglesia parqueadero parque banco fábrica fabrica escuela "
-    "colegio hospital terminal aeropuerto puente redondel rotonda km entre casa residencia local oficina bodega farmacia tienda "
-    "mercado hotel"
-).split()
-OBJECTS = (
-    "teléfono telefono celular marca equipo dinero mochila cartera bicicleta computador computadora laptop reloj cadena moto vehículo "
-    "vehiculo auto carro tablet tableta televisor tv joyas aretes anillo zapatos ropa documentos llaves radio batería bateria extintor "
-    "mercaderia mercadería viveres víveres compresor plancha dvd microondas refrigeradora cocina herramientas maleta billetera "
-    "pertenencias led candados"
-).split()
+PLACES = [
+    "calle", "calles", "av", "avenida", "sector", "barrio", "vía", "via", "parroquia", "esquina", "diagonal", "altura",
+    "intersección", "interseccion", "cdla", "ciudadela", "urbanización", "urbanizacion", "coop", "cooperativa", "mz", "villa",
+    "domicilio", "taller", "iglesia", "parqueadero", "parque", "banco", "fábrica", "fabrica", "escuela", "colegio", "hospital",
+    "terminal", "aeropuerto", "puente", "redondel", "rotonda", "km", "entre", "casa", "residencia", "local", "oficina", "bodega",
+    "farmacia", "tienda", "mercado", "hotel",
+]
+OBJECTS = [
+    "teléfono", "telefono", "celular", "marca", "equipo", "dinero", "mochila", "cartera", "bicicleta", "computador",
+    "computadora", "laptop", "reloj", "cadena", "moto", "vehículo", "vehiculo", "auto", "carro", "tablet", "tableta", "televisor",
+    "tv", "joyas", "aretes", "anillo", "zapatos", "ropa", "documentos", "llaves", "radio", "batería", "bateria", "extintor",
+    "mercaderia", "mercadería", "viveres", "víveres", "compresor", "plancha", "dvd", "microondas", "refrigeradora", "cocina",
+    "herramientas", "maleta", "billetera", "pertenencias", "led", "candados",
+]
 VAGUE_PLACES = [
     "centro", "ciudad", "domicilio", "taller", "lugar indicado", "en cuadra", "a mi domicilio",
     "a mi taller", "carrera", "misa de la iglesia", "en el lugar indicado",
@@ -155,6 +157,7 @@ def kind_of(normal: Column, old: bool = False) -> Column:
 
 
 def question_kind(question: Column | str, old: bool = False) -> Column:
+    """The kind of a question of precomposed text; ``heuristics`` gives that of any text."""
     return kind_of(T.normalize_fast(question), old)
 
 
@@ -163,7 +166,7 @@ def english(kind: Column | str) -> Column:
     return F.coalesce(F.try_element_at(names, T.column(kind)), F.lit("other"))
 
 
-def heuristics(frame: DataFrame, old_kind: bool = False, exact: bool = False, rules: SemanticRules = RULES, old_rules: SemanticRules = OLD_RULES) -> DataFrame:
+def heuristics(frame: DataFrame, old_kind: bool = False, exact: bool = True, rules: SemanticRules = RULES, old_rules: SemanticRules = OLD_RULES) -> DataFrame:
     """Adds ``question_kind``, ``semantic_flag_v1``, ``semantic_score``, ``semantic_flag_v2`` and the active ``semantic_heuristic_flag``."""
     def both(x: Column) -> Column:
         args = (x["kind"], x["answer"], x["context"], x["status"])

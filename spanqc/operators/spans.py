@@ -37,16 +37,16 @@ def valid_offset(context: Column, answer: Column, start: Column, end: Column) ->
     return F.coalesce((answer != "") & (a >= 0) & (b >= a) & (T.slice_of(context, a, b) == answer), F.lit(False))
 
 
-def extractive_validity(frame: DataFrame, exact: bool = False, normal=None) -> DataFrame:  # noqa: ANN001
+def extractive_validity(frame: DataFrame, exact: bool = True, normal=None) -> DataFrame:  # noqa: ANN001
     """Classifies candidate rows into nine states.
 
     Adds ``literal_match``, ``norm_match``, ``literal_match_count``, ``recomputed_answer_start``
     (-1 unless literal), ``provided_offset_valid``, ``qc_status`` and ``answer_words`` (of the
     text as given). Any label but the impossible one is taken as answered. ``normal``
-    is the function for the normalised comparison, by default the fast or exact
-    normal form; its answers are wanted only where no literal match is.
+    is the function for the normalised comparison, by default the exact
+    normal form, or the fast one; its answers are wanted only where no literal match is.
     """
-    normal = normal or (lambda c: T.normalize(c, exact))
+    normal_, normal = normal, normal or (lambda c: T.normalize(c, exact))
     label = F.lower(T.strip(T.or_empty("is_impossible")))
 
     def counted(x: Column) -> Column:
@@ -57,7 +57,7 @@ def extractive_validity(frame: DataFrame, exact: bool = False, normal=None) -> D
     looked = frame.withColumn("_l", T.let(counted, answer=T.strip(T.or_empty("answer_text")), impossible=label == IMPOSSIBLE, context=T.or_empty("context")))
     undecided = F.col("_l.said") & (F.col("_l.n") == 0)
     # Only undecided rows are normalised; a Python function gets nothing for the others.
-    form = (lambda c: normal(F.when(undecided, c))) if exact else (lambda c: F.when(undecided, normal(c)))
+    form = (lambda c: normal(F.when(undecided, c))) if exact and normal_ is None else (lambda c: F.when(undecided, normal(c)))
     looked = looked.withColumns({"_nc": form(T.or_empty("context")), "_na": form(F.col("_l.answer"))})
 
     def decided(x: Column) -> Column:
