@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -20,13 +20,29 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType) -
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines (``source_file``, ``part``, ``_n``, ``value``) and parts of files (``source_file``, ``part``, ``before``): line ``_n + before`` of its file, from 0.
+
+    Lines of a part of a file come to one task in order, so their places follow from running numbers; only the
+    parts' numbers of lines are shuffled.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("_n"), "value"
+    )
+    parts = lines.groupBy("source_file", "part").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy("source_file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return lines, parts.withColumn("before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first")).select("source_file", "part", "before")
+
+
 def read_jsonl_tolerant(spark: SparkSession, path: str | list[str], schema: StructType = CANDIDATE) -> tuple[DataFrame, DataFrame]:
-    """JSON lines as good rows and bad lines; paths may be patterns, as of workers' shards."""
+    """JSON lines as good rows and bad lines, with file, line number (``line_index``, from 0) and text; paths may be patterns, as of workers' shards."""
     wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    lines = spark.read.text(path).where(T.strip("value") != "").select(F.col("_metadata.file_path").alias("source_file"), "value")
+    lines, parts = numbered_lines(spark, path)
     parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    named = lines.select("source_file", parsed.alias("r")).select("source_file", "r.*")
-    return named.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "source_file"), named.where(F.col(CORRUPT).isNotNull()).select("source_file", F.col(CORRUPT).alias("line"))
+    rows = lines.where(T.strip("value") != "").withColumn("r", parsed)
+    good = rows.where(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
+    bad = rows.where(F.col(f"r.{CORRUPT}").isNotNull()).join(parts, ["source_file", "part"])
+    return good, bad.select("source_file", (F.col("_n") + F.col("before")).alias("line_index"), F.col("value").alias("line"))
 
 
 def read_csv(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:

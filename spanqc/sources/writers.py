@@ -16,9 +16,9 @@ def write_jsonl(frame: DataFrame, path: str, mode: str = "errorifexists", files:
 
 
 def write_csv(frame: DataFrame, path: str, mode: str = "errorifexists", report: bool = False) -> None:
-    """CSV with a header; a report, which is short, goes to one file."""
+    """CSV with a header; texts keep blanks at their ends. A report, which is short, goes to one file."""
     out = frame.coalesce(1) if report else frame
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    out.write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_splits(records: DataFrame, path: str, info: dict | None = None, by: str = "split") -> None:
@@ -28,12 +28,14 @@ def write_splits(records: DataFrame, path: str, info: dict | None = None, by: st
     spark.createDataFrame([(json.dumps(info or {}, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/info")
 
 
-def write_experiment(root: str, metrics: DataFrame, kinds: DataFrame | None = None, predictions: DataFrame | None = None, config: dict | None = None, by: Sequence[str] = ("model", "dataset", "mode"), mode: str = "append") -> None:
-    """An experiment's results below ``root``, in folders by model, dataset and mode."""
+def write_experiment(root: str, metrics: DataFrame, kinds: DataFrame | None = None, predictions: DataFrame | None = None, config: dict | None = None, gold: DataFrame | None = None, by: Sequence[str] = ("model", "dataset", "mode"), mode: str = "append") -> None:
+    """An experiment's results below ``root``, in folders by model, dataset and mode: metrics, those by kind and on the gold set, predictions, configuration."""
     keys = list(by)
     metrics.coalesce(1).write.mode(mode).partitionBy(*keys).option("header", True).csv(f"{root}/metrics")
     if kinds is not None:
         kinds.coalesce(1).write.mode(mode).partitionBy(*keys).option("header", True).csv(f"{root}/metrics_by_kind")
+    if gold is not None:
+        gold.coalesce(1).write.mode(mode).partitionBy(*keys).option("header", True).csv(f"{root}/gold")
     if predictions is not None:
         predictions.write.mode(mode).partitionBy(*keys).option("ignoreNullFields", False).json(f"{root}/predictions")
     if config is not None:
