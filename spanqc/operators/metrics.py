@@ -57,12 +57,10 @@ def squad_metrics(predictions: DataFrame, references: DataFrame, threshold: floa
     return summary(at_threshold(scored(predictions, references), threshold), *by)
 
 
-def stretches(frame: DataFrame, column: str, parts: int = 256) -> Column:
-    """A number for each row that never falls as the column rises, so that about equally many rows share one."""
+def stretches(frame: DataFrame, column: str, parts: int = 256) -> DataFrame:
+    """One row, ``_bounds``: values of a column that cut its rows into about equally many parts."""
     at = [k / parts for k in range(1, parts)]
-    found = frame.agg(F.percentile_approx(column, at, 10_000)).head()[0] or []
-    bounds = F.array(*[F.lit(x) for x in sorted(set(found))]) if found else F.array().cast("array<double>")
-    return F.size(F.filter(bounds, lambda b: b < F.col(column)))
+    return frame.agg(F.array_distinct(F.coalesce(F.percentile_approx(column, at, 10_000), F.array().cast("array<double>"))).alias("_bounds"))
 
 
 def sweep(rows: DataFrame) -> DataFrame:
@@ -76,7 +74,7 @@ def sweep(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy(F.col("no_answer_probability").alias("threshold")).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in names[1:]])
     ends = rows.sparkSession.createDataFrame([(float("-inf"), *[0.0] * 5), (float("inf"), *[0.0] * 5)], sums.schema)
     every = sums.unionByName(ends).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in names])
-    every = every.withColumn("stretch", stretches(sums, "threshold"))
+    every = every.crossJoin(F.broadcast(stretches(sums, "threshold"))).withColumn("stretch", F.size(F.filter("_bounds", lambda b: b < F.col("threshold")))).drop("_bounds")  # one row of bounds
     before, all_ = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     totals = every.groupBy(F.col("stretch").alias("_s")).agg(*[F.sum(c).alias(c) for c in names])
     so_far = totals.select("_s", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"before_{c}") for c in names], *[F.sum(c).over(all_).alias(f"all_{c}") for c in names])

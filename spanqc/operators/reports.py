@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..schemas import ANSWERED, IMPOSSIBLE, SENTINEL
+from ..schemas import ANSWERED, IMPOSSIBLE, QUESTIONS_PER_CONTEXT, SENTINEL
 from .datasets import expanded, strict, uncertain
 from .validation import count_if, percent
 
@@ -108,12 +108,14 @@ def overlong(frame: DataFrame, *by: str, share: float = 0.8, quantile: float = 0
     ).withColumn("p99", T.half_even(F.col("p99"), 2))
 
 
-def metric_table(frame: DataFrame, expected: int, by: str = "model") -> DataFrame:
-    """The measures of a generator's rows, one row each."""
+def metric_table(frame: DataFrame, contexts: int, questions: int = QUESTIONS_PER_CONTEXT, by: str = "model") -> DataFrame:
+    """The measures of a generator's rows, one row each; ``contexts`` is how many there should be."""
+    expected = contexts * questions
     n = F.count(F.lit(1))
     yes, no = F.col("is_impossible") == ANSWERED, F.col("is_impossible") == IMPOSSIBLE
     rate = lambda c: percent(count_if(c), n)
     return frame.groupBy(by).agg(
+        F.lit(contexts).cast("long").alias("contexts_processed"), F.lit(questions).cast("long").alias("questions_per_context"), F.lit(expected).cast("long").alias("expected_pairs"),
         n.alias("generated_pairs"), percent(n, F.lit(expected)).alias("completeness"), rate(yes).alias("answer_rate"), rate(no).alias("abstention_rate"),
         rate(F.col("literal_match")).alias("literal_span_valid"), rate(F.col("provided_offset_valid")).alias("provided_offset_valid"),
         rate(F.col("qc_status") == "non_extractive_or_hallucinated").alias("non_extractive"), count_if(no & (F.col("answer_text") != SENTINEL)).alias("inconsistent_sentinel"),
@@ -197,6 +199,7 @@ def segment_summary(logs: DataFrame) -> DataFrame:
         F.count("worker").alias("workers"), F.sum("processed").alias("processed"), spent.alias("elapsed_seconds"), F.sum("fallbacks").alias("fallbacks"),
         F.sum("critical_errors").alias("critical_errors"), F.sum("checkpoints").alias("checkpoints"), (spent / 3600).alias("gpu_hours"),
         F.try_divide(spent.cast("double"), F.nullif(F.sum("processed"), F.lit(0))).alias("seconds_per_context"), (F.max("total_seconds") / 3600).alias("wall_clock_hours"),
+        hms(F.max("total_seconds")).alias("wall_clock"),
     )
 
 
@@ -205,13 +208,14 @@ def model_summary(segments: DataFrame) -> DataFrame:
     spent, workers = F.sum("elapsed_seconds"), F.greatest(F.max("workers"), F.lit(1))
     return segments.groupBy("model").agg(
         F.sum("processed").alias("processed"), (spent / 3600).alias("gpu_hours"), F.try_divide(spent.cast("double"), F.nullif(F.sum("processed"), F.lit(0))).alias("seconds_per_context"),
-        (spent / workers / 3600).alias("continuous_hours"),
+        (spent / workers / 3600).alias("continuous_hours"), hms(spent / workers).alias("continuous"),
     )
 
 
 def hms(seconds: Column) -> Column:
+    """Hours, minutes and seconds, null for null."""
     whole = seconds.cast("long")
-    return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60)
+    return F.when(whole.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60))
 
 
 def probe_summary(probes: DataFrame, by: str = "max_new_tokens") -> DataFrame:

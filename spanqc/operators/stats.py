@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z = 1.96
 
@@ -48,18 +51,29 @@ def confusion(frame: DataFrame, by: list[str], flag: str, correct: str) -> DataF
     return counted.withColumns({"precision": precision, "recall": recall}).withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def with_p(tested: DataFrame, chance: Callable[[pd.Series], float]) -> DataFrame:
+    """Adds ``p``, the chance of a statistic as great; null where that is null. A row for each test, so Python is not in the way of much."""
+    names = [c for c in ("z", "chi2", "dof") if c in tested.columns]
+
+    @F.pandas_udf(DoubleType())
+    def p(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([chance(r) if r.notna().all() else None for _, r in rows.iterrows()], dtype="float64")
+
+    return tested.withColumn("p", p(F.struct(*names)))
+
+
 def two_proportion_z(frame: DataFrame, by: str, correct: str, first: str, second: str) -> DataFrame:
-    """The pooled z of two groups' accuracies; null where it is undefined."""
+    """The pooled z of two groups' accuracies and its two-sided p; null where they are undefined."""
     n = lambda g: F.count_if(F.col(by) == g).cast("double")
     k = lambda g: F.count_if((F.col(by) == g) & (F.col(correct) == 1)).cast("double")
     sums = frame.agg(n(first).alias("n1"), n(second).alias("n2"), k(first).alias("k1"), k(second).alias("k2"))
     pool = F.try_divide(F.col("k1") + F.col("k2"), F.col("n1") + F.col("n2"))
     error = F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2"))))
-    return sums.withColumn("z", F.try_divide(F.try_divide(F.col("k1"), F.col("n1")) - F.try_divide(F.col("k2"), F.col("n2")), error))
+    return with_p(sums.withColumn("z", F.try_divide(F.try_divide(F.col("k1"), F.col("n1")) - F.try_divide(F.col("k2"), F.col("n2")), error)), lambda r: normal_two_sided(r["z"]))
 
 
 def chi_square(frame: DataFrame, a: str, b: str) -> DataFrame:
-    """The statistic of independence and its degrees of freedom; with one degree, corrected for continuity as Yates did.
+    """The statistic of independence, its degrees of freedom and p; with one degree, corrected for continuity as Yates did.
 
     Cells are counted first; totals come from the cells, so nothing grows but with the values.
     """
@@ -72,7 +86,7 @@ def chi_square(frame: DataFrame, a: str, b: str) -> DataFrame:
     wanted = F.col("row_total") * F.col("column_total") / F.col("total")
     apart = F.abs(F.coalesce("seen", F.lit(0.0)) - wanted)
     apart = F.when(freedom == 1, apart - F.least(F.lit(0.5), apart)).otherwise(apart)
-    return grid.crossJoin(sizes).groupBy(freedom.alias("dof")).agg(F.sum(apart * apart / wanted).alias("chi2"))
+    return with_p(grid.crossJoin(sizes).groupBy(freedom.alias("dof")).agg(F.sum(apart * apart / wanted).alias("chi2")), lambda r: chi_square_p(r["chi2"], r["dof"]))
 
 
 def normal_two_sided(z: float) -> float:

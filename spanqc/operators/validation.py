@@ -152,6 +152,17 @@ def resume_state(frame: DataFrame, questions: int = QUESTIONS_PER_CONTEXT) -> tu
     return done, kept
 
 
+def resume_lines(lines: DataFrame, questions: int = QUESTIONS_PER_CONTEXT) -> tuple[DataFrame, DataFrame]:
+    """Ids of finished contexts, and the lines (``value``) to keep when work goes on, as they are: those of finished contexts, those without an id, and those that can't be parsed.
+
+    Blank lines aren't kept. Write the kept lines to a new path.
+    """
+    parsed = F.from_json("value", "context_id string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    named = lines.where(T.strip("value") != "").select("value", parsed["context_id"].alias("context_id"))
+    done, kept = resume_state(named, questions)
+    return done, kept.select("value")
+
+
 def gold_leaks(records: DataFrame, gold: DataFrame, by: str = "split") -> DataFrame:
     """For each split, rows whose context and question are a gold pair."""
     return records.join(gold.select("context", "question").distinct(), ["context", "question"], "left_semi").groupBy(by).count()
