@@ -164,13 +164,21 @@ def intervals(source: str, by: str, correct: str) -> str:
     FROM (SELECT {by}, count(*)::double AS n_, count(*) AS n, sum({correct})::bigint AS correct FROM {source} GROUP BY {by})"""
 
 
+def tail(statistic: str, dof: str) -> str:
+    """The chance of a greater chi-square: one less the density's integral by Simpson's rule, over the root of the statistic."""
+    u = f"(sqrt({statistic}) * i / 2000)"
+    term = f"(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power({u}, {dof} - 1) * exp(-{u} * {u} / 2)"
+    return f"round(1 - list_sum(list_transform(range(0, 2001), lambda i: {term})) * sqrt({statistic}) / 6000 * 2 / (power(2, {dof} / 2.0) * gamma({dof} / 2.0)), 7)"
+
+
 def chi(source: str, a: str, b: str) -> str:
     return f"""
     , cells AS (SELECT {a} AS a, {b} AS b, count(*)::double AS seen FROM {source} GROUP BY 1, 2),
     r AS (SELECT a, sum(seen) AS rt FROM cells GROUP BY a), c AS (SELECT b, sum(seen) AS ct FROM cells GROUP BY b),
     sizes AS (SELECT (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM c) AS nc, (SELECT sum(seen) FROM cells) AS total),
     grid AS (SELECT rt * ct / total AS wanted, abs(coalesce(seen, 0) - rt * ct / total) AS apart, (nr - 1) * (nc - 1) AS dof FROM r CROSS JOIN c CROSS JOIN sizes LEFT JOIN cells ON cells.a = r.a AND cells.b = c.b)
-    SELECT dof, sum(power(CASE WHEN dof = 1 THEN apart - least(0.5, apart) ELSE apart END, 2) / wanted) AS chi2 FROM grid GROUP BY dof"""
+    , tested AS (SELECT dof, sum(power(CASE WHEN dof = 1 THEN apart - least(0.5, apart) ELSE apart END, 2) / wanted) AS chi2 FROM grid GROUP BY dof)
+    SELECT *, {tail("chi2", "dof")} AS p FROM tested"""
 
 
 def hash_key(seed: int, key: str) -> str:
@@ -265,8 +273,12 @@ oracle(
                CASE model WHEN 'both' THEN -1 WHEN 'a' THEN start_a ELSE start_b END::bigint AS recomputed_answer_start FROM picked WHERE model IS NOT NULL""",
     unmatched_pairs=f"""WITH {CANDIDATES}, a AS (SELECT context_id, question FROM candidates WHERE model = 'a' AND h % 5 <> 0), b AS (SELECT context_id, question FROM candidates WHERE model = 'b' AND h % 3 <> 0),
         onlys AS (SELECT 'a' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) SELECT only_in, count(*) AS n FROM onlys GROUP BY 1""",
-    split_accuracy="""WITH d AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY 1), l AS (SELECT source, avg(quality) AS accuracy FROM labels JOIN documents USING (doc_id) WHERE source < 'src15' GROUP BY 1)
-        SELECT source, n_docs, accuracy FROM d LEFT JOIN l USING (source)""",
+    positional_pairs=f"""WITH {CANDIDATES} SELECT a.context_id, a.k::bigint AS k, a.question, a.is_impossible = b.is_impossible AS same_label, a.answer_text = b.answer_text AS same_text
+        FROM candidates a JOIN candidates b ON a.context_id = b.context_id AND a.k = b.k WHERE a.model = 'a' AND b.model = 'b'""",
+    suffix_pairs=f"""WITH {CANDIDATES} SELECT a.doc_id AS context_number, a.question, a.context_id AS context_id_a, 'row-' || b.doc_id AS context_id_b, a.is_impossible = b.is_impossible AS same_label
+        FROM candidates a JOIN candidates b ON a.doc_id = b.doc_id AND a.question = b.question WHERE a.model = 'a' AND b.model = 'b' AND b.doc_id % 3 <> 0""",
+    split_accuracy="""WITH d AS (SELECT source, lang, count(*) AS n_docs FROM documents GROUP BY 1, 2), l AS (SELECT source, lang, avg(quality) AS accuracy FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2)
+        SELECT source, lang, n_docs, accuracy FROM d LEFT JOIN l USING (source, lang)""",
     reference_lookup=f"WITH {SCORED} SELECT impossible AS is_impossible, count(*) AS n FROM scored GROUP BY 1",
     index_selection=f"WITH {CONTEXTS} SELECT CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 'chosen' ELSE 'left' END AS part, doc_id FROM contexts",
     gold_exclusion=f"""WITH {CANDIDATES}, gold AS (SELECT DISTINCT context, question FROM candidates WHERE model = 'a' AND h % 11 = 0)
@@ -300,12 +312,14 @@ oracle(
     squad_metrics=f"WITH {SCORED} SELECT {SUMMARY} FROM at_zero",
     metrics_by_kind=f"WITH {SCORED} SELECT kind, {SUMMARY} FROM at_zero GROUP BY kind",
     threshold_sweep=f"""WITH {SCORED} SELECT t.score AS threshold, round(avg(CASE WHEN s.score > t.score THEN s.blank ELSE s.em_kept END), 9) AS exact, round(avg(CASE WHEN s.score > t.score THEN s.blank ELSE s.f1_kept END), 9) AS f1
-        FROM (SELECT DISTINCT score FROM scored) t, scored s GROUP BY 1""",
+        FROM (SELECT DISTINCT score FROM scored UNION ALL SELECT '-inf'::double UNION ALL SELECT 'inf'::double) t, scored s GROUP BY 1""",
     best_thresholds=f"""WITH {SCORED}, thresholds AS (SELECT DISTINCT score AS th FROM scored UNION ALL SELECT -1e9 UNION ALL SELECT 1e9),
         swept AS (SELECT th, avg(CASE WHEN score > th THEN blank ELSE em_kept END) AS e, avg(CASE WHEN score > th THEN blank ELSE f1_kept END) AS f FROM thresholds, scored GROUP BY th)
         SELECT round(max(e), 9) AS best_exact, round(max(f), 9) AS best_f1 FROM swept""",
-    dev_tuned_threshold=f"""WITH {SCORED}, {HISTORY}, modes AS (SELECT 'plain' AS mode, 0.0::double AS t UNION ALL (SELECT 'headline', best_t FROM history ORDER BY eval_f1 DESC, epoch LIMIT 1))
-        SELECT mode, round(avg(CASE WHEN score > t THEN blank ELSE em_kept END), 9) AS exact, round(avg(CASE WHEN score > t THEN blank ELSE f1_kept END), 9) AS f1, count(*) AS total FROM modes, scored GROUP BY mode""",
+    dev_tuned_threshold=f"""WITH {SCORED}, {HISTORY}, tried AS (
+        SELECT t.score AS t, avg(CASE WHEN s.score > t.score THEN s.blank ELSE s.f1_kept END) AS f1 FROM (SELECT DISTINCT score FROM scored UNION ALL SELECT '-inf'::double UNION ALL SELECT 'inf'::double) t, scored s GROUP BY 1),
+        modes AS (SELECT 'plain' AS mode, 0.0::double AS t UNION ALL (SELECT 'headline', best_t FROM history ORDER BY eval_f1 DESC, epoch LIMIT 1) UNION ALL (SELECT 'oracle', t FROM tried ORDER BY round(f1, 12) DESC, t LIMIT 1))
+        SELECT mode, round(t, 9) AS threshold, round(avg(CASE WHEN score > t THEN blank ELSE em_kept END), 9) AS exact, round(avg(CASE WHEN score > t THEN blank ELSE f1_kept END), 9) AS f1, count(*) AS total FROM modes, scored GROUP BY mode, t""",
     plateau=f"""WITH {HISTORY}, marked AS (SELECT epoch, eval_f1, eval_f1 - lag(eval_f1) OVER (ORDER BY epoch) AS delta, max(eval_f1) OVER (ORDER BY epoch ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS future_best FROM history)
         SELECT epoch, round(eval_f1, 9) AS eval_f1, round(delta, 9) AS delta, round(future_best, 9) AS future_best,
                coalesce(epoch = (SELECT min(epoch) FROM marked WHERE epoch >= 3 AND future_best - eval_f1 < 0.03), false) AS is_plateau, epoch = (SELECT epoch FROM history ORDER BY history.eval_f1 DESC, epoch LIMIT 1) AS is_best FROM marked""",
@@ -316,7 +330,7 @@ oracle(
     wilson_by_group="WITH labelled AS (SELECT lang, quality FROM labels JOIN documents USING (doc_id)) " + intervals("labelled", "lang", "quality"),
     stratum_accuracy=f"WITH {AUDITED}, s AS (SELECT model, {STRATUM} AS stratum, human_correct FROM audited) " + intervals("s", "model, stratum", "human_correct"),
     two_prop_z=f"""WITH {AUDITED}, s AS (SELECT count(*) FILTER (model = 'a')::double AS n1, count(*) FILTER (model = 'b')::double AS n2, count(*) FILTER (model = 'a' AND human_correct = 1)::double AS k1, count(*) FILTER (model = 'b' AND human_correct = 1)::double AS k2 FROM audited)
-        SELECT *, (k1 / n1 - k2 / n2) / sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1 / n1 + 1 / n2)) AS z FROM s""",
+        SELECT *, (k1 / n1 - k2 / n2) / sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1 / n1 + 1 / n2)) AS z, {tail("power(z, 2)", "1")} AS p FROM s""",
     chi_square=f"WITH {AUDITED} " + chi("audited", "model", "human_correct"),
     chi_square_languages="WITH labelled AS (SELECT lang, quality FROM labels JOIN documents USING (doc_id)) " + chi("labelled", "lang", "quality"),
     margins=f"WITH {CANDIDATES} SELECT model, 1.96::double * sqrt(0.25::double / count(*)) AS worst_margin, ceil(1.96 * 1.96 * 0.25 / 0.0025)::bigint AS rows_for_5_points FROM candidates GROUP BY model",
@@ -327,14 +341,15 @@ oracle(
     word_stats=f"WITH {WORDED} SELECT lang, count(words) AS n, avg(words) AS mean, stddev_samp(words) AS std, min(words) AS min, " + ", ".join(f"quantile_cont(words, {p}) AS p{round(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) + ", max(words) AS max FROM worded GROUP BY lang",
     word_population=f"""WITH {WORDED} SELECT lang, round_even(avg(words), 2) AS mean, round_even(stddev_pop(words), 2) AS std, min(words) AS min, round_even(quantile_cont(words, 0.25), 2) AS q1, round_even(quantile_cont(words, 0.5), 2) AS median,
         round_even(quantile_cont(words, 0.75), 2) AS q3, max(words) AS max FROM worded GROUP BY lang""",
-    word_histogram=f"WITH {WORDED} SELECT least(words // 20 + 1, 50)::int AS bin, count(*) AS n FROM worded WHERE words BETWEEN 0 AND 1000 GROUP BY 1",
+    word_histogram=f"""WITH {WORDED}, ends AS (SELECT min(words)::double AS low, max(words)::double AS high FROM worded)
+        SELECT least(floor((words - low) * 50 / (high - low)) + 1, 50)::int AS bin, count(*) AS n FROM worded, ends GROUP BY 1""",
     overlong_p99=f"""WITH {classified()}, pos AS (SELECT model, question, {WORDS.format("answer_text")} AS aw, {WORDS.format("context")} AS cw FROM classified WHERE literal_match), lim AS (SELECT model, question, quantile_cont(aw, 0.99) AS p FROM pos GROUP BY 1, 2)
         SELECT model, question, round_even(p, 2) AS p99, count(*) AS positive_n, count(*) FILTER (aw > p) AS flagged_p99, count(*) FILTER (aw > 0.8 * cw) AS flagged_context, count(*) FILTER (aw > p AND aw > 0.8 * cw) AS flagged_combined FROM pos JOIN lim USING (model, question) GROUP BY model, question, p""",
     duplicated_answers=f"WITH {CANDIDATES} SELECT model, count(*) - count(DISTINCT answer_text) AS duplicates FROM candidates GROUP BY model",
     grouped_means="SELECT event_type, count(*) AS n, sum(value) AS total, avg(value) AS mean, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     pivot_metrics="SELECT day(ts)::bigint AS day, " + ", ".join(f"coalesce(avg(value) FILTER (event_type = '{t}'), 0) AS {t}" for t in ("click", "view", "purchase")) + " FROM events GROUP BY 1",
     unpivot_metrics="SELECT toxic::bigint AS toxic, 'quality' AS metric, avg(quality) AS value FROM labels GROUP BY 1 UNION ALL SELECT toxic::bigint, 'total', sum(quality)::double FROM labels GROUP BY 1",
-    metric_table=f"""WITH {JUDGED} SELECT model, count(*) AS generated_pairs, round_even(count(*) * 100.0::double / 1000, 2) AS completeness, round_even(count(*) FILTER (is_impossible = 'respondido') * 100.0::double / count(*), 2) AS answer_rate,
+    metric_table=f"""WITH {JUDGED} SELECT model, 200::bigint AS contexts_processed, 5::bigint AS questions_per_context, 1000::bigint AS expected_pairs, count(*) AS generated_pairs, round_even(count(*) * 100.0::double / 1000, 2) AS completeness, round_even(count(*) FILTER (is_impossible = 'respondido') * 100.0::double / count(*), 2) AS answer_rate,
         round_even(count(*) FILTER (is_impossible = 'imposible') * 100.0::double / count(*), 2) AS abstention_rate, round_even(count(*) FILTER (literal_match) * 100.0::double / count(*), 2) AS literal_span_valid, round_even(count(*) FILTER (offset_valid) * 100.0::double / count(*), 2) AS provided_offset_valid,
         round_even(count(*) FILTER (qc_status = 'non_extractive_or_hallucinated') * 100.0::double / count(*), 2) AS non_extractive, count(*) FILTER (is_impossible = 'imposible' AND answer_text <> 'RESPUESTA_NO_ENCONTRADA') AS inconsistent_sentinel,
         count(*) FILTER ({STRICT}) AS strict_n, count(*) FILTER ({EXPANDED}) AS expanded_n, count(*) FILTER (NOT {STRICT} AND NOT {EXPANDED}) AS uncertain_n, count(*) FILTER (flag) AS heuristic_flags,
@@ -350,14 +365,14 @@ oracle(
     mode_deltas="SELECT event_type, avg(value) FILTER (user_id % 2 = 1) - avg(value) FILTER (user_id % 2 = 0) AS delta_value FROM events GROUP BY 1",
     normalized_texts=f"WITH {CONTEXTS} SELECT context_id, md5({BARE.format('context')}) AS bare, md5({COLLAPSE.format('context')}) AS low, length({STRIP.format('context')}) AS stripped FROM contexts",
     metric_tokens=f"WITH {CONTEXTS} SELECT context_id, len({TOKENS.format('context')})::bigint AS n_tokens, md5({ANSWER.format('context')}) AS plain FROM contexts",
-    json_props="SELECT json_valid(props) AS valid, count(*) AS n FROM events GROUP BY 1",
+    json_props="SELECT event_id, json_valid(props) AS valid, (props->>'k')::bigint AS k, props->>'page' AS page, props->>'ref' AS ref FROM events",
     json_repair="SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN 'w' || doc_id ELSE 'RESPUESTA_NO_ENCONTRADA' END AS answer_text, CASE WHEN doc_id % 4 < 3 THEN 'respondido' ELSE 'imposible' END AS is_impossible FROM documents",
-    nested_flatten="""SELECT conv_id || '-' || turn AS id, substr(text, 1, 20) AS question, role = 'system' AS is_impossible, role <> 'system' AND length(substr(text, 1, 20)) > 5 AS answered,
-        CASE WHEN role <> 'system' AND length(substr(text, 1, 20)) > 5 THEN 3 END::bigint AS answer_start FROM conversations WHERE text IS NOT NULL""",
+    nested_flatten="""SELECT conv_id || '-' || turn AS id, md5(coalesce(text, '')) AS question, role = 'system' AS is_impossible, CASE WHEN role <> 'system' AND length(text) > 5 THEN substr(text, 1, 3) END AS answer,
+        CASE WHEN role <> 'system' AND length(text) > 5 THEN 3 END::bigint AS answer_start FROM conversations""",
     token_windows=f"""WITH t AS (SELECT doc_id, {WORDS.format("text")}::bigint AS n FROM documents), w AS (SELECT doc_id, n, unnest(range(0, greatest(n - 129, 0) + 1, 256)) AS first FROM t)
         SELECT doc_id, first // 256 AS window, first, least(384, n - first) AS n_tokens FROM w""",
     token_labels=f"""WITH {classified()}, s AS (SELECT context_id, k, start AS a, start + length(ans) AS e FROM classified WHERE model = 'a' AND literal_match)
-        SELECT context_id, k::bigint AS k, CASE WHEN e <= 200 THEN a // 10 ELSE 0 END::bigint AS start_token, CASE WHEN e <= 200 THEN (e + 9) // 10 - 1 ELSE 0 END::bigint AS end_token FROM s""",
+        SELECT context_id, k::bigint AS k, (a // 10)::bigint AS start_token, ((e + 9) // 10 - 1)::bigint AS end_token FROM s""",
     top_positions="""WITH x AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings), r AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) - 1 AS place FROM x)
         SELECT vec_id, place, i AS at FROM r WHERE place < 3""".replace(" AS at ", ' AS "at" '),
     run_names=f"""WITH {CONTEXTS}, p AS (SELECT *, 'out/model ' || doc_id % 3 || '/strict/zsl/' || context_id || '.csv' AS path FROM contexts), q AS (SELECT *, regexp_replace(path, '[^A-Za-z0-9._-]+', '_', 'g') AS plain FROM p)
@@ -375,16 +390,52 @@ oracle(
     event_lags="""WITH l AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 3.6e9 AS hours FROM events) SELECT user_id, round(min(hours), 6) AS least, round(avg(hours), 6) AS mean FROM l WHERE hours IS NOT NULL GROUP BY 1""",
 )
 LOGS = """logs AS (SELECT CASE WHEN event_type = 'click' THEN 'a' ELSE 'b' END AS model, CASE WHEN user_id % 3 = 0 THEN 'initial' ELSE 'resume_' || user_id % 2 END AS segment, event_id % 11 = 0 AS quiet, event_id % 90 + 10 AS done,
-    (event_id % 3) * 3600 + 300 + user_id % 60 AS secs, event_id % 4 = 0 AS bad FROM events WHERE user_id < 40),
+    (event_id % 3) * 3600 + 300 + user_id % 60 AS secs, event_id % 4 = 0 AS bad FROM events),
     parsed AS (SELECT model, segment, CASE WHEN quiet THEN 0 ELSE done END AS processed, CASE WHEN NOT quiet THEN secs END AS secs, (NOT quiet)::int AS fb, (NOT quiet AND bad)::int AS err, (NOT quiet AND NOT bad)::int AS ck FROM logs),
     segs AS (SELECT model, segment, count(*) AS workers, sum(processed)::bigint AS processed, sum(secs)::bigint AS elapsed_seconds, sum(fb)::bigint AS fallbacks, sum(err)::bigint AS critical_errors, sum(ck)::bigint AS checkpoints, sum(secs)::double / 3600 AS gpu_hours,
-        sum(secs)::double / nullif(sum(processed), 0) AS seconds_per_context, max(secs)::double / 3600 AS wall_clock_hours FROM parsed GROUP BY 1, 2)"""
+        sum(secs)::double / nullif(sum(processed), 0) AS seconds_per_context, max(secs)::double / 3600 AS wall_clock_hours,
+        printf('%02d:%02d:%02d', max(secs) // 3600, max(secs) % 3600 // 60, max(secs) % 60) AS wall_clock FROM parsed GROUP BY 1, 2)"""
 oracle(
     log_segments=f"WITH {LOGS} SELECT * FROM segs",
-    log_models=f"WITH {LOGS} SELECT model, sum(processed)::bigint AS processed, sum(elapsed_seconds)::double / 3600 AS gpu_hours, sum(elapsed_seconds)::double / sum(processed) AS seconds_per_context, sum(elapsed_seconds)::double / greatest(max(workers), 1) / 3600 AS continuous_hours FROM segs GROUP BY model",
+    log_models=f"WITH {LOGS} SELECT model, sum(processed)::bigint AS processed, sum(elapsed_seconds)::double / 3600 AS gpu_hours, sum(elapsed_seconds)::double / sum(processed) AS seconds_per_context, sum(elapsed_seconds)::double / greatest(max(workers), 1) / 3600 AS continuous_hours, printf('%02d:%02d:%02d', c // 3600, c % 3600 // 60, c % 60) AS continuous FROM (SELECT *, (sum(elapsed_seconds) OVER (PARTITION BY model) / max(workers) OVER (PARTITION BY model))::double AS whole, floor(whole)::bigint AS c FROM segs) GROUP BY model, c",
 )
 oracle(
     prepared_splits=f"""WITH {SCORED}, sizes AS (SELECT count(*) FILTER (h % 10 = 0) AS tests, count(*) FILTER (h % 10 > 0) AS rest FROM refs), devs AS (SELECT tests, rest, round_even(rest * (0.1::double / (1 - 0.1::double)), 0)::bigint AS d FROM sizes)
         SELECT 'test' AS split, tests AS n FROM devs UNION ALL SELECT 'validation', d FROM devs UNION ALL SELECT 'train', rest - d FROM devs""",
     generation_resume=f"WITH {CONTEXTS} SELECT context_id, regexp_extract(context, '\\S+') AS answer_text FROM contexts WHERE doc_id % 2 = 1",
 )
+
+FLAT = "CASE WHEN is_impossible <> 'imposible' AND start >= 0 THEN ans END AS answer, CASE WHEN is_impossible <> 'imposible' AND start >= 0 THEN start::int END AS answer_start"
+RUNS = SCORED + """, runs AS (SELECT *, 'm' || (regexp_extract(id, '_(\\d+)_', 1)::bigint % 2) AS model, 'strict' AS dataset, CASE WHEN regexp_extract(id, '_(\\d+)_', 1)::bigint % 3 = 0 THEN 'zsl' ELSE 'ft' END AS mode,
+    CASE WHEN score > 0 THEN blank ELSE em_kept END AS em, CASE WHEN score > 0 THEN blank ELSE f1_kept END AS f FROM scored)"""
+LINES = (
+    CANDIDATES
+    + """, made AS (
+    SELECT doc_id, k, h, doc_id % 3 AS worker, json_object('context_id', CASE WHEN h % 17 > 0 THEN context_id END, 'context', context, 'question', question, 'answer_text', answer_text, 'answer_start', answer_start,
+        'answer_end', answer_start + length(ans), 'is_impossible', is_impossible)::varchar AS whole FROM candidates WHERE model = 'a'
+), lines AS (SELECT *, h % 13 = 0 AS bad, CASE WHEN h % 13 = 0 THEN substr(whole, 1, 40) ELSE whole END AS line FROM made)"""
+)
+oracle(
+    jsonl_round_trip=f"WITH {classified()} SELECT {RECORD_ID} AS id, context_id, md5(context) AS context, is_impossible = 'imposible' AS is_impossible, {FLAT} FROM classified",
+    tolerant_shards=f"""WITH {LINES}, numbered AS (SELECT *, row_number() OVER line - 1 + coalesce(sum((h % 5 = 0)::int) OVER (line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_index FROM lines WINDOW line AS (PARTITION BY worker ORDER BY doc_id, k))
+        SELECT worker, line_index::bigint AS line_index, md5(line) AS line FROM numbered WHERE bad UNION ALL SELECT NULL, count(*), 'good' FROM numbered WHERE NOT bad""",
+    resumed_lines=f"""WITH {LINES}, done AS (SELECT context_id FROM lines JOIN candidates USING (doc_id, k, h) WHERE model = 'a' AND NOT bad AND h % 17 > 0 GROUP BY 1 HAVING count(*) = 5)
+        SELECT md5(line) AS line, count(*) AS n FROM lines WHERE bad OR h % 17 = 0 OR ('context_' || doc_id) IN (SELECT context_id FROM done) GROUP BY 1""",
+    audit_csv=f"""WITH {CANDIDATES} SELECT context_id || '-' || k AS row_id, md5(replace(context, ' t', ' "t,' || chr(10))) AS context, question, '-' || answer_text AS gold_answer, CASE WHEN is_impossible = 'imposible' THEN 'True' ELSE 'False' END AS gold_is_impossible FROM candidates WHERE model = 'b'""",
+    narratives=f"SELECT copy, count(text) AS n, sum({WORDS.format('text')})::bigint AS words, max({WORDS.format('text')})::bigint AS longest FROM documents, (VALUES ('lines'), ('table')) c(copy) GROUP BY 1",
+    experiment_files=f"""WITH {RUNS} SELECT 'metrics' AS part, model, dataset, mode, '' AS kind, round(avg(em), 9) AS exact, round(avg(f), 9) AS f1, count(*) AS total FROM runs GROUP BY ALL
+        UNION ALL SELECT 'metrics_by_kind', model, dataset, mode, kind, round(avg(em), 9), round(avg(f), 9), count(*) FROM runs GROUP BY ALL
+        UNION ALL SELECT 'gold', model, dataset, mode, '', round(avg(em), 9), round(avg(f), 9), count(*) FROM runs WHERE NOT impossible GROUP BY ALL
+        UNION ALL SELECT 'predictions', '', '', '', '', 0.0::double, sum(length(prediction))::double, count(*) FROM runs""",
+    completed_runs="SELECT model, 'strict' AS dataset, mode, model <> 'm2' AS completed FROM (VALUES ('m0'), ('m1'), ('m2')) a(model), (VALUES ('zsl'), ('ft')) b(mode)",
+    log_files=f"WITH {LOGS} SELECT segment, sum(fallbacks)::bigint AS fallbacks, sum(critical_errors)::bigint AS critical_errors, sum(checkpoints)::bigint AS checkpoints FROM segs GROUP BY segment",
+    json_documents="SELECT day(ts)::bigint AS day, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL",
+    nested_files="""SELECT role = 'system' AS is_impossible, count(*) AS n, count(*) FILTER (role <> 'system' AND length(text) > 5) AS answered, sum(length(coalesce(text, '')))::bigint AS characters FROM conversations GROUP BY 1""",
+    variant_files=ORACLES["record_errors"],
+    split_files=f"""WITH {classified()} SELECT CASE WHEN model = 'a' THEN 'train' ELSE 'test' END AS split, is_impossible = 'imposible' AS is_impossible, count(*) AS n, count(*) FILTER (is_impossible <> 'imposible' AND start >= 0) AS answered, 'both' AS info FROM classified GROUP BY 1, 2""",
+    picked_row=f"WITH {CONTEXTS} SELECT context_id, doc_id FROM contexts ORDER BY md5('7|' || context_id), context_id LIMIT 1",
+    latex_table=f"""WITH {KINDED}, counted AS (SELECT kind, count(*) AS n, avg(answer_start) AS m, row_number() OVER (ORDER BY kind) AS place FROM with_kind GROUP BY kind)
+        SELECT line::bigint AS line, value FROM (VALUES (0, '\\begin{{table}}'), (1, '\\caption{{Kinds & counts}}'), (2, '\\label{{tab:kinds}}'), (3, '\\begin{{tabular}}{{lll}}'), (4, '\\toprule'), (5, 'kind & n & mean\\_start \\\\'), (6, '\\midrule')) h(line, value)
+        UNION ALL SELECT 6 + place, kind || ' & ' || n || ' & ' || printf('%.2f', m) || ' \\\\' FROM counted
+        UNION ALL SELECT 6 + (SELECT count(*) FROM counted) + i, v FROM (VALUES (1, '\\bottomrule'), (2, '\\end{{tabular}}'), (3, '\\end{{table}}')) f(i, v)""",
+)

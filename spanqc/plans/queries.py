@@ -143,7 +143,7 @@ def turn_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resume_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V8: what is kept when interrupted work goes on."""
+    """V8: what is kept when interrupted work, which lost a row in seven, goes on."""
     rows = X.candidates(spark, sf_dir).where("model = 'a' AND h % 7 <> 0")
     done, kept = validation.resume_state(rows)
     return kept.groupBy("question").agg(F.count(F.lit(1)).alias("n")).crossJoin(done.agg(F.count(F.lit(1)).alias("finished")))  # one row on the right
@@ -216,10 +216,11 @@ def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(3)), " "))
     docs = X.table(spark, sf_dir, "documents").select("doc_id", "text")
     every = X.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("_w"))
-    items = every.where(F.size("_w") >= 5).select("item_id", "passage", F.array_join(F.slice("_w", 2, 3), " ").alias("run"))
+    items = every.where(F.size("_w") >= 5).select("item_id", F.array_join(F.slice("_w", 2, 3), " ").alias("run"))
     short = docs.join(every.where(F.size("_w") < 5).drop("_w"), F.contains("text", "passage"))
     keyed = docs.withColumn("_w", words(F.col("text"))).select("doc_id", F.explode(F.array_distinct(runs(F.col("_w")))).alias("run"))
-    pairs = keyed.join(items, "run").join(docs, "doc_id")
+    # Each pair once, by its ids alone, before the texts come to it.
+    pairs = keyed.join(items, "run").select("doc_id", "item_id").distinct().join(docs, "doc_id").join(every.select("item_id", "passage"), "item_id")
     return pairs.where(F.contains("text", "passage")).select("doc_id", "item_id").union(short.select("doc_id", "item_id")).distinct()
 
 
@@ -284,17 +285,34 @@ def merged_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unmatched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that only one model has, after rows of each are lost."""
+    """Keys that only one model has, after rows of each are lost."""
     rows = X.candidates(spark, sf_dir)
     return agreement.unmatched(rows.where("model = 'a' AND h % 5 <> 0"), rows.where("model = 'b' AND h % 3 <> 0")).groupBy("only_in").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def positional_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models' answers by place in the context, where the questions must be the same."""
+    rows = X.candidates(spark, sf_dir)
+    pairs = agreement.positional(rows.where("model = 'a'"), rows.where("model = 'b'"), ("answer_text", "is_impossible"))
+    return pairs.select("context_id", long("k").alias("k"), "question", (F.col("is_impossible_a") == F.col("is_impossible_b")).alias("same_label"), (F.col("answer_text_a") == F.col("answer_text_b")).alias("same_text"))
+
+
+@query
+def suffix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of contexts of equal number under other names; model b lacks every third context."""
+    rows = X.candidates(spark, sf_dir)
+    other = rows.where("model = 'b' AND doc_id % 3 <> 0").withColumn("context_id", F.regexp_replace("context_id", "^context_", "row-"))
+    pairs = agreement.by_number(rows.where("model = 'a'"), other, ("is_impossible", "context_id"))
+    return pairs.select("context_number", "question", "context_id_a", "context_id_b", (F.col("is_impossible_a") == F.col("is_impossible_b")).alias("same_label"))
+
+
 @query
 def split_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of splits with their labels' accuracy where there are any."""
-    docs = X.table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
-    labels = X.table(spark, sf_dir, "labels").join(X.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").where("source < 'src15'")
-    return docs.join(labels.groupBy("source").agg(F.avg("quality").alias("accuracy")), "source", "left")
+    """Totals of splits with their labels' accuracy, null where there are none."""
+    docs = X.table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    labels = X.table(spark, sf_dir, "labels").join(X.table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+    return docs.join(labels.groupBy("source", "lang").agg(F.avg("quality").alias("accuracy")), ["source", "lang"], "left")
 
 
 @query
@@ -464,7 +482,7 @@ def metrics_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W2, M2."""
     rows = metrics.scored(X.predictions(spark, sf_dir), X.references(spark, sf_dir))
-    return metrics.sweep(rows).where("abs(threshold) < 1e300").select("threshold", F.round("exact", 9).alias("exact"), F.round("f1", 9).alias("f1"))
+    return metrics.sweep(rows).select("threshold", F.round("exact", 9).alias("exact"), F.round("f1", 9).alias("f1"))
 
 
 @query
@@ -482,9 +500,9 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dev_tuned_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain, tuned and best scores."""
+    """Plain scores, those at the development set's threshold and those at the rows' own best."""
     rows = metrics.scored(X.predictions(spark, sf_dir), X.references(spark, sf_dir))
-    return metrics.tuned(history(spark, sf_dir), rows).where("mode <> 'oracle'").select("mode", F.round("exact", 9).alias("exact"), F.round("f1", 9).alias("f1"), "total")
+    return metrics.tuned(history(spark, sf_dir), rows).select("mode", F.round("t", 9).alias("threshold"), F.round("exact", 9).alias("exact"), F.round("f1", 9).alias("f1"), "total")
 
 
 @query
@@ -525,21 +543,21 @@ def stratum_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def two_prop_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A18, the statistic."""
-    return stats.two_proportion_z(audited(spark, sf_dir), "model", "human_correct", "a", "b")
+    """Z and p."""
+    return stats.two_proportion_z(audited(spark, sf_dir), "model", "human_correct", "a", "b").withColumn("p", F.round("p", 7))
 
 
 @query
 def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A19, the statistic with Yates's correction."""
-    return stats.chi_square(audited(spark, sf_dir), "model", "human_correct")
+    """The statistic with Yates's correction, and p."""
+    return stats.chi_square(audited(spark, sf_dir), "model", "human_correct").withColumn("p", F.round("p", 7))
 
 
 @query
 def chi_square_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19 with more than one degree of freedom."""
     rows = X.table(spark, sf_dir, "labels").join(X.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return stats.chi_square(rows, "lang", "quality")
+    return stats.chi_square(rows, "lang", "quality").withColumn("p", F.round("p", 7))
 
 
 @query
@@ -617,7 +635,7 @@ def unpivot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15."""
-    return reports.metric_table(X.judged(spark, sf_dir), 1000)
+    return reports.metric_table(X.judged(spark, sf_dir), 200)
 
 
 @query
@@ -701,8 +719,8 @@ def metric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of JSON texts."""
-    rows = X.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k string, page string, ref string").alias("p"), F.try_parse_json("props").isNotNull().alias("valid"))
-    return rows.groupBy("valid").agg(F.count(F.lit(1)).alias("n"))
+    parsed = F.from_json("props", "k bigint, page string, ref string")
+    return X.table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("valid"), parsed["k"].alias("k"), parsed["page"].alias("page"), parsed["ref"].alias("ref"))
 
 
 @query
@@ -717,14 +735,18 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as nested documents, flattened again."""
-    turns = X.table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    return flatten_nested(nested(spark, sf_dir)).select("id", F.md5("question").alias("question"), "is_impossible", "answer", long("answer_start").alias("answer_start"))
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested document for each conversation: its turns are the questions."""
+    turns = X.table(spark, sf_dir, "conversations").withColumn("text", T.or_empty("text"))
     qas = turns.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", F.concat_ws("-", "conv_id", "turn").alias("id"), F.substring("text", 1, 20).alias("question"), (F.col("role") == "system").alias("imp")))).alias("q"), F.min("text").alias("context")
+        F.sort_array(F.collect_list(F.struct("turn", F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"), (F.col("role") == "system").alias("imp")))).alias("q"), F.min("text").alias("context")
     )
-    answer = lambda x: F.when(F.length(x["question"]) > 5, F.array(F.struct(F.upper(F.substring(x["question"], 1, 3)).alias("text"), F.lit(3).alias("answer_start")))).otherwise(F.array().cast("array<struct<text:string,answer_start:int>>"))
+    answer = lambda x: F.when(F.length(x["question"]) > 5, F.array(F.struct(F.substring(x["question"], 1, 3).alias("text"), F.lit(3).alias("answer_start")))).otherwise(F.array().cast("array<struct<text:string,answer_start:int>>"))
     paragraph = F.struct("context", F.transform("q", lambda x: F.struct(x["id"].alias("id"), x["question"].alias("question"), x["imp"].alias("is_impossible"), answer(x).alias("answers"))).alias("qas"))
-    docs = qas.select(F.array(F.struct(F.array(paragraph).alias("paragraphs"))).alias("data"))
-    return flatten_nested(docs).select("id", "question", "is_impossible", F.col("answer").isNotNull().alias("answered"), long("answer_start").alias("answer_start"))
+    return qas.select(F.array(F.struct(F.array(paragraph).alias("paragraphs"))).alias("data"))
 
 
 @query
@@ -848,12 +870,13 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine similarity of every vector to its label's mean vector."""
-    rows = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.posexplode("embedding").alias("i", "x"))
-    rows = rows.withColumn("x", F.col("x").cast("double"))
-    centre = rows.groupBy("label", "i").agg(F.avg("x").alias("c"))
-    both = rows.join(centre, ["label", "i"])
-    dot = F.sum(F.col("x") * F.col("c")) / (F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("c") * F.col("c"))))
-    return both.groupBy("vec_id", "label").agg(F.round(dot, 9).alias("cosine"))
+    rows = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    means = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("c"))
+    # One row a label, so that each vector meets its label's whole mean at once.
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("m"))
+    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosine = total("v", "m") / (F.sqrt(total("v", "v")) * F.sqrt(total("m", "m")))
+    return rows.join(centres, "label").select("vec_id", "label", F.round(cosine, 9).alias("cosine"))
 
 
 @query
@@ -871,3 +894,4 @@ def event_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("before IS NOT NULL").groupBy("user_id").agg(F.round(F.min(hours), 6).alias("least"), F.round(F.avg(hours), 6).alias("mean"))
 
 
+from . import files  # noqa: E402, F401  registers its queries

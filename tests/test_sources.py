@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanqc.operators import reports
 from spanqc.schemas import CANDIDATE
-from spanqc.sources import readers, writers
+from spanqc.sources import readers, shared, writers
 from spanqc.sources.tables import read_table
 from spanqc.streaming import incremental
 
@@ -17,7 +17,7 @@ def test_jsonl(spark, tmp_path):
     path = tmp_path / "x.worker-0"
     path.write_text(json.dumps(good, ensure_ascii=False) + "\n\n{broken\n")
     rows, bad = readers.read_jsonl_tolerant(spark, str(tmp_path / "x.worker-*"))
-    assert rows.count() == 1 and bad.head()["line"] == "{broken"
+    assert rows.count() == 1 and (bad.head()["line"], bad.head()["line_index"]) == ("{broken", 2)
     with pytest.raises(Exception, match="(?i)malformed|corrupt|FAILFAST"):
         readers.read_jsonl(spark, str(path), CANDIDATE).collect()
     writers.write_jsonl(rows, str(tmp_path / "out"))
@@ -27,10 +27,41 @@ def test_jsonl(spark, tmp_path):
     assert all('"answer_text":null' in line for p in (tmp_path / "out").glob("part-*") for line in p.read_text().splitlines())
 
 
+def test_bad_lines_are_numbered_in_files_of_many_parts(spark, tmp_path):
+    lines = [json.dumps({"context_id": f"c{k}"}) if k % 97 else "{broken %d" % k for k in range(4000)]
+    for name in ("a", "b"):
+        (tmp_path / f"x.{name}").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        assert readers.numbered_lines(spark, str(tmp_path / "x.*"))[1].count() > 10
+        rows, bad = readers.read_jsonl_tolerant(spark, str(tmp_path / "x.*"))
+        assert {(r["source_file"][-1], r["line_index"], r["line"]) for r in bad.collect()} == {(f, k, lines[k]) for f in "ab" for k in range(0, 4000, 97)}
+        assert rows.count() == 2 * (4000 - 42)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_the_shared_folder(spark):
+    from types import SimpleNamespace
+
+    path = shared.shared_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert path in shared.WRITTEN
+    shared.forget(path)
+    shared.forget(path)  # what is gone is no error
+    store, name = shared.filesystem(path)
+    assert path not in shared.WRITTEN and store.get_file_info(name).type.name == "NotFound"
+    for master in ("spark://host:7077", "yarn"):
+        cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared.shared_dir(cluster)
+
+
 def test_csv(spark, tmp_path):
-    frame = spark.createDataFrame([("1", 'a "b"\nc', "q", "g", "no")], "row_id string, context string, question string, gold_answer string, gold_is_impossible string")
+    frame = spark.createDataFrame([("1", 'a "b"\nc', " q ", "g", "no")], "row_id string, context string, question string, gold_answer string, gold_is_impossible string")
     writers.write_csv(frame, str(tmp_path / "c"), report=True)
-    assert readers.read_audit(spark, str(tmp_path / "c")).head()["context"] == 'a "b"\nc'
+    assert readers.read_audit(spark, str(tmp_path / "c")).head()[1:3] == ('a "b"\nc', " q ")
     with pytest.raises(ValueError, match="missing"):
         readers.read_csv(spark, str(tmp_path / "c"), ["nope"])
 
