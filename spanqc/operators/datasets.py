@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import ANSWERED, CLEAN_NO_ANSWER, EXPANDED, IMPOSSIBLE
+from ..sources.shared import shared_path
 from .stats import wilson_low, wilson_high
 
 
@@ -186,14 +187,30 @@ def prepared_splits(parts: dict[str, DataFrame], dev: float = 0.1, test: float =
     return every
 
 
+def in_key_order(ids: DataFrame, key: str) -> DataFrame:
+    """Different ids with ``place`` from 0 in order of the key, null first.
+
+    Ranges of keys are sorted in many tasks and held in the shared folder; a key's place is that in its range and
+    the sizes of the ranges before.
+    """
+    path = shared_path(ids.sparkSession, "ordered")
+    sorted_ = ids.repartitionByRange(key).sortWithinPartitions(key)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_.select(key, F.spark_partition_id().alias("_part"), inside.alias("_in")).write.parquet(path)
+    held = ids.sparkSession.read.parquet(path)
+    upto = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.groupBy(F.col("_part").alias("_of")).count().select("_of", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(before), F.col("_part") == F.col("_of")).select(key, (F.col("_before") + F.col("_in")).cast("long").alias("place"))  # a row for each range
+
+
 def shards(frame: DataFrame, key: str, workers: int, seed: int | None = None) -> DataFrame:
     """Rows with ``place`` in order and ``shard``, every ``workers``-th key alike.
 
-    With a seed the order is that of a hash, summed over buckets; without one it is that of the keys, for
-    which one task sees all of them.
+    With a seed the order is that of a hash, summed over buckets; without one it is that of the keys. Rows
+    without a key are left out.
     """
-    ids = frame.select(key).distinct()
-    order = ids.withColumn("place", (F.row_number().over(Window.orderBy(key)) - 1).cast("long")) if seed is None else ranked(ids, key, seed).drop("n_keys")
+    ids = frame.select(key).where(F.col(key).isNotNull()).distinct()
+    order = in_key_order(ids, key) if seed is None else ranked(ids, key, seed).drop("n_keys")
     return frame.join(order.withColumn("shard", F.pmod("place", F.lit(workers))), key)
 
 

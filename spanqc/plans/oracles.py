@@ -301,6 +301,7 @@ oracle(
     audit_strata=f"WITH {JUDGED} SELECT model, {STRATUM} AS stratum, count(*) AS n FROM judged GROUP BY 1, 2",
     context_split_hash=f"WITH {CONTEXTS} {split('contexts', 'context_id', 0.1, 0.1, 42)} SELECT context_id, split FROM parts",
     row_split_hash=f"WITH {SCORED} {split('refs', 'id', 0.2, 0.0, 7)} SELECT id, split FROM parts",
+    ordered_shards=f"WITH {CONTEXTS}, placed AS (SELECT context_id, row_number() OVER (ORDER BY context_id) - 1 AS place FROM contexts) SELECT context_id, place, place % 4 AS shard FROM placed",
     stride_shards=f"WITH {CONTEXTS} {split('contexts', 'context_id', 0.1, 0.1, 42)} SELECT context_id, place, place % 4 AS shard FROM parts",
     experiment_splits=f"""WITH {JUDGED}, own AS (SELECT * FROM judged WHERE model = 'a') {split("own", "context_id", 0.15, 0.15, 42)}
         SELECT split, count(*) AS n FROM own JOIN parts USING (context_id) WHERE split <> 'train' OR {STRICT} GROUP BY split""",
@@ -400,8 +401,11 @@ oracle(
     log_models=f"WITH {LOGS} SELECT model, sum(processed)::bigint AS processed, sum(elapsed_seconds)::double / 3600 AS gpu_hours, sum(elapsed_seconds)::double / sum(processed) AS seconds_per_context, sum(elapsed_seconds)::double / greatest(max(workers), 1) / 3600 AS continuous_hours, printf('%02d:%02d:%02d', c // 3600, c % 3600 // 60, c % 60) AS continuous FROM (SELECT *, (sum(elapsed_seconds) OVER (PARTITION BY model) / max(workers) OVER (PARTITION BY model))::double AS whole, floor(whole)::bigint AS c FROM segs) GROUP BY model, c",
 )
 oracle(
-    prepared_splits=f"""WITH {SCORED}, sizes AS (SELECT count(*) FILTER (h % 10 = 0) AS tests, count(*) FILTER (h % 10 > 0) AS rest FROM refs), devs AS (SELECT tests, rest, round_even(rest * (0.1::double / (1 - 0.1::double)), 0)::bigint AS d FROM sizes)
-        SELECT 'test' AS split, tests AS n FROM devs UNION ALL SELECT 'validation', d FROM devs UNION ALL SELECT 'train', rest - d FROM devs""",
+    prepared_splits=f"""WITH {SCORED}, sizes AS (SELECT count(*) FILTER (h % 10 = 0) AS tests, count(*) FILTER (h % 10 = 1) AS ones, count(*) FILTER (h % 10 > 0) AS rest, round_even(count(*) * 0.1::double, 0)::bigint AS tenth FROM refs),
+        devs AS (SELECT *, round_even(rest * (0.1::double / (1 - 0.1::double)), 0)::bigint AS d FROM sizes)
+        SELECT 'two' AS given, 'test' AS split, tests AS n FROM devs UNION ALL SELECT 'two', 'validation', d FROM devs UNION ALL SELECT 'two', 'train', rest - d FROM devs
+        UNION ALL SELECT 'three', 'test', tests FROM devs UNION ALL SELECT 'three', 'validation', ones FROM devs UNION ALL SELECT 'three', 'train', rest - ones FROM devs
+        UNION ALL SELECT 'one', 'test', tenth FROM devs UNION ALL SELECT 'one', 'validation', tenth FROM devs UNION ALL SELECT 'one', 'train', tests + rest - 2 * tenth FROM devs""",
     generation_resume=f"WITH {CONTEXTS} SELECT context_id, regexp_extract(context, '\\S+') AS answer_text FROM contexts WHERE doc_id % 2 = 1",
 )
 

@@ -413,6 +413,12 @@ def stride_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.shards(X.contexts(spark, sf_dir).select("context_id"), "context_id", 4, seed=42).select("context_id", "place", "shard")
 
 
+@query
+def ordered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O10 in order of the keys themselves."""
+    return datasets.shards(X.contexts(spark, sf_dir).select("context_id"), "context_id", 4).select("context_id", "place", "shard")
+
+
 @query
 def experiment_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D9."""
@@ -423,9 +429,12 @@ def experiment_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prepared_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D10."""
+    """Splits from train and test, from all three parts, and from train alone."""
     ids = X.references(spark, sf_dir).select("id", "context_id", "h")
-    return datasets.prepared_splits({"train": ids.where("h % 10 > 0"), "test": ids.where("h % 10 = 0")}).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    test, rest = ids.where("h % 10 = 0"), ids.where("h % 10 > 0")
+    cases = {"two": {"train": rest, "test": test}, "three": {"train": rest.where("h % 10 > 1"), "validation": ids.where("h % 10 = 1"), "test": test}, "one": {"train": ids}}
+    every = [datasets.prepared_splits(parts).groupBy(F.lit(name).alias("given"), "split").agg(F.count(F.lit(1)).alias("n")) for name, parts in cases.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2])
 
 
 @query

@@ -13,7 +13,7 @@ from test_operators import naive_decode
 from test_queries import plain
 
 from spanqc.functions import text
-from spanqc.operators import agreement, reports, stats, validation
+from spanqc.operators import agreement, datasets, reports, stats, validation
 from spanqc.plans import queries
 from spanqc.plans.oracles import ORACLES
 from spanqc.plans.queries import QUERIES
@@ -142,3 +142,11 @@ def test_kept_lines_are_as_they_were(spark):
     done, kept = validation.resume_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
     assert [r[0] for r in done.collect()] == ["c1"]
     assert sorted(r[0] for r in kept.collect()) == sorted(lines[:5] + ["{broken", '{"y": 2}', '{"context_id": null}'])
+
+
+def test_shards_in_order_of_keys(spark):
+    keys = [f"k{(k * 7919) % 1000:04d}" for k in range(1000)] + ["k0003", None]
+    rows = datasets.shards(spark.createDataFrame([(k,) for k in keys], "k string").repartition(5), "k", 4).collect()
+    places = {k: p for p, k in enumerate(sorted({k for k in keys if k}))}
+    assert len(rows) == 1001 and all((r["place"], r["shard"]) == (places[r["k"]], places[r["k"]] % 4) for r in rows)
+    assert datasets.shards(spark.createDataFrame([], "k string"), "k", 4).count() == 0
