@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import pyarrow.fs
 from pyspark.sql import SparkSession
@@ -37,15 +39,34 @@ def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 #: What this process has put into the shared folder and not taken away.
 WRITTEN: set[str] = set()
+#: The same of the scope that the caller stands in, if any.
+SCOPE: ContextVar[set[str] | None] = ContextVar("scope", default=None)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def scope() -> Iterator[set[str]]:
+    """Gives the paths that are written within it, by this thread of control."""
+    made: set[str] = set()
+    token = SCOPE.set(made)
+    try:
+        yield made
+    finally:
+        SCOPE.reset(token)
+
+
+def written(path: str) -> str:
+    """The path, which is taken away when the process ends, or before by ``forget``."""
     WRITTEN.add(path)
+    if (own := SCOPE.get()) is not None:
+        own.add(path)
     return path
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return written(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
 def forget(*paths: str) -> None:
     """Takes away what was written to the shared folder and is no longer read."""
     for path in paths:
