@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import shared_path
 
 
 def scored(predictions: DataFrame, references: DataFrame, strict: bool = True) -> DataFrame:
@@ -68,11 +69,14 @@ def sweep(rows: DataFrame) -> DataFrame:
 
     Rows are summed for each score first; a threshold keeps the scores up to it. Different scores
     can be as many as rows, so they are cut into stretches: sums run within a stretch, and over the
-    stretches' totals.
+    stretches' totals. What is summed is kept in the shared folder, as it is read more than once.
     """
     names = ("n", "em_kept", "f1_kept", "em_blank", "f1_blank")
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "scores")
     sums = rows.groupBy(F.col("no_answer_probability").alias("threshold")).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in names[1:]])
-    ends = rows.sparkSession.createDataFrame([(float("-inf"), *[0.0] * 5), (float("inf"), *[0.0] * 5)], sums.schema)
+    sums.write.parquet(path)
+    sums = spark.read.schema(sums.schema).parquet(path)
+    ends = spark.createDataFrame([(float("-inf"), *[0.0] * 5), (float("inf"), *[0.0] * 5)], sums.schema)
     every = sums.unionByName(ends).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in names])
     every = every.crossJoin(F.broadcast(stretches(sums, "threshold"))).withColumn("stretch", F.size(F.filter("_bounds", lambda b: b < F.col("threshold")))).drop("_bounds")  # one row of bounds
     before, all_ = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
