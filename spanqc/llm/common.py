@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from ..sources.shared import WRITTEN, filesystem, shared_dir, shared_path
+from ..sources.shared import filesystem, shared_dir, shared_path, written
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def cut(frame: DataFrame) -> DataFrame:
     held = frame.checkpoint(eager=True)
     files = held._jdf.queryExecution().logical().rdd().getCheckpointFile()
     if files.isDefined():
-        WRITTEN.add(files.get())
+        written(files.get())
     return held
 
 
@@ -146,14 +147,17 @@ KEPT: dict[str, object] = {}
 def kept(name: str, make: Callable[[], T]) -> T:
     """The worker's thing of this name; what another operator left is given up before it is made."""
     if name not in KEPT:
-        KEPT.clear()
+        keep_nothing()
         KEPT[name] = make()
     return KEPT[name]
 
 
 def keep_nothing() -> None:
-    """Gives up what another operator left in this worker."""
+    """Gives up what another operator left in this worker, and gives the system back what Arrow and the C library hold for later."""
     KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def for_each_block(rows: DataFrame, by: tuple[str, ...], blocks: int, make: Callable[[int, pa.Table], None]) -> None:

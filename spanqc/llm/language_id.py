@@ -37,9 +37,9 @@ MOST_LANGUAGES = 500
 #: Rounds of expectation maximisation, and the weight of the pooled probabilities in each language's.
 ROUNDS, POOLED = 3, 200.0
 #: Words that a worker remembers; words of a longer run are scored alone, in logarithms.
-REMEMBERED, LONGEST = 400_000, 40
+REMEMBERED, LONGEST = 250_000, 40
 #: Words scored at a time.
-TOGETHER = 20_000
+TOGETHER = 8_000
 
 
 @lru_cache(maxsize=2)
