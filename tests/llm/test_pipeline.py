@@ -72,7 +72,7 @@ def test_stages_by_brute_force(spark, sf_dir, tmp_path, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").head()["text"]
     first = docs.where("text IS NOT NULL").orderBy("doc_id").head().asDict()
-    odd = [{**first, "doc_id": 9001, "text": None}, {**first, "doc_id": 9002, "text": "12 34"}, {**first, "doc_id": None}, first, {**first, "doc_id": 9003, "text": f"{first['text']} {passage}"}]
+    odd = [{**first, "doc_id": 9001, "text": None}, {**first, "doc_id": 9002, "text": "12 34"}, {**first, "doc_id": None}, first, {**first, "doc_id": 9004, "text": "e " * 200}, {**first, "doc_id": 9003, "text": f"{first['text']} {passage}"}]
     docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
     kept = [[r.asDict() for r in k.collect()] for k in stages(spark, docs, sf_dir, tmp_path)]
     ordered = lambda rows: sorted((tuple(r.values()) for r in rows), key=str)
@@ -86,7 +86,19 @@ def test_stages_by_brute_force(spark, sf_dir, tmp_path, monkeypatch):
 
     assert ordered(kept[1]) == ordered(r for r in kept[0] if good(r))
     scorer = language_id.Scorer(models[0])
-    assert ordered(kept[2]) == ordered(r for r in kept[1] if any(c.isalpha() for c in r["text"] or "") and scorer.model.languages)
+    chances = {}
+
+    def spoken(r):
+        """Whether one language is likelier than all others, each word summed alone over its segmentations."""
+        words = [w for w in language_id.letters(r["text"] or "") if w]
+        for w in words:
+            if w not in chances:
+                chances[w] = scorer.alone(w)
+        total = np.sum([chances[w] for w in words], axis=0)
+        return bool(words) and 1 / np.exp(total - total.max()).sum() >= pipeline.LEAST_SHARE
+
+    assert ordered(kept[2]) == ordered(r for r in kept[1] if spoken(r))
+    assert not spoken({"text": "12 34"}) and len({spoken({"text": t}) for t in ("a", "e", "n", "s", "t", first["text"])}) == 2
     prints = [fingerprint(r["text"]) for r in kept[2]]
     group = smallest_reachable(list(range(len(prints))), prints)
     best = {}
