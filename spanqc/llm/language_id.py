@@ -59,29 +59,68 @@ def letters(text: str) -> list[str]:
     return [run if run.isalpha() else "".join(c for c in run if c.isalpha()) for run in RUN.findall(text.lower())]
 
 
+class Pieces:
+    """Numbered pieces as a tree of characters, which many texts are walked down at a time."""
+
+    def __init__(self, numbers: dict[str, int]) -> None:
+        chars = sorted({c for piece in numbers for c in piece})
+        self.numbers, self.longest, self.width = numbers, max(map(len, numbers)), len(chars) + 1
+        #: Of each code point the number of a character of the pieces, or 0.
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        code, steps, number = {c: k for k, c in enumerate(chars, 1)}, {}, [0]
+        for piece, n in numbers.items():
+            node = 0
+            for c in piece:
+                node = steps.setdefault(node * self.width + code[c], len(number))
+                if node == len(number):
+                    number.append(0)
+            number[node] = n
+        self.keys = np.array(sorted(steps), np.int64)
+        self.nexts = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+        self.number = np.array(number, np.int64)
+
+    def walk(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each node has a branch of the character, and where it leads."""
+        key = node * self.width + char
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[at] == key, self.nexts[at]
+
+
+@lru_cache(maxsize=2)
+def tree(path: str) -> Pieces:
+    """The vocabulary of a model."""
+    return Pieces(vocabulary(path))
+
+
 class Lattice:
     """The pieces that stand in some words: of each, the word's index, start, end and number."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int) -> None:
-        row: list[int] = []
-        start: list[int] = []
-        end: list[int] = []
-        number: list[int] = []
-        get = pieces.get
-        for k, word in enumerate(words):
-            marked = BEGIN + word
-            n = len(marked)
-            for e in range(1, n + 1):
-                for s in range(max(0, e - longest), e):
-                    found = get(marked[s:e])
-                    if found is not None or s == e - 1:
-                        row.append(k)
-                        start.append(s)
-                        end.append(e)
-                        number.append(found or 0)
+    def __init__(self, words: list[str], pieces: Pieces) -> None:
         self.sizes = np.array([len(w) + 1 for w in words], np.int64)
-        order = np.argsort(np.array(end, np.int64), kind="stable")
-        self.row, self.start, self.end, self.number = (np.array(x, np.int64)[order] for x in (row, start, end, number))
+        char = pieces.code[np.frombuffer("".join([BEGIN + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        first = np.cumsum(self.sizes) - self.sizes
+        row = np.repeat(np.arange(len(words)), self.sizes)
+        start = np.arange(len(char)) - first[row]
+        # From every place all pieces that begin there; any single character is a piece.
+        left, at, node = self.sizes[row] - start, np.arange(len(char)), np.zeros(len(char), np.int64)
+        found: list[tuple[np.ndarray, ...]] = []
+        for length in range(1, pieces.longest + 1):
+            here = left[at] >= length
+            at, node = at[here], node[here]
+            goes, node = pieces.walk(node, char[at + length - 1])
+            if length == 1:
+                found.append((row[at], start[at], start[at] + 1, np.where(goes, pieces.number[node], 0)))
+            at, node = at[goes], node[goes]
+            if length > 1:
+                number = pieces.number[node]
+                whole = number > 0
+                found.append((row[at[whole]], start[at[whole]], start[at[whole]] + length, number[whole]))
+            if not len(at):
+                break
+        self.row, self.start, self.end, self.number = (np.concatenate([f[i] for f in found]) for i in range(4))
+        order = np.argsort(self.end, kind="stable")
+        self.row, self.start, self.end, self.number = (x[order] for x in (self.row, self.start, self.end, self.number))
         self.upto = np.searchsorted(self.end, np.arange(int(self.sizes.max(initial=0)) + 2))
 
     def forward(self, chance: np.ndarray) -> np.ndarray:
@@ -106,16 +145,14 @@ class Lattice:
         after = np.zeros_like(before)
         after[np.arange(n), self.sizes] = 1
         scale = counts / np.maximum(self.whole(before), 1e-300)
-        out = np.zeros_like(chance)
+        uses = np.zeros((len(self.row), languages))
         for e in range(top, 0, -1):
             own = slice(self.upto[e], self.upto[e + 1])
-            row, start, number = self.row[own], self.start[own], self.number[own]
-            part = after[row, e] * chance[number]
-            use = before[row, start] * part * scale[row]
-            for k in range(languages):
-                out[:, k] += np.bincount(number, use[:, k], len(out))
-                after[:, :, k] += np.bincount(row * (top + 1) + start, part[:, k], n * (top + 1)).reshape(n, top + 1)
-        return out
+            row, start = self.row[own], self.start[own]
+            part = after[row, e] * chance[self.number[own]]
+            uses[own] = before[row, start] * part * scale[row]
+            after[row, start] += part  # of one end, no two pieces have the same word and start
+        return np.stack([np.bincount(self.number, uses[:, k], len(chance)) for k in range(languages)], axis=1) if languages else np.zeros_like(chance)
 
 
 class Model:
@@ -127,12 +164,11 @@ class Model:
     @staticmethod
     def learn(counts: dict[str, dict[str, int]], path: str) -> Model:
         """From how often each language has each word."""
-        pieces = vocabulary(path)
-        longest, languages = max(map(len, pieces)), sorted(counts)
+        pieces, languages = tree(path), sorted(counts)
         words = sorted({w for own in counts.values() for w in own if len(w) <= LONGEST}, key=lambda w: (len(w), w))
         seen = np.array([[counts[name].get(w, 0) for name in languages] for w in words], float).reshape(len(words), len(languages))
-        blocks = [(Lattice(words[k : k + TOGETHER], pieces, longest), seen[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
-        chance = np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1))
+        blocks = [(Lattice(words[k : k + TOGETHER], pieces), seen[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        chance = np.full((len(pieces.numbers) + 1, len(languages)), 1 / (len(pieces.numbers) + 1))
         for _ in range(ROUNDS):
             use = sum((block.expected(chance, own) for block, own in blocks), np.zeros_like(chance))
             pooled = (use.sum(axis=1) + 0.01) / (use.sum() + 0.01 * len(use))
@@ -146,8 +182,7 @@ class Scorer(dict):
     def __init__(self, model: Model) -> None:
         super().__init__({"": 0})
         self.model = model
-        self.pieces = vocabulary(model.path)
-        self.longest = max(map(len, self.pieces))
+        self.pieces = tree(model.path)
         self.table = np.zeros((1024, len(model.languages)))
         self.waiting: list[str] = []
 
@@ -162,7 +197,7 @@ class Scorer(dict):
         marked, chance = BEGIN + word, np.log(self.model.chance)
         done = np.zeros((len(marked) + 1, chance.shape[1]))
         for e in range(1, len(marked) + 1):
-            ways = [done[s] + chance[p or 0] for s in range(max(0, e - self.longest), e) if (p := self.pieces.get(marked[s:e])) is not None or s == e - 1]
+            ways = [done[s] + chance[p or 0] for s in range(max(0, e - self.pieces.longest), e) if (p := self.pieces.numbers.get(marked[s:e])) is not None or s == e - 1]
             done[e] = np.logaddexp.reduce(ways, axis=0)
         return done[-1]
 
@@ -178,7 +213,7 @@ class Scorer(dict):
             some = order[k : k + TOGETHER]
             short = [i for i in some if len(self.waiting[i]) <= LONGEST]
             if short:
-                block = Lattice([self.waiting[i] for i in short], self.pieces, self.longest)
+                block = Lattice([self.waiting[i] for i in short], self.pieces)
                 self.table[np.array(short) + first] = np.log(np.maximum(block.whole(block.forward(self.model.chance)), 1e-300))
             for i in some[len(short) :]:
                 self.table[first + i] = self.alone(self.waiting[i])

@@ -110,7 +110,7 @@ def test_segmentations_are_all_summed():
         return sum(chance[pieces.get(word[:k], 0)] * every(word[k:]) for k in range(1, min(3, len(word)) + 1) if word[:k] in pieces or k == 1)
 
     words = ["a", "ab", "abab", "babba", "xax"]
-    lattice = language_id.Lattice(words, pieces, 3)
+    lattice = language_id.Lattice(words, language_id.Pieces(pieces))
     assert np.allclose(lattice.whole(lattice.forward(chance)), [every("▁" + w) for w in words])
     # Expected counts weighted by piece length cover every character of every word once.
     counts = np.ones((len(words), 3))
@@ -119,6 +119,17 @@ def test_segmentations_are_all_summed():
     assert np.allclose((use * size[:, None]).sum(axis=0), sum(len(w) + 1 for w in words))
 
 
+def test_lattices_hold_every_piece():
+    numbers = language_id.vocabulary(MODEL)
+    pieces, rng = language_id.tree(MODEL), random.Random(8)
+    words = ["", "a", "straße", "été", "日本", "\U0001d4b3x", "wood" * 9] + ["".join(rng.choices("etaoinshré日ß", k=rng.randint(1, 14))) for _ in range(300)]
+    lattice = language_id.Lattice(words, pieces)
+    got = sorted(zip(*(x.tolist() for x in (lattice.row, lattice.start, lattice.end, lattice.number)), strict=True))
+    marked = ["▁" + w for w in words]
+    want = [(k, s, e, numbers.get(w[s:e], 0)) for k, w in enumerate(marked) for s in range(len(w)) for e in range(s + 1, len(w) + 1) if w[s:e] in numbers or e == s + 1]
+    assert got == sorted(want) and (np.diff(lattice.end) >= 0).all()
+
+
 def test_scorer_of_long_and_short_words_agree():
     model = language_id.Model.learn({"x": {"hello": 3, "hell": 1}, "y": {"allez": 2, "alle": 5}}, MODEL)
     scorer = language_id.Scorer(model)
