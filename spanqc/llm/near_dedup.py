@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import cut, keep_nothing, text_bytes
+from .common import cut, keep_nothing, stored, text_bytes
 from .components import components
 from .simhash_kernel import fingerprints
 
@@ -169,10 +169,13 @@ def places(nodes: DataFrame, count: int, radius: int) -> DataFrame:
 
 def spread(rows: DataFrame, crowded: int) -> DataFrame:
     """Adds ``part``; nodes of a crowded place are dealt into parts, and go to each two parts that hold theirs."""
-    hot = rows.groupBy("choice", "bits").count().where(F.col("count") > crowded).withColumn("parts", F.ceil(F.col("count") / crowded))
+    counted = rows.groupBy("choice", "bits").count().where(F.col("count") > crowded).select("choice", "bits", F.ceil(F.col("count") / crowded).alias("parts"))
+    hot = stored(counted, "crowded")
+    if hot.isEmpty():
+        return rows.withColumn("part", F.lit(0).cast("long"))
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.least(o, own) * F.col("parts") + F.greatest(o, own))
-    joined = rows.join(hot.select("choice", "bits", "parts"), ["choice", "bits"], "left")
+    joined = rows.join(hot, ["choice", "bits"], "left")
     return joined.select("choice", "bits", "node", *TABLE, F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("part"))
 
 
