@@ -48,16 +48,19 @@ STATISTICS = (
 )
 
 
-def statistics(text: bytes, words: list[bytes], seen: Counter[bytes], recorded: float | None) -> list[float]:
+def statistics(text: bytes, seen: Counter[bytes], recorded: float | None) -> list[float]:
     """Structure of a text, each value of about the size of one; all defined for an empty text."""
-    size, n, different = max(1, len(text)), max(1, len(words)), len(seen)
+    counts = np.fromiter(seen.values(), np.float64, len(seen))
+    total = int(counts.sum())
+    size, n, different = max(1, len(text)), max(1, total), len(seen)
     lines = text.split(b"\n")
-    share = lambda chars: (len(text) - len(text.translate(None, chars))) / size
+    bytes_ = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    share = lambda chars: int(bytes_[np.frombuffer(chars, np.uint8)].sum()) / size
     letters = max(1e-9, share(UPPER + LOWER))
-    entropy = -sum(c / n * math.log(c / n) for c in seen.values())
+    entropy = float(-(counts / n) @ np.log(counts / n))
     return [
         math.log1p(len(text)) / 8,
-        math.log1p(len(words)) / 6,
+        math.log1p(total) / 6,
         len(text) / n / 8,
         math.log1p(max(map(len, seen), default=0)) / 4,
         2 * share(UPPER) / letters if letters > 1e-9 else 0.0,
@@ -68,7 +71,7 @@ def statistics(text: bytes, words: list[bytes], seen: Counter[bytes], recorded:
         3 * (1 - share(bytes(range(128)))) if text else 0.0,
         different / n,
         2 * max(seen.values(), default=0) / n,
-        sum(c == 1 for c in seen.values()) / n,
+        int((counts == 1).sum()) / n,
         entropy / 6,
         math.log1p(len(lines)) / 4,
         1 - len(set(lines)) / len(lines),
@@ -81,12 +84,11 @@ def statistics(text: bytes, words: list[bytes], seen: Counter[bytes], recorded:
 def features(text: bytes | None, recorded: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values: the statistics, then words in lower case by damped count, of length a half together."""
     text = text or b""
-    words = text.split()
     seen = Counter(text.translate(TO_LOWER).split())
-    values = statistics(text, words, seen, recorded)
+    values = statistics(text, seen, recorded)
     first = len(values)
     room = BUCKETS - first
-    at = np.fromiter((zlib.crc32(w) % room for w in seen), np.int64, len(seen)) + first
+    at = np.fromiter(map(zlib.crc32, seen), np.int64, len(seen)) % room + first
     x = np.log1p(np.fromiter(seen.values(), np.float64, len(seen)))
     if len(at):
         at, where = np.unique(at, return_inverse=True)

@@ -657,7 +657,7 @@ def best_rows(texts, k, every, terms):
 @pytest.mark.parametrize("block", [1, 3, 64])
 def test_search_by_brute_force(spark, monkeypatch, block):
     rng = random.Random(block)
-    monkeypatch.setattr(bm25, "FIRST", block)
+    monkeypatch.setattr(bm25, "WAVES", 1 + block)
     monkeypatch.setattr(bm25, "QUERIES_AT_ONCE", 5)
     vocabulary = [f"w{i}" for i in range(40)]
     weights = [1 / (i + 1) for i in range(40)]
