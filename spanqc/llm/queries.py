@@ -11,6 +11,7 @@ from ..sources.shared import shared_path
 from ..sources.tables import read_table
 from .bm25 import top_k
 from .chat import render
+from .collocations import collocations
 from .decontamination import contamination, digest
 from .language_id import identify
 from .mixing import mix
@@ -68,6 +69,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_bm25_top_k,
         op10_quality_classifier,
+        op12_phrase_collocations,
     )
 }
 
@@ -214,4 +220,39 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_phrase_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents WHERE text IS NOT NULL
+        ), lists AS (
+            SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+        ), starts AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists
+        ), grams AS (
+            SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, count(*) AS f
+            FROM starts, (VALUES (1), (2), (3)) sizes(size) WHERE i + size - 1 <= len(w) GROUP BY ALL
+        ), totals AS (
+            SELECT lang, sum(f)::bigint AS n FROM grams WHERE size = 1 GROUP BY lang
+        ), candidates AS (
+            SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 10
+        ), cuts AS (
+            SELECT lang, size, phrase, a, unnest(range(1, size)) AS k, w FROM candidates
+        ), scored AS (
+            SELECT c.lang, c.size, c.phrase, c.a, k, p.f AS l, q.f AS r, ((1000000::hugeint * c.a * c.a) // (p.f::hugeint * q.f))::bigint AS score
+            FROM cuts c JOIN grams p ON p.lang = c.lang AND p.size = k AND p.phrase = array_to_string(c.w[1:k], ' ')
+                        JOIN grams q ON q.lang = c.lang AND q.size = c.size - k AND q.phrase = array_to_string(c.w[k + 1:], ' ')
+        ), weakest AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM scored
+        ), parts AS (
+            SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE size = 3
+            UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE size = 3
+        ), holders AS (
+            SELECT lang, phrase, max(a) AS most FROM parts GROUP BY lang, phrase
+        ), ranked AS (
+            SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, x.a DESC, x.phrase) AS rank, x.phrase, x.a, l, r, score
+            FROM weakest x LEFT JOIN holders h ON x.lang = h.lang AND x.phrase = h.phrase
+            WHERE pick = 1 AND NOT coalesce(100 * most >= 50 * x.a, false)
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
