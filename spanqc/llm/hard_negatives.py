@@ -73,10 +73,6 @@ class Space(NamedTuple):
             squares = 2 * (self.longest - np.sqrt(np.maximum(self.longest - own, 0) * np.maximum(self.longest - theirs, 0)))
         return np.sqrt(np.maximum(squares - 2 * vectors @ self.pivots.T, 0))
 
-    def reach(self, square: np.ndarray, score: np.ndarray) -> np.ndarray:
-        """How far from an anchor a candidate of this score is."""
-        return np.sqrt(np.maximum(square + self.longest - 2 * score, 0))
-
     def slack(self) -> float:
         return 1e-6 * (1 + self.longest**0.5)
 
@@ -179,7 +175,11 @@ def round_of(rows: DataFrame, anchors: DataFrame, space: Space, most: int, windo
     ``anchors``: key, id, label, vec, cell, away, ``goals`` (scores), ``low`` and ``high`` (scores between which rows are wanted, or null).
     """
     longest = F.lit(space.longest)
-    reach = lambda c: F.sqrt(F.greatest(F.col("square") + longest - 2 * F.col(c).cast("double"), F.lit(0.0)))
+
+    def reach(score: str) -> Column:
+        """How far from the anchor a row of this score is; null if there is no score."""
+        return F.when(F.col(score).isNotNull(), F.sqrt(F.greatest(F.col("square") + longest - 2 * F.col(score).cast("double"), F.lit(0.0))))
+
     cells = anchors.groupBy("cell").agg(
         F.min("away"), F.max("away"), F.max(F.coalesce(reach("low"), F.lit(float("inf")))), F.min(F.coalesce(reach("high"), F.lit(0.0))), F.count(F.lit(1))
     ).collect()
@@ -220,7 +220,7 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negativ
 
     Rows with a null id, label or vector, or with a component that is null or not finite, take no part. Rows that repeat id,
     label and vector are one; other rows of an anchor's id are not its positives. Shorter vectors end in zeros; an empty
-    one scores 0. A component beyond 31 bits is an error. Of rows with one label and vector only the smallest ids can
+    one scores 0. A component beyond 31 bits or a score beyond 56 is an error. Of rows with one label and vector only the smallest ids can
     be among the first, so no others are compared. Without anchors or rows the result is empty.
     """
     known = rows.where(F.col(id).isNotNull() & F.col(label).isNotNull() & usable(vector))
@@ -233,8 +233,8 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negativ
     asking = chosen.count()
     if not asking:
         return rows.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
-    if longest >= 1 << 62:
-        raise OverflowError("scores are beyond 62 bits")
+    if longest >= 1 << 56:  # a hundred times a score is still a long
+        raise OverflowError("scores are beyond 56 bits")
     dims, pivots = dims // 4, min(MOST, max(FEWEST, asking // ANCHORS_EACH))
     drawn = compared.select("vec", F.xxhash64("vec").alias("h")).orderBy("h", "vec").limit(8 * pivots).collect()
     points = matrix(pa.array(list(dict.fromkeys(bytes(v) for v, _ in drawn))[:pivots], pa.binary()), dims)
@@ -247,7 +247,7 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negativ
     own = stored(round_of(compared, stored(first, "asking"), space, positives).select("key", F.col("row").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     goals = own.where(F.col("positive_score") >= 0).groupBy("key").agg(F.collect_set("positive_score").alias("goals"))
     second = asked.join(goals, "key").withColumns({
-        "low": F.floor(F.array_min("goals") * window[0] / 100).cast("long"), "high": F.ceil(F.array_max("goals") * window[1] / 100).cast("long"),
+        "low": F.array_min("goals").cast("double") * window[0] / 100, "high": F.array_max("goals").cast("double") * window[1] / 100,
     })
     others = round_of(compared, stored(second, "asking"), space, negatives, window).select("key", F.col("goal").alias("positive_score"), F.col("place").alias("rank"), F.col("row").alias("negative_id"), F.col("score").alias("negative_score"))
     named = asked.select("key", F.col("id").alias("anchor_id"))

@@ -15,6 +15,7 @@ from .chat import render
 from .collocations import collocations
 from .decontamination import contamination, digest
 from .hard_negatives import hard_negatives
+from .html_text import main_texts
 from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -81,6 +82,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_classifier,
         op11_hard_negatives,
         op12_phrase_collocations,
+        op13_html_extraction,
     )
 }
 
