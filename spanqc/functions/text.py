@@ -1,16 +1,18 @@
-"""Text functions as Columns; Python only for exact Unicode normalisation and sequence similarity."""
+"""Text functions as Columns; Python only for sequence similarity."""
 
 from __future__ import annotations
 
 import difflib
 import re
+import sys
 import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 
 def column(c: Column | str) -> Column:
@@ -81,34 +83,63 @@ def normal_form(text: str | None) -> str:
     return re.sub(r"\s+([.,;:!?])", r"\1", out).strip()
 
 
-@F.pandas_udf(StringType())
-def normalize_exact(texts: pd.Series) -> pd.Series:
-    return texts.map(normal_form, na_action=None)
-
-
 def runs_of(numbers: Sequence[int]) -> list[tuple[int, int]]:
     """Numbers in order as runs, first and last."""
-    starts = [k for k in numbers if k - 1 not in numbers]
-    ends = [k for k in numbers if k + 1 not in numbers]
+    known = set(numbers)
+    starts = [k for k in numbers if k - 1 not in known]
+    ends = [k for k in numbers if k + 1 not in known]
     return list(zip(starts, ends, strict=True))
 
 
-#: Characters on which the fast normal form is exact; a rule makes the list.
-PLAIN = [k for k in range(0x250) if not 0x1C <= k <= 0x1F and (chr(k) in ACCENTED or bare(chr(k)) == chr(k))] + sorted(map(ord, QUOTES))
-PLAIN_TEXT = "\\A[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs_of(PLAIN)) + "]*\\z"
+#: Syllables that are three letters by arithmetic, and the first of each kind of letter.
+HANGUL, LEADS, VOWELS, TAILS = (0xAC00, 0xD7A3), 0x1100, 0x1161, 0x11A7
+
+
+@cache
+def bare_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """For all characters whose bare lower form is another: those with one character or none, and those with more.
+
+    Full decomposition and leaving out marks need no neighbours, so a text's form is that of its characters; only
+    the lower form of sigma depends on its place. Syllables of Hangul are left out, as they follow by arithmetic.
+    """
+    one, more = {}, {}
+    for k in range(sys.maxunicode + 1):
+        ch = chr(k)
+        if 0xD800 <= k <= 0xDFFF or HANGUL[0] <= k <= HANGUL[1] or ch == "\N{GREEK CAPITAL LETTER SIGMA}":
+            continue
+        form = QUOTES.get(ch) or (" " if ch.isspace() else bare(ch.lower()))
+        if form != ch:
+            (one if len(form) < 2 else more)[ch] = form
+    return one, more
+
+
+def normalize_exact(c: Column | str) -> Column:
+    """The exact normal form, as ``normal_form`` has it."""
+    one, more = bare_forms()
+    text = or_empty(c)
+    text = F.when(F.contains(text, F.lit("Σ")), F.lower(text)).otherwise(text)
+    kept = sorted(one, key=lambda ch: one[ch] == "")  # what goes stands last, where it has no counterpart
+    single = F.translate(text, "".join(kept), "".join(one[ch] for ch in kept))
+    rest = [*runs_of(sorted(map(ord, more))), HANGUL]
+    several = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in rest) + "]"
+    forms = F.str_to_map(F.lit("\x01".join(f"{ch}\x02{form}" for ch, form in more.items())), F.lit("\x01"), F.lit("\x02"))
+
+    def letters(ch: Column) -> Column:
+        number = F.ascii(ch) - HANGUL[0]
+        of = lambda first, n, at: F.substring(F.lit("".join(chr(first + k) for k in range(n))), at + 1, F.lit(1))
+        tail = F.when(number % 28 > 0, of(TAILS, 28, number % 28)).otherwise("")
+        return F.concat(of(LEADS, 19, F.floor(number / 588).cast("int")), of(VOWELS, 21, F.floor(number % 588 / 28).cast("int")), tail)
 
+    def form(ch: Column) -> Column:
+        return F.when(ch.between(chr(HANGUL[0]), chr(HANGUL[1])), letters(ch)).when(F.rlike(ch, F.lit(several)), F.element_at(forms, ch)).otherwise(ch)
 
-def is_plain(c: Column | str) -> Column:
-    """Whether a text has only characters on which the fast normal form is exact."""
-    return F.rlike(F.lower(or_empty(c)), F.lit(PLAIN_TEXT))
+    long = F.array_join(F.transform(F.split(single, ""), form), "")
+    return tidy(F.when(F.rlike(single, F.lit(several)), long).otherwise(single))
 
 
 def normalize(c: Column | str, exact: bool = True) -> Column:
-    """The exact normal form; Python is given only texts on which the fast one may differ. Unless ``exact``, the fast one."""
-    if not exact:
-        return normalize_fast(c)
-    text, plain = column(c), is_plain(c)
-    return F.when(plain, normalize_fast(text)).otherwise(normalize_exact(F.when(~plain, text)))
+    """The exact normal form, or the fast one for precomposed Latin text."""
+    return normalize_exact(c) if exact else normalize_fast(c)
 
 
 def similarity_of(a: str | None, b: str | None) -> float:
@@ -167,12 +198,46 @@ def count_overlapping(haystack: Column | str, needle: Column | str) -> Column:
     return F.when((n == "") | (F.instr(h, n) == 0), F.lit(0)).when(F.contains(n, F.lit(r"\E")), slow).otherwise(fast)
 
 
+def trie_pattern(words: Sequence[str]) -> str:
+    """A pattern of the longest of the words that stands at a place."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for ch in word:
+            at = at.setdefault(ch, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [re.escape(ch) + pattern(below) for ch, below in sorted(node.items()) if ch]
+        if not branches:
+            return ""
+        joined = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return joined + "?" * ("" in node)
+
+    return pattern(tree)
+
+
+def overlaps_itself(word: str) -> bool:
+    return any(word.startswith(word[k:]) for k in range(1, len(word)))
+
+
 def count_hits(c: Column | str, hints: Sequence[str]) -> Column:
-    """Occurrences of all hints, of each without overlap, added up."""
+    """Occurrences of all hints, of each without overlap, added up.
+
+    One scan finds the longest hint at every place; those that begin there as well are its beginnings, so that how many
+    is known by the longest. Only hints that can overlap themselves are counted one by one.
+    """
     text = or_empty(c)
     found = F.lit(0)
+    scanned = [h for h in hints if not overlaps_itself(h)]
+    if scanned:
+        at = F.regexp_extract_all(text, F.lit(f"(?s)(?=({trie_pattern(scanned)}))"), 1)
+        depth = {h: sum(h.startswith(x) for x in scanned) for h in scanned}
+        deep = lambda at, n: F.size(F.filter(at, lambda h: h.isin(*[w for w in scanned if depth[w] >= n])))
+        found = let(lambda x: sum((deep(x["at"], n) for n in range(2, max(depth.values()) + 1)), F.size(x["at"])), at=at)
     for hint in hints:
-        found = found + ((F.length(text) - F.length(F.replace(text, F.lit(hint), F.lit("")))) / len(hint)).cast("int")
+        if overlaps_itself(hint):
+            found = found + ((F.length(text) - F.length(F.replace(text, F.lit(hint), F.lit("")))) / len(hint)).cast("int")
     return found
 
 

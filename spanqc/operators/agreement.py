@@ -11,14 +11,20 @@ from ..schemas import ANSWERED, IMPOSSIBLE, SENTINEL
 KEYS = ("context_id", "question")
 
 
-def paired(a: DataFrame, b: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Inner join on keys, where null meets null, with the columns as ``_a`` and ``_b``."""
-    left = a.select(*keys, *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"{c}_b") for c in columns])
-    same = F.lit(True)
+def paired(a: DataFrame, b: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = KEYS, texts: tuple[str, ...] = ()) -> DataFrame:
+    """Inner join on keys, where null meets null, with the columns as ``_a`` and ``_b``.
+
+    ``texts`` are keys too, but long ones: rows meet by their digests and are then compared, so that no text is sorted or hashed whole by the join.
+    """
+    digest = F.xxhash64(*texts) if texts else F.lit(0)
+    left = a.select(*keys, *texts, *[F.col(c).alias(f"{c}_a") for c in columns], digest.alias("__digest_a"))
+    right = b.select(*[F.col(k).alias(f"__{k}") for k in (*keys, *texts)], *[F.col(c).alias(f"{c}_b") for c in columns], digest.alias("__digest_b"))
+    same = F.col("__digest_a") == F.col("__digest_b") if texts else F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return left.join(right, same).drop(*[f"__{k}" for k in keys])
+    for k in texts:  # not as an equation of two columns, which would make it a key of the join
+        same = same & F.coalesce(F.col(k) == F.col(f"__{k}"), F.col(k).isNull() & F.col(f"__{k}").isNull())
+    return left.join(right, same).drop("__digest_a", "__digest_b", *[f"__{k}" for k in (*keys, *texts)])
 
 
 def unmatched(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -89,14 +95,15 @@ def similarity_agreement(a: DataFrame, b: DataFrame, threshold: float = 0.7) ->
 
 
 def merged(a: DataFrame, b: DataFrame, legacy: bool = False, exact: bool = True) -> DataFrame:
-    """One row for each pair that a policy can settle; the others are left out.
+    """One row for each pair of id, question and context that a policy can settle; the others are left out.
 
+    Rows whose contexts differ are no pair, as an answer's offset is one in its own context; null is a context like any other.
     Both impossible: no answer. Same answer: that of A if A's offset is valid, else B's; where
     B's start is unknown the pair isn't settled, unless ``legacy``. Else the first of A and B that is
     answered, unique, with a valid offset and not suspected.
     """
-    columns = ("answer_text", "is_impossible", "qc_status", "provided_offset_valid", "semantic_heuristic_flag", "recomputed_answer_start", "context")
-    pairs = paired(a, b, columns)
+    columns = ("answer_text", "is_impossible", "qc_status", "provided_offset_valid", "semantic_heuristic_flag", "recomputed_answer_start")
+    pairs = paired(a, b, columns, texts=("context",))
     none = F.struct(F.lit("both").alias("model"), F.lit(IMPOSSIBLE).alias("is_impossible"), F.lit(SENTINEL).alias("answer_text"), F.lit(-1).alias("recomputed_answer_start"))
 
     def of(x: str) -> Column:
@@ -114,4 +121,4 @@ def merged(a: DataFrame, b: DataFrame, legacy: bool = False, exact: bool = True)
         F.when((F.col("is_impossible_a") == IMPOSSIBLE) & (F.col("is_impossible_b") == IMPOSSIBLE), none)
         .when(same & F.col("provided_offset_valid_a"), of("a")).when(from_b, of("b")).when(good("a"), of("a")).when(good("b"), of("b"))
     )
-    return pairs.withColumn("pick", pick).where(F.col("pick").isNotNull()).select("context_id", F.col("context_a").alias("context"), "question", "pick.*")
+    return pairs.withColumn("pick", pick).where(F.col("pick").isNotNull()).select("context_id", "context", "question", "pick.*")

@@ -157,8 +157,8 @@ def kind_of(normal: Column, old: bool = False) -> Column:
 
 
 def question_kind(question: Column | str, old: bool = False) -> Column:
-    """The kind of a question of precomposed text; ``heuristics`` gives that of any text."""
-    return kind_of(T.normalize_fast(question), old)
+    """The kind of a question, by its exact normal form."""
+    return T.let(lambda x: kind_of(x["normal"], old), normal=T.normalize(question))
 
 
 def english(kind: Column | str) -> Column:
@@ -172,15 +172,13 @@ def heuristics(frame: DataFrame, old_kind: bool = False, exact: bool = True, rul
         args = (x["kind"], x["answer"], x["context"], x["status"])
         return F.struct((old_rules.score(*args) >= 1).alias("old"), rules.score(*args).alias("score"))
 
-    normal = {"_q": T.normalize("question", exact), "_a": T.normalize("answer_text", exact), "_c": T.normalize("context", exact)}
-    if exact:  # a Python function can't stand inside another function
-        frame, normal = frame.withColumns(normal), {name: F.col(name) for name in normal}
-    kind, answer, context = kind_of(normal["_q"], old_kind), normal["_a"], normal["_c"]
-    found = T.let(both, kind=kind, answer=answer, context=context, status=F.col("qc_status"))
+    kind = T.let(lambda x: kind_of(x["normal"], old_kind), normal=T.normalize("question", exact))
+    frame = frame.withColumn("question_kind", kind)
+    found = T.let(both, kind=F.col("question_kind"), answer=T.normalize("answer_text", exact), context=T.normalize("context", exact), status=F.col("qc_status"))
     flag = F.col("_found.score") >= 1
-    return frame.withColumns({"question_kind": kind, "_found": found}).withColumns(
+    return frame.withColumn("_found", found).withColumns(
         {"semantic_flag_v1": F.col("_found.old"), "semantic_score": F.col("_found.score"), "semantic_flag_v2": flag, "semantic_heuristic_flag": flag}
-    ).drop("_found", "_q", "_a", "_c")
+    ).drop("_found")
 
 
 def audit_flag(frame: DataFrame, rules: SemanticRules = RULES) -> DataFrame:

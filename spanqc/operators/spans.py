@@ -46,7 +46,7 @@ def extractive_validity(frame: DataFrame, exact: bool = True, normal=None) -> Da
     is the function for the normalised comparison, by default the exact
     normal form, or the fast one; its answers are wanted only where no literal match is.
     """
-    normal_, normal = normal, normal or (lambda c: T.normalize(c, exact))
+    normal = normal or (lambda c: T.normalize(c, exact))
     label = F.lower(T.strip(T.or_empty("is_impossible")))
 
     def counted(x: Column) -> Column:
@@ -56,8 +56,7 @@ def extractive_validity(frame: DataFrame, exact: bool = True, normal=None) -> Da
 
     looked = frame.withColumn("_l", T.let(counted, answer=T.strip(T.or_empty("answer_text")), impossible=label == IMPOSSIBLE, context=T.or_empty("context")))
     undecided = F.col("_l.said") & (F.col("_l.n") == 0)
-    # Only undecided rows are normalised; a Python function gets nothing for the others.
-    form = (lambda c: normal(F.when(undecided, c))) if exact and normal_ is None else (lambda c: F.when(undecided, normal(c)))
+    form = lambda c: F.when(undecided, normal(c))
     looked = looked.withColumns({"_nc": form(T.or_empty("context")), "_na": form(F.col("_l.answer"))})
 
     def decided(x: Column) -> Column:

@@ -271,6 +271,10 @@ oracle(
             WHEN {GOOD.format("a")} THEN 'a' WHEN {GOOD.format("b")} THEN 'b' END AS model FROM agreed)
         SELECT context_id, question, model, CASE model WHEN 'both' THEN 'imposible' ELSE 'respondido' END AS is_impossible, CASE model WHEN 'both' THEN 'RESPUESTA_NO_ENCONTRADA' WHEN 'a' THEN answer_text_a ELSE answer_text_b END AS answer_text,
                CASE model WHEN 'both' THEN -1 WHEN 'a' THEN start_a ELSE start_b END::bigint AS recomputed_answer_start FROM picked WHERE model IS NOT NULL""",
+    merged_contexts=f"""WITH {PAIRS}, picked AS (SELECT *, CASE WHEN is_impossible_a = 'imposible' AND is_impossible_b = 'imposible' THEN 'both' WHEN same AND offset_valid_a THEN 'a' WHEN same AND start_b >= 0 THEN 'b'
+            WHEN {GOOD.format("a")} THEN 'a' WHEN {GOOD.format("b")} THEN 'b' END AS model, split_part(context_id, '_', 2)::bigint % 3 AS part FROM agreed)
+        SELECT context_id, question, CASE WHEN part = 1 THEN md5(context) END AS context, model, CASE model WHEN 'both' THEN 'RESPUESTA_NO_ENCONTRADA' WHEN 'a' THEN answer_text_a ELSE answer_text_b END AS answer_text
+        FROM picked WHERE model IS NOT NULL AND part > 0""",
     unmatched_pairs=f"""WITH {CANDIDATES}, a AS (SELECT context_id, question FROM candidates WHERE model = 'a' AND h % 5 <> 0), b AS (SELECT context_id, question FROM candidates WHERE model = 'b' AND h % 3 <> 0),
         onlys AS (SELECT 'a' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) SELECT only_in, count(*) AS n FROM onlys GROUP BY 1""",
     positional_pairs=f"""WITH {CANDIDATES} SELECT a.context_id, a.k::bigint AS k, a.question, a.is_impossible = b.is_impossible AS same_label, a.answer_text = b.answer_text AS same_text

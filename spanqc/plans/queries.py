@@ -201,27 +201,37 @@ def qc_status_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def qc_status_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E4 with the exact normal form, in Python for undecided rows; on precomposed text it is that of qc_status_accents."""
+    """E4 with the exact normal form; on precomposed text it is that of qc_status_accents."""
     return spans.extractive_validity(X.candidates(spark, sf_dir), exact=True).groupBy("model", "qc_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Characters by which short passages meet documents.
+FIRST = 8
+
+
 @query
 def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage whole.
 
-    A passage's words 2 to 4 are looked for among the documents' runs of three words, so pairs meet by key.
-    Of passages of fewer than five words these may be the last, which can be the beginning of a longer word; every document is searched for them.
+    A passage's words 2 to 4 are looked for among the documents' runs of three words, so pairs meet by key. Of
+    passages of fewer than five words these may be the last, which can be the beginning of a longer word: they meet by
+    their first ``FIRST`` characters, or by all if they have fewer, among as many characters from every place of a document.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(3)), " "))
     docs = X.table(spark, sf_dir, "documents").select("doc_id", "text")
     every = X.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("_w"))
     items = every.where(F.size("_w") >= 5).select("item_id", F.array_join(F.slice("_w", 2, 3), " ").alias("run"))
-    short = docs.join(every.where(F.size("_w") < 5).drop("_w"), F.contains("text", "passage"))
     keyed = docs.withColumn("_w", words(F.col("text"))).select("doc_id", F.explode(F.array_distinct(runs(F.col("_w")))).alias("run"))
+    met = keyed.join(items, "run").select("doc_id", "item_id")
+    short = every.where(F.size("_w") < 5).select("item_id", F.left("passage", F.lit(FIRST)).alias("run"))
+    for row in short.select(F.length("run").alias("n")).distinct().collect():  # at most FIRST + 1 numbers
+        places = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{row.n}}}))"), 1) if row.n else F.array(F.lit(""))
+        begun = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(places)).alias("run"))
+        met = met.union(begun.join(short.where(F.length("run") == row.n), "run").select("doc_id", "item_id"))
     # Each pair once, by its ids alone, before the texts come to it.
-    pairs = keyed.join(items, "run").select("doc_id", "item_id").distinct().join(docs, "doc_id").join(every.select("item_id", "passage"), "item_id")
-    return pairs.where(F.contains("text", "passage")).select("doc_id", "item_id").union(short.select("doc_id", "item_id")).distinct()
+    pairs = met.distinct().join(docs, "doc_id").join(every.select("item_id", "passage"), "item_id")
+    return pairs.where(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
 
 
 # Semantics.
@@ -283,6 +293,15 @@ def merged_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.merged(*pair_of_models(spark, sf_dir)).select("context_id", "question", "model", "is_impossible", "answer_text", long("recomputed_answer_start").alias("recomputed_answer_start"))
 
 
+@query
+def merged_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the second model read another context under the same id, its rows are no partners."""
+    a, b = pair_of_models(spark, sf_dir)
+    other = F.when(F.col("doc_id") % 3 == 0, F.concat("context", F.lit(" ."))).when(F.col("doc_id") % 3 == 1, F.col("context"))
+    mine = F.when(F.col("doc_id") % 3 < 2, F.col("context"))
+    return agreement.merged(a.withColumn("context", mine), b.withColumn("context", other)).select("context_id", "question", F.md5("context").alias("context"), "model", "answer_text")
+
+
 @query
 def unmatched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that only one model has, after rows of each are lost."""

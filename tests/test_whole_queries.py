@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import os
+import random
+import sys
 from collections import Counter
 
 import duckdb
@@ -13,11 +16,13 @@ from test_operators import naive_decode
 from test_queries import plain
 
 from spanqc.functions import text
-from spanqc.operators import agreement, datasets, reports, stats, validation
+from spanqc.operators import agreement, datasets, reports, semantics, stats, validation
 from spanqc.plans import queries
 from spanqc.plans.oracles import ORACLES
 from spanqc.plans.queries import QUERIES
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def same_as(spark, sf_dir, name, sql, tables):
     con = duckdb.connect()
@@ -67,12 +72,14 @@ def test_histogram_spans_all_values(spark, sf_dir):
 
 
 def test_short_passages(spark, tmp_path):
-    docs = [(1, "the red fox jumps over it"), (2, "red foxes"), (3, "of one two three fourteen and"), (4, "x"), (5, None)]
-    items = [(1, "red fox"), (2, "one two three four"), (3, "x"), (4, "red fox jumps over it"), (5, "he red fox jumps over i"), (6, None), (7, "")]
+    docs = [(1, "the red fox jumps over it"), (2, "red foxes"), (3, "of one two three fourteen and"), (4, "x"), (5, None), (6, "it 😀 and 😀 é"), (6, "it 😀 and 😀 é")]
+    items = [(1, "red fox"), (2, "one two three four"), (3, "x"), (4, "red fox jumps over it"), (5, "he red fox jumps over i"), (6, None), (7, ""), (8, " it"), (9, "d fox jumps o"), (10, "x "), (11, "😀 a"), (12, "é")]
     spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
     got = sorted(tuple(r) for r in QUERIES["passage_containment"](spark, str(tmp_path)).collect())
-    assert got == sorted((d, i) for d, text in docs for i, passage in items if None not in (text, passage) and passage in text)
+    assert got == sorted((d, i) for d, text in set(docs) for i, passage in items if None not in (text, passage) and passage in text)
+    plan = QUERIES["passage_containment"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_contexts_by_words_alone(spark, tmp_path):
@@ -123,12 +130,40 @@ def test_compared_by_place_or_number(spark):
 
 def test_decomposed_texts_compare_like_precomposed(spark):
     pairs = [("Café", "Cafe\u0301"), ("ﬁn", "fin"), ("½ día", "1⁄2 dia"), ("İ", "i"), ("a\u00a0b", "a b"), ("x", "y"), (None, ""), ("ẞ", "ß")]
-    rows = spark.createDataFrame(pairs, "a string, b string").select("*", text.normalize("a").alias("x"), text.normalize("b").alias("y"), text.is_plain("a").alias("plain"))
+    rows = spark.createDataFrame(pairs, "a string, b string").select("*", text.normalize("a").alias("x"), text.normalize("b").alias("y"))
     for r in rows.collect():
         assert (r["x"], r["y"]) == (text.normal_form(r["a"]), text.normal_form(r["b"]))
-        assert r["plain"] == (r["a"] in ("Café", "x", None, "ẞ"))
-    texts = spark.createDataFrame([(f"a{chr(k)}B",) for k in range(1, 0x2100)], "t string").select("t", text.normalize("t").alias("n"))
-    assert [r["t"] for r in texts.collect() if r["n"] != text.normal_form(r["t"])] == []
+
+
+def test_exact_form_of_all_characters(spark):
+    """Every code point, alone and between others; nothing of it runs in Python."""
+    every = [k for k in range(1, sys.maxunicode + 1) if not 0xD800 <= k <= 0xDFFF]
+    rng = random.Random(5)
+    texts = [f"a{chr(k)}B" for k in every] + ["".join(chr(rng.choice(every)) for _ in range(30)) for _ in range(3000)] + ["ΟΔΥΣΣΕΥΣ ΣΑΣ. Σ", "한국어 각각", " x\x1cy ", "“Él” comió , ﬁn\u00a0!"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8).select("t", text.normalize("t").alias("n"))
+    assert [r["t"] for r in frame.collect() if r["n"] != text.normal_form(r["t"])] == []
+    for name in ("semantic_flags", "merged_policy", "strict_expanded_uncertain", "stratified_audit_hash", "confusion_metrics"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan, name
+
+
+def test_hits_of_many_hints_in_one_scan(spark):
+    hints = [*semantics.OBJECTS, *semantics.PLACES, "aa", "aba", "a", "ab", "."]
+    rng = random.Random(6)
+    pieces = [*hints, " ", "", "x", "teléfon", "\n"]
+    texts = [None, "", *["".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(400)], "aaaa", "ababa", "altauraltaura tabletablet"]
+    for some in (hints, semantics.PLACES, ["a"], ["aa"], ["ab", "abc", "b"]):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.count_hits("t", some).alias("n")).collect()
+        assert [r["n"] for r in rows] == [sum((r["t"] or "").count(h) for h in some) for r in rows]
+
+
+def test_rows_over_other_contexts_are_no_pair(spark):
+    columns = "context_id string, question string, context string, answer_text string, is_impossible string, qc_status string, provided_offset_valid boolean, semantic_heuristic_flag boolean, recomputed_answer_start int"
+    row = lambda context, answer, valid=True: ("c1", "q", context, answer, "respondido", "extractive_valid_unique", valid, False, 3)
+    a = spark.createDataFrame([row("otro contexto", "x", False), row(None, "n"), row("el gato", "gato")], columns)
+    b = spark.createDataFrame([row("el gato", "gato"), row(None, "m"), row("El gato", "gato")], columns)
+    got = [tuple(r) for r in agreement.merged(a, b).select("context", "model", "answer_text").collect()]
+    assert sorted(got, key=str) == [("el gato", "a", "gato"), (None, "a", "n")]
 
 
 def test_chances_of_tests(spark):
