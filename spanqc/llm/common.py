@@ -11,7 +11,7 @@ from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -77,21 +77,47 @@ def drawn(rows: DataFrame, key: str, by: tuple[str, ...], most: int, weight: Col
         levels.setdefault(value, {})[at] = n, heavy
     if len(levels) > keys:
         raise ValueError(f"more than {keys} values of {key}")
-    least, crowded = F.lit(LEVELS + 1), False
+    least, crowded = F.lit(LEVELS + 1), []
     for value, own in levels.items():
         n, heavy, at = 0, 0.0, LEVELS + 1
         for at in sorted(own, reverse=True):
             n, heavy = n + own[at][0], heavy + own[at][1]
             if n >= most or weight is not None and heavy >= heaviest:
                 break
-        least, crowded = F.when(F.col(key) == F.lit(value), F.lit(at)).otherwise(least), crowded or n > 4 * most
+        least = F.when(F.col(key) == F.lit(value), F.lit(at)).otherwise(least)
+        if n > 4 * most:
+            crowded.append(value)
     found = known.where(level >= least)
     if crowded:
-        line = Window.partitionBy(key).orderBy(number)
-        found = found.withColumn("__place", F.row_number().over(line)).where(F.col("__place") <= most).drop("__place")
+        found = without_repeats(found, key, number, crowded, most)
     return found, {value: sum(n for n, _ in own.values()) for value, own in levels.items()}
 
 
+def without_repeats(found: DataFrame, key: str, number: Column, crowded: list, most: int) -> DataFrame:
+    """Of each ``crowded`` value of ``key`` the first ``most`` rows in order of ``number``.
+
+    Rows of equal numbers are counted before they meet, so the numbers are few however often one comes. Only of the
+    number at which ``most`` is reached a part of the rows is taken, at most that many from each partition.
+    """
+    counted = found.where(F.col(key).isin(*crowded)).groupBy(key, number.alias("__number")).count()
+    counts: dict[object, list[tuple[int, int]]] = {}
+    for value, at, n in counted.limit(64 * most * len(crowded)).collect():
+        counts.setdefault(value, []).append((at, n))
+    kept_rows, parts = ~F.col(key).isin(*crowded), []
+    for value, own in counts.items():
+        left = most
+        for at, n in sorted(own):
+            if n > left:
+                break
+            left -= n
+        kept_rows = kept_rows | (F.col(key) == F.lit(value)) & (number < at)
+        parts.append(found.where((F.col(key) == F.lit(value)) & (number == at)).limit(left))
+    out = found.where(kept_rows)
+    for part in parts:
+        out = out.unionAll(part)
+    return out
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions in the block give Python processes at most so many rows at a time."""

@@ -13,16 +13,16 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from .common import crc_mod, drawn, kept, rows_with_text
+from .common import crc_mod, drawn, kept, rows_with_text, stored
 
 #: A run of letters, and of the numbers that aren't digits; the latter are taken out afterwards.
 RUN = re.compile(r"[^\W\d_]+")
@@ -30,14 +30,14 @@ RUN = re.compile(r"[^\W\d_]+")
 BEGIN = "▁"
 #: Labelled rows of a language that are learned from, whatever their length: all if it has fewer, at most four times as many.
 TRAIN_ROWS = 600
-#: Different words of these rows that are learned from: the most frequent ones, of a language and of all languages together.
-TRAIN_WORDS, ALL_WORDS = 100_000, 2_000_000
 #: Different languages at most; more are an error.
 MOST_LANGUAGES = 500
 #: Rounds of expectation maximisation, and the weight of the pooled probabilities in each language's.
 ROUNDS, POOLED = 3, 200.0
-#: Words that a worker remembers; words of a longer run are scored alone, in logarithms.
+#: Words that a worker remembers; longer words are scored alone, in logarithms, and learned from in stretches of so many letters.
 REMEMBERED, LONGEST = 250_000, 40
+#: Expected uses are summed as whole numbers of this part of one, so that their order makes no difference.
+QUANTUM = 1 << 20
 #: Words scored at a time.
 TOGETHER = 8_000
 
@@ -59,6 +59,11 @@ def letters(text: str) -> list[str]:
     return [run if run.isalpha() else "".join(c for c in run if c.isalpha()) for run in RUN.findall(text.lower())]
 
 
+def stretches(word: str) -> list[str]:
+    """A word with its opening mark, a long one in stretches of ``LONGEST`` letters; the mark opens the first."""
+    return [BEGIN + word[:LONGEST], *(word[k : k + LONGEST] for k in range(LONGEST, len(word), LONGEST))]
+
+
 class Pieces:
     """Numbered pieces as a tree of characters, which many texts are walked down at a time."""
 
@@ -94,11 +99,12 @@ def tree(path: str) -> Pieces:
 
 
 class Lattice:
-    """The pieces that stand in some words: of each, the word's index, start, end and number."""
+    """The pieces that stand in some words: of each, the word's index, start, end and number. Words that aren't ``marked`` get their opening mark."""
 
-    def __init__(self, words: list[str], pieces: Pieces) -> None:
-        self.sizes = np.array([len(w) + 1 for w in words], np.int64)
-        char = pieces.code[np.frombuffer("".join([BEGIN + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    def __init__(self, words: list[str], pieces: Pieces, marked: bool = False) -> None:
+        words = words if marked else [BEGIN + w for w in words]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        char = pieces.code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         first = np.cumsum(self.sizes) - self.sizes
         row = np.repeat(np.arange(len(words)), self.sizes)
         start = np.arange(len(char)) - first[row]
@@ -138,8 +144,8 @@ class Lattice:
     def whole(self, forward: np.ndarray) -> np.ndarray:
         return forward[np.arange(len(self.sizes)), self.sizes]
 
-    def expected(self, chance: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """How often each piece is expected in each language, over words seen ``counts`` [word, language] times."""
+    def expected(self, chance: np.ndarray, counts: np.ndarray, quantum: int = 0) -> np.ndarray:
+        """How often each piece is expected in each language, over words seen ``counts`` [word, language] times; with a ``quantum`` each use is rounded to a whole number of its parts."""
         n, top, languages = len(self.sizes), len(self.upto) - 2, chance.shape[1]
         before = self.forward(chance)
         after = np.zeros_like(before)
@@ -152,6 +158,8 @@ class Lattice:
             part = after[row, e] * chance[self.number[own]]
             uses[own] = before[row, start] * part * scale[row]
             after[row, start] += part  # of one end, no two pieces have the same word and start
+        if quantum:
+            uses = np.rint(uses * quantum)
         return np.stack([np.bincount(self.number, uses[:, k], len(chance)) for k in range(languages)], axis=1) if languages else np.zeros_like(chance)
 
 
@@ -164,16 +172,43 @@ class Model:
     @staticmethod
     def learn(counts: dict[str, dict[str, int]], path: str) -> Model:
         """From how often each language has each word."""
-        pieces, languages = tree(path), sorted(counts)
-        words = sorted({w for own in counts.values() for w in own if len(w) <= LONGEST}, key=lambda w: (len(w), w))
-        seen = np.array([[counts[name].get(w, 0) for name in languages] for w in words], float).reshape(len(words), len(languages))
-        blocks = [(Lattice(words[k : k + TOGETHER], pieces), seen[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
-        chance = np.full((len(pieces.numbers) + 1, len(languages)), 1 / (len(pieces.numbers) + 1))
+        stretched: dict[str, Counter[str]] = {name: Counter() for name in counts}
+        for name, own in counts.items():
+            for word, n in own.items():
+                for part in stretches(word):
+                    stretched[name][part] += n
+        rows = [(name, list(own), list(own.values())) for name, own in sorted(stretched.items())]
+
+        def uses(model: Model) -> Iterator[tuple[int, str, int]]:
+            for name, parts, n in rows:
+                found = model.uses(name, parts, np.array(n, float))
+                yield from ((k, name, int(found[k])) for k in np.flatnonzero(found).tolist())
+
+        return Model.rounds(sorted(counts), path, uses)
+
+    @staticmethod
+    def rounds(languages: list[str], path: str, uses: Callable[[Model], Iterable[tuple[int, str, int]]]) -> Model:
+        """Expectation maximisation; ``uses`` gives what a model expects: piece, language and how often, in parts of ``QUANTUM``."""
+        pieces = len(tree(path).numbers) + 1
+        model, place = Model(languages, np.full((pieces, len(languages)), 1 / pieces), path), {name: k for k, name in enumerate(languages)}
         for _ in range(ROUNDS):
-            use = sum((block.expected(chance, own) for block, own in blocks), np.zeros_like(chance))
+            use = np.zeros_like(model.chance)
+            for piece, name, n in uses(model):
+                use[piece, place[name]] += n / QUANTUM
             pooled = (use.sum(axis=1) + 0.01) / (use.sum() + 0.01 * len(use))
-            chance = (use + POOLED * pooled[:, None]) / (use.sum(axis=0) + POOLED)
-        return Model(languages, chance, path)
+            model = Model(languages, (use + POOLED * pooled[:, None]) / (use.sum(axis=0) + POOLED), path)
+        return model
+
+    def uses(self, language: str, parts: list[str], n: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in stretches of words that a language has ``n`` times, in parts of ``QUANTUM``."""
+        pieces, k = tree(self.path), self.languages.index(language)
+        out = np.zeros(len(self.chance), np.int64)
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        for low in range(0, len(order), TOGETHER):
+            some = order[low : low + TOGETHER]
+            block = Lattice([parts[i] for i in some], pieces, marked=True)
+            out += block.expected(self.chance[:, k : k + 1], n[some, None], QUANTUM)[:, 0].astype(np.int64)
+        return out
 
 
 class Scorer(dict):
@@ -252,19 +287,30 @@ def learn(frame: DataFrame, path: str, id_column: str, text_column: str, lang_co
         for batch in batches:
             counts: Counter[tuple[str, str]] = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((lang, word) for word in letters(text or "") if 0 < len(word) <= LONGEST)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
+                counts.update((lang, part) for word in letters(text or "") if word for part in stretches(word))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "part", "n"])
+
+    sample, _ = drawn(labelled, "lang", ("id", "text"), rows, keys=MOST_LANGUAGES)
+    summed = sample.select("lang", "text").mapInArrow(counted, "lang string, part string, n long").groupBy("lang", "part").agg(F.sum("n").alias("n"))
+    words = stored(summed.repartition(frame.sparkSession.sparkContext.defaultParallelism), "learned-words")
+    languages = sorted(r.lang for r in words.select("lang").distinct().collect())  # at most MOST_LANGUAGES
+
+    def uses(model: Model) -> Iterator[tuple[int, str, int]]:
+        """Summed on executors; a row for each piece that a language uses."""
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                langs, parts = (np.array(batch.column(c).to_pylist(), object) for c in ("lang", "part"))
+                n = batch.column("n").to_numpy().astype(float)
+                for name in sorted(set(langs)):
+                    own = np.flatnonzero(langs == name)
+                    found = model.uses(name, parts[own].tolist(), n[own])
+                    at = np.flatnonzero(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([name] * len(at), pa.string()), pa.array(found[at])], ["piece", "lang", "n"])
+
+        return iter(words.mapInArrow(made, "piece long, lang string, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect())
 
-    schema = StructType().add("lang", StringType()).add("word", StringType()).add("n", LongType())
-    sample, languages = drawn(labelled, "lang", ("id", "text"), rows, keys=MOST_LANGUAGES)
-    words = sample.select("lang", "text").mapInArrow(counted, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    line = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    most = min(TRAIN_WORDS, ALL_WORDS // max(1, len(languages)))
-    found = words.withColumn("place", F.row_number().over(line)).where(F.col("place") <= most).select("lang", "word", "n").toArrow()
-    counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts.setdefault(lang, {})[word] = n
-    return Model.learn(counts, path)
+    return Model.rounds(languages, path, uses)
 
 
 def identify(frame: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -276,7 +322,8 @@ def identify(frame: DataFrame, path: str, id_column: str = "doc_id", text_column
     ``lang_pred`` (a learned language; ``und`` if the text is null or has no letter, or
     if nothing could be learned) and ``score`` (the language's share of the
     chances, 0 for ``und``; ties go to the first language in order). Null and repeated
-    ids keep their rows; other columns are left aside; an empty table gives none.
+    ids keep their rows; other columns are left aside; an empty table gives none. Words of any length count, also those of
+    languages written without blanks: long ones are learned from in stretches and scored whole. No word is left out, however rare.
     """
     spark = frame.sparkSession
     model = spark.sparkContext.broadcast(learn(frame, path, id_column, text_column, lang_column, ~held_out(id_column)))

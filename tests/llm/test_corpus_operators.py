@@ -191,13 +191,35 @@ def test_languages_of_long_texts_and_of_repeats_are_learned(spark):
     assert got == {5000: "x", 5001: "y", 5002: "z"}
 
 
-def test_learned_words_are_the_most_frequent(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "TRAIN_WORDS", 2)
-    frame = documents(spark, [(1, "aa aa aa bb bb cc", "x", None, None), (4, "dd", "y", None, None)])
-    kept = []
-    monkeypatch.setattr(language_id.Model, "learn", staticmethod(lambda counts, path: kept.append(counts)))
-    language_id.learn(frame, MODEL, "doc_id", "text", "lang", F.lit(True))
-    assert kept == [{"x": {"aa": 3, "bb": 2}, "y": {"dd": 1}}]
+def test_all_words_are_learned_from(spark):
+    """Sums on executors are those of all words at once, rare and long ones too, however rows are dealt."""
+    long = "supercalifragilistic" * 7
+    texts = [("x", f"aa aa aa bb bb cc {long} ÉTÉ"), ("x", "aa"), ("y", "dd"), ("y", None), (None, "zz")]
+    frame = documents(spark, [(k, t, lang, None, None) for k, (lang, t) in enumerate(texts)])
+    want = language_id.Model.learn({"x": {"aa": 4, "bb": 2, "cc": 1, long: 1, "été": 1}, "y": {"dd": 1}}, MODEL)
+    for parts in (1, 5):
+        got = language_id.learn(frame.repartition(parts), MODEL, "doc_id", "text", "lang", F.lit(True))
+        assert got.languages == want.languages and (got.chance == want.chance).all()
+    assert sum(want.uses("x", language_id.stretches(long), np.ones(4)) > 0) > 0 and language_id.stretches(long) == ["▁" + long[:40], long[40:80], long[80:120], long[120:]]
+
+
+def test_languages_of_long_words_alone(spark):
+    """All labelled words are long; and a language without blanks beside one with blanks."""
+    rng = random.Random(4)
+    word = lambda letters, n: "".join(rng.choices(letters, k=n))
+    for other, own in (("aeinrst", 60), ("日本語学校東京大", 300)):
+        rows = [(k, " ".join(word("bcdfgklmop", 55 if own == 60 else 6) for _ in range(9)), "p", None, None) for k in range(60)]
+        rows += [(100 + k, word(other, own), "q", None, None) for k in range(60)]
+        got = language_id.identify(documents(spark, rows).repartition(3), MODEL).collect()
+        assert {(r["doc_id"] < 100, r["lang_pred"]) for r in got} == {(True, "p"), (False, "q")}
+
+
+def test_repeats_are_drawn_in_many_tasks(spark):
+    """One row a hundred thousand times: no stage but the last limit brings its rows together, and that at most the wanted number of each partition."""
+    frame = spark.range(100_000, numPartitions=8).select(F.lit("a").alias("kind"), F.when(F.col("id") % 9973 == 0, F.col("id").cast("string")).otherwise("same").alias("text"))
+    found, _ = common.drawn(frame, "kind", ("text",), 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 50 and "Window" not in plan and "Sort" not in plan
 
 
 # Near-duplicates.
