@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -34,6 +34,46 @@ def span_tokens(offsets: Column, start: Column, end: Column) -> Column:
     return F.struct(F.when(found, first).otherwise(0).alias("start_token"), F.when(found, last).otherwise(0).alias("end_token"))
 
 
+#: Characters of a bucket in which spans meet tokens.
+BUCKET = 64
+
+
+def window_labels(contexts: DataFrame, spans: DataFrame, length: int = 384, overlap: int = 128, before: int = 1, key: str = "context_id", text: str = "context") -> DataFrame:
+    """For each span and each overlapping window of its text's words the span's first and last token: the spans' columns, ``window``, ``start_token``, ``end_token``.
+
+    ``contexts`` has one row for each ``key``; ``spans`` has ``key``, ``start`` and ``end`` (characters, end excluded). ``before`` tokens stand before the text's
+    in a window. The start belongs to the last word that begins at or before it, the end to the first that ends at or behind it; a window that
+    lacks either has (0, 0), as has an empty span. Spans meet words by buckets of characters, so that work grows with the spans and
+    the words, not with their product. Spans of unknown keys have no window; a text without words has one.
+    """
+    if not 0 <= overlap < length:
+        raise ValueError("the overlap must be shorter than a window")
+    step = length - overlap
+    runs = contexts.select(F.col(key).alias("_key"), F.posexplode(F.regexp_extract_all(T.or_empty(text), F.lit(r"(?U)\s*\S+"), 0)).alias("i", "run"))
+    order = Window.partitionBy("_key").orderBy("i")
+    placed = runs.withColumn("e", F.sum(F.length("run")).over(order)).withColumn("b", F.col("e") - F.length(F.regexp_replace("run", r"(?U)^\s+", "")))
+    # The starts and the ends that belong to a word.
+    words = placed.withColumns({"last_start": F.coalesce(F.lead("b").over(order) - 1, F.col("e")), "first_end": F.coalesce(F.lag("e").over(order), F.lit(0)) + 1})
+    buckets = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / BUCKET), F.floor(F.col(high) / BUCKET)))
+    begins = words.select("_key", F.col("i").alias("first"), F.col("b").alias("low"), F.col("last_start").alias("high"), buckets("b", "last_start").alias("bucket"))
+    ends = words.select("_key", F.col("i").alias("last"), F.col("first_end").alias("low"), F.col("e").alias("high"), buckets("first_end", "e").alias("bucket"))
+    rows = spans.withColumn("_row", F.monotonically_increasing_id())
+    own = rows.where(F.col("end") > F.col("start")).select(F.col(key).alias("_key"), "_row", "start", "end")
+
+    def met(side: DataFrame, at: str, name: str) -> DataFrame:
+        asked = own.select("_key", "_row", F.col(at).alias("_at"), F.floor(F.col(at) / BUCKET).alias("bucket"))
+        return asked.join(side, ["_key", "bucket"]).where(F.col("_at").between(F.col("low"), F.col("high"))).select("_row", name)
+
+    found = met(begins, "start", "first").join(met(ends, "end", "last"), "_row")
+    counts = words.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    sized = contexts.select(F.col(key).alias("_key")).join(counts, "_key", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    wide = rows.join(sized, rows[key] == sized["_key"]).drop("_key").join(found, "_row", "left")
+    wide = wide.withColumn("window", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.col("_n") - overlap) / step).cast("int") - 1, F.lit(0)))))
+    inside = F.coalesce((F.col("first") >= F.col("window") * step) & (F.col("last") < F.col("window") * step + length), F.lit(False))
+    token = lambda c: F.when(inside, F.col(c) - F.col("window") * step + before).otherwise(0).cast("int")
+    return wide.select(*spans.columns, "window", token("first").alias("start_token"), token("last").alias("end_token"))
+
+
 def top_positions(scores: Column, n: int) -> Column:
     """The ``n`` best positions of an array with their scores, the best first; of equal ones the first."""
     return F.slice(F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("minus"), i.alias("at")))), 1, n)

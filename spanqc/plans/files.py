@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators import metrics, reports, semantics, spans, validation
 from ..schemas import CANDIDATE, IMPOSSIBLE, PREDICTION, SQUAD2
 from ..sources import readers, writers
 from ..sources.shared import shared_path
+from ..streaming import incremental
 from . import fixtures as X
 from . import queries as Q
 
@@ -183,3 +188,30 @@ def latex_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = X.candidates(spark, sf_dir).groupBy(semantics.question_kind("question").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.avg("answer_start").alias("mean_start")).orderBy("kind")
     lines = reports.latex(counted, "Kinds & counts", "tab:kinds").split("\n")
     return spark.createDataFrame(list(enumerate(lines)), "line bigint, value string").where(T.strip("value") != "")
+
+
+@Q.query
+def resumed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4, V8: rows appended batch by batch; the run breaks off after a batch was written but not noted, and goes on."""
+    root = shared_path(spark, "append")
+    X.contexts(spark, sf_dir).select("doc_id", "context_id", "context").repartition(3, "doc_id").write.parquet(f"{root}/contexts")
+    stream = lambda: incremental.stream_of(spark, f"{root}/contexts", StructType.fromDDL("doc_id long, context_id string, context string"), 1)
+
+    def make(batch: DataFrame) -> DataFrame:
+        asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("question")) for k, q in X.QUESTIONS])).alias("q")
+        return batch.select("context_id", F.regexp_extract("context", r"\S+", 0).alias("answer_text"), asked).select("context_id", "q.*", "answer_text")
+
+    def breaks(batch: DataFrame) -> DataFrame:
+        seen.append(batch)
+        if len(seen) == 2:  # it leaves a part of its rows, and the run ends
+            make(batch).where("k < 4").write.json(f"{root}/rows/batch=1")
+            raise RuntimeError("cut off")
+        return make(batch)
+
+    seen: list[DataFrame] = []
+
+    with suppress(StreamingQueryException):
+        incremental.append_batches(stream(), breaks, f"{root}/rows", f"{root}/checkpoint")
+    incremental.append_batches(stream(), make, f"{root}/rows", f"{root}/checkpoint")
+    rows = incremental.read_batches(spark, f"{root}/rows", f"{root}/checkpoint", "context_id string, k long, question string, answer_text string")
+    return rows.select("context_id", "k", "question", "answer_text")

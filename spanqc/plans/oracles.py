@@ -410,6 +410,19 @@ oracle(
         SELECT 'two' AS given, 'test' AS split, tests AS n FROM devs UNION ALL SELECT 'two', 'validation', d FROM devs UNION ALL SELECT 'two', 'train', rest - d FROM devs
         UNION ALL SELECT 'three', 'test', tests FROM devs UNION ALL SELECT 'three', 'validation', ones FROM devs UNION ALL SELECT 'three', 'train', rest - ones FROM devs
         UNION ALL SELECT 'one', 'test', tenth FROM devs UNION ALL SELECT 'one', 'validation', tenth FROM devs UNION ALL SELECT 'one', 'train', tests + rest - 2 * tenth FROM devs""",
+    generation_fallbacks=f"""WITH {CONTEXTS}, questions(question) AS (VALUES {", ".join(f"({quoted(q)})" for _, q in QUESTIONS)}), moods AS (
+            SELECT context_id, question, ('0x' || substr(md5(context || '/' || question), 1, 1))::bigint AS mood, regexp_extract(context, '\\S+') AS word, strpos(context, regexp_extract(context, '\\S+')) - 1 AS start FROM contexts, questions)
+        SELECT context_id, question, CASE WHEN mood < 4 THEN 'RESPUESTA_NO_ENCONTRADA' ELSE word END AS answer_text, CASE WHEN mood < 4 THEN 'imposible' ELSE 'respondido' END AS is_impossible,
+               CASE WHEN mood < 4 THEN 0 ELSE start END::int AS answer_start, CASE WHEN mood < 4 THEN 0 ELSE start + length(word) END::int AS answer_end, mood < 4 AS impossible_find_answer,
+               CASE WHEN mood < 4 THEN 3 WHEN mood < 8 THEN 2 ELSE 1 END::int AS attempts, CASE WHEN mood < 4 THEN 'RuntimeError: mood ' || mood END AS error FROM moods""",
+    resumed_append=f"""WITH {CONTEXTS}, questions(k, question) AS (VALUES {", ".join(f"({k}, {quoted(q)})" for k, q in QUESTIONS)})
+        SELECT context_id, k::bigint AS k, question, regexp_extract(context, '\\S+') AS answer_text FROM contexts, questions""",
+    window_labels=f"""WITH {classified()}, runs AS (SELECT context_id, context, unnest(regexp_extract_all(context, '\\s*\\S+')) AS run, generate_subscripts(regexp_extract_all(context, '\\s*\\S+'), 1) - 1 AS i FROM contexts),
+        words AS (SELECT context_id, i, e, e - length(ltrim(run, E' \\t\\n\\r\\f\\v')) AS b FROM (SELECT *, sum(length(run)) OVER (PARTITION BY context_id ORDER BY i)::bigint AS e FROM runs)),
+        spans AS (SELECT context_id, k, start AS s, start + length(ans) AS t FROM classified WHERE model = 'a' AND start >= 0 AND is_impossible = 'respondido' AND ans <> 'RESPUESTA_NO_ENCONTRADA'),
+        sizes AS (SELECT context_id, count(*) AS n FROM words GROUP BY 1), wide AS (SELECT context_id, k, s, t, unnest(range(0, greatest(n - 16, 0) // 25 + 1)) AS win FROM spans JOIN sizes USING (context_id)),
+        met AS (SELECT d.context_id, k, win, s, t, max(CASE WHEN b <= s THEN i END) AS first, min(CASE WHEN e >= t THEN i END) AS last FROM wide d JOIN words w ON d.context_id = w.context_id AND i >= win * 25 AND i < win * 25 + 40 GROUP BY ALL)
+        SELECT context_id, k::bigint AS k, win::bigint AS window, CASE WHEN first IS NULL OR last IS NULL OR t <= s THEN 0 ELSE first - win * 25 + 1 END::bigint AS start_token, CASE WHEN first IS NULL OR last IS NULL OR t <= s THEN 0 ELSE last - win * 25 + 1 END::bigint AS end_token FROM met""",
     generation_resume=f"WITH {CONTEXTS} SELECT context_id, regexp_extract(context, '\\S+') AS answer_text FROM contexts WHERE doc_id % 2 = 1",
 )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -794,6 +795,15 @@ def token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("context_id", long("k").alias("k"), decode.span_tokens(offsets, at, at + F.length(T.strip("answer_text"))).alias("s")).select("context_id", "k", long("s.start_token").alias("start_token"), long("s.end_token").alias("end_token"))
 
 
+@query
+def window_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 over W3: answers in windows of 40 words that share 15."""
+    rows = X.classified(spark, sf_dir).where("model = 'a' AND literal_match")
+    spans_ = rows.select("context_id", "k", F.col("recomputed_answer_start").alias("start"), (F.col("recomputed_answer_start") + F.length(T.strip("answer_text"))).alias("end"))
+    found = decode.window_labels(X.contexts(spark, sf_dir), spans_, 40, 15)
+    return found.select("context_id", *[long(c).alias(c) for c in ("k", "window", "start_token", "end_token")])
+
+
 def logits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Windows over each whole context, half overlapping, with logits that follow from a hash.
 
@@ -885,6 +895,30 @@ def generation_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.generate(todo, make, "context_id string, answer_text string", done)
 
 
+class Moody:
+    """A generator that fails for some questions always, for others the first time."""
+
+    def __init__(self) -> None:
+        self.asked: set[tuple[str, str]] = set()
+
+    def __call__(self, context: str, question: str) -> dict:
+        mood = int(hashlib.md5(f"{context}/{question}".encode()).hexdigest()[0], 16)
+        again = (context, question) in self.asked
+        if mood < 4 or mood < 8 and not again:
+            self.asked.add((context, question))
+            raise RuntimeError(f"mood {mood}")
+        self.asked.discard((context, question))
+        word = context.split()[0]
+        return {"answer_text": word, "answer_start": context.find(word), "answer_end": context.find(word) + len(word)}
+
+
+@query
+def generation_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generator that fails for some rows: every context keeps its five, with what went wrong."""
+    asked = X.contexts(spark, sf_dir).select("context_id", "context", F.explode(F.array(*[F.lit(q) for _, q in X.QUESTIONS])).alias("question")).distinct()
+    return incremental.answers(asked, Moody(), retries=2, delay=0.0).drop("context")
+
+
 @query
 def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cohen's kappa of two labels."""
