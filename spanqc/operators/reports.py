@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import ANSWERED, IMPOSSIBLE, QUESTIONS_PER_CONTEXT, SENTINEL
+from ..sources.shared import shared_path
 from .datasets import expanded, strict, uncertain
 from .validation import count_if, percent
 
@@ -48,6 +49,37 @@ def crosstab_percent(frame: DataFrame, rows: str, columns: str, values: Sequence
     return wide.select(rows, *[T.half_even(F.try_divide(F.col(v) * F.lit(100.0), total), places).alias(v) for v in values])
 
 
+def quantiles(frame: DataFrame, value: str, probabilities: Sequence[float], *by: str) -> DataFrame:
+    """Exact quantiles of a column with any number of different values: ``by`` and ``p25``, ``p50``, ... as ``percentile`` has them.
+
+    ``percentile`` keeps all different values of a group in one task. Here equal values are counted first, ranges
+    of group and value are sorted in many tasks and held in the shared folder, and a value's rank is that in its range and the sizes
+    of its group's ranges before; then only the two values next to each quantile are kept. Nulls don't count;
+    a group of nulls alone has no row. NaN is above all numbers.
+    """
+    path = shared_path(frame.sparkSession, "ranges")
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    counted = frame.select(group.alias("_g"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counted.repartitionByRange("_g", "_v").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    held = frame.sparkSession.read.parquet(path)
+    line = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_g")
+    parts = held.groupBy("_g", "_part").agg(F.sum("_n").alias("_size"))  # a row for each group of each range
+    before = parts.select("_g", "_part", F.coalesce(F.sum("_size").over(line), F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("_all"))
+    within = Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = held.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(before, ["_g", "_part"]).withColumn("_from", F.col("_before") + F.col("_in"))
+
+    def found(p: float) -> Column:
+        place = F.lit(float(p)) * (F.col("_all") - 1)
+        at = lambda rank: F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_from") + F.col("_n")), F.col("_v")))
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(f"p{round(p * 100)}")
+
+    named = [F.col(f"_g.{c}").alias(c) for c in by]
+    picked = ranked.groupBy("_g").agg(*[found(p) for p in probabilities])
+    return picked.select(*named, *[f"p{round(p * 100)}" for p in probabilities])
+
+
 def describe(frame: DataFrame, value: str, *by: str, percentiles: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """Count, mean, sample deviation, least, exact percentiles and greatest."""
     at = [F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in percentiles]

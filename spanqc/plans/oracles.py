@@ -344,6 +344,7 @@ oracle(
         count(*) FILTER (qc_status = 'no_answer_free_text') AS free_text_no_answer, count(*) FILTER (qc_status = 'imposible_but_span_present') AS impossible_but_span_present FROM classified GROUP BY model""",
     label_crosstab=f"""WITH {KINDED} SELECT kind, round_even(count(*) FILTER (is_impossible = 'imposible') * 100.0::double / count(*), 1) AS imposible, round_even(count(*) FILTER (is_impossible = 'respondido') * 100.0::double / count(*), 1) AS respondido FROM with_kind GROUP BY kind""",
     word_stats=f"WITH {WORDED} SELECT lang, count(words) AS n, avg(words) AS mean, stddev_samp(words) AS std, min(words) AS min, " + ", ".join(f"quantile_cont(words, {p}) AS p{round(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) + ", max(words) AS max FROM worded GROUP BY lang",
+    price_quantiles="SELECT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) AS p{round(p * 100)}" for p in (0.01, 0.25, 0.5, 0.75, 0.99)) + " FROM lineitem GROUP BY 1",
     word_population=f"""WITH {WORDED} SELECT lang, round_even(avg(words), 2) AS mean, round_even(stddev_pop(words), 2) AS std, min(words) AS min, round_even(quantile_cont(words, 0.25), 2) AS q1, round_even(quantile_cont(words, 0.5), 2) AS median,
         round_even(quantile_cont(words, 0.75), 2) AS q3, max(words) AS max FROM worded GROUP BY lang""",
     word_histogram=f"""WITH {WORDED}, ends AS (SELECT min(words)::double AS low, max(words)::double AS high FROM worded)

@@ -616,6 +616,14 @@ def word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.describe(worded(spark, sf_dir), "words", "lang")
 
 
+@query
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7, A10, P6 for continuous values: no task holds all of a group's."""
+    rows = X.table(spark, sf_dir, "lineitem").withColumn("l_returnflag", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
+    found = reports.quantiles(rows, "l_extendedprice", (0.01, 0.25, 0.5, 0.75, 0.99), "l_returnflag")
+    return found.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("p1", "p25", "p50", "p75", "p99")])
+
+
 @query
 def word_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8, A10."""
