@@ -12,7 +12,7 @@ from spanqc.llm import queries
 def test_registered():
     names = set(entry.queries())
     assert names >= set(queries.QUERIES) | {"pipeline"}
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLES) <= set(queries.QUERIES) and len(pipeline.STAGES) == 5
 
 
