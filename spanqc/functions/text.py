@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import sys
 import unicodedata
@@ -14,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .matching import similarity_of
+
 
 def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -142,15 +143,12 @@ def normalize(c: Column | str, exact: bool = True) -> Column:
     return normalize_exact(c) if exact else normalize_fast(c)
 
 
-def similarity_of(a: str | None, b: str | None) -> float:
-    """Share of matching characters; two empty texts are alike."""
-    return difflib.SequenceMatcher(None, a or "", b or "").ratio() if a or b else 1.0
-
-
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Character similarity ratio of two columns."""
-    return pd.Series([similarity_of(x, y) for x, y in zip(a, b, strict=True)])
+    """Character similarity ratio of two columns; a pair that a batch repeats is worked out once."""
+    pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
+    known = {pair: similarity_of(*pair) for pair in set(pairs)}
+    return pd.Series([known[pair] for pair in pairs], dtype="float64")
 
 
 def normalize_answer(c: Column | str) -> Column:

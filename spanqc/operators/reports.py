@@ -206,25 +206,74 @@ def plan(spark, models: Sequence[str], datasets: Sequence[str], modes: Sequence[
     return spark.createDataFrame(rows, "place int, model string, dataset string, mode string, slot int")
 
 
-PROGRESS = r"(\d+)/(\d+)\s*\[(\d+):(\d+):(\d+)<"
+def plan_of(rows: DataFrame, model: str, dataset: str, modes: Sequence[str], slots: int, most: int = 10_000) -> DataFrame:
+    """``plan`` of the different models and datasets that a table's rows have, each in order of code points.
 
+    Every model runs on every dataset, whether or not they meet in a row. Nulls are left out; a table without any of
+    either gives no plan, and more than ``most`` of either are an error. Values are few, so each row of the plan follows by arithmetic from their lists.
+    """
+    named = F.explode(F.array(F.struct(F.lit("model").alias("kind"), F.col(model).cast("string").alias("value")), F.struct(F.lit("dataset").alias("kind"), F.col(dataset).cast("string").alias("value")))).alias("_p")
+    found = rows.select(named).select("_p.*").where(F.col("value").isNotNull()).distinct()
+    numbered = found.withColumn("at", F.row_number().over(Window.partitionBy("kind").orderBy("value"))).where(F.col("at") <= most + 1)
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(kind)
+    lists = numbered.agg(listed("model"), listed("dataset"))
+    many = F.greatest(F.size("model"), F.size("dataset"))
+    lists = lists.withColumn("sets", F.when(many <= most, F.size("dataset")).otherwise(F.raise_error(F.lit(f"more than {most} models or datasets")).cast("int")))
+    wide = lists.select("sets", "dataset", F.posexplode("model").alias("m", "model")).select("sets", "m", "model", F.posexplode("dataset").alias("d", "dataset"))
+    runs = wide.select("*", F.posexplode(F.array(*map(F.lit, modes))).alias("o", "mode"))
+    place = (F.col("m") * F.col("sets") + F.col("d")).cast("long") * len(modes) + F.col("o")
+    return runs.select(place.alias("place"), "model", "dataset", "mode", (place % slots).alias("slot"))
 
-def parsed_logs(logs: DataFrame, path: str = "path", text: str = "text", model: str = "model") -> DataFrame:
-    """What each worker's log says last of its progress, and how often it has its markers.
 
-    The segment is the log's folder, or ``initial`` for logs in the root (paths are relative to it).
-    """
+PROGRESS = r"(\d+)/(\d+)\s*\[(\d+):(\d+):(\d+)<"
+
+
+def marks(text: str) -> list[Column]:
+    """What a log says last of its progress, null if nothing, and how often it has each marker."""
     part = lambda g: T.last_match(text, PROGRESS, g).cast("long")
-    seconds = part(3) * 3600 + part(4) * 60 + part(5)
+    progress = F.struct(part(1).alias("processed"), part(2).alias("target"), (part(3) * 3600 + part(4) * 60 + part(5)).alias("total_seconds"))
+    return [
+        F.when(part(1).isNotNull(), progress).alias("progress"), T.count_hits(F.lower(T.or_empty(text)), ["fallback"]).alias("fallbacks"),
+        T.count_hits(text, ["Error crítico"]).alias("critical_errors"), T.count_hits(text, ["Checkpoint guardado"]).alias("checkpoints"),
+    ]
+
+
+def told(marked: DataFrame, path: str, model: str) -> DataFrame:
+    """Logs' marks with segment and worker by their paths."""
     parts = F.split(path, "/")
-    out = logs.select(
+    out = marked.select(
         model, F.when(F.size(parts) == 1, "initial").otherwise(F.get(parts, F.lit(0))).alias("segment"), F.try_element_at(parts, F.lit(-1)).alias("worker"),
-        F.coalesce(part(1), F.lit(0)).alias("processed"), part(2).alias("target"), T.count_hits(F.lower(T.or_empty(text)), ["fallback"]).alias("fallbacks"),
-        T.count_hits(text, ["Error crítico"]).alias("critical_errors"), T.count_hits(text, ["Checkpoint guardado"]).alias("checkpoints"), seconds.alias("total_seconds"),
+        F.coalesce("progress.processed", F.lit(0)).alias("processed"), "progress.target", "fallbacks", "critical_errors", "checkpoints", "progress.total_seconds",
     )
     return out.withColumn("seconds_per_context", F.try_divide(F.nullif("total_seconds", F.lit(0)).cast("double"), F.nullif("processed", F.lit(0))))
 
 
+def parsed_logs(logs: DataFrame, path: str = "path", text: str = "text", model: str = "model") -> DataFrame:
+    """What each worker's log says last of its progress, and how often it has its markers.
+
+    The segment is the log's folder, or ``initial`` for logs in the root (paths are relative to it).
+    """
+    return told(logs.select(model, path, *marks(text)), path, model)
+
+
+def grown_logs(pieces: DataFrame, path: str = "path", piece: str = "piece", text: str = "text", model: str = "model") -> DataFrame:
+    """The marks of logs that come in pieces: ``model``, ``path``, ``progress`` and the markers' counts of each log so far.
+
+    Works on a table and on a stream, whose state is a row for each log. The progress is that of the last piece, by its number, that tells
+    any, in whatever order pieces come; of pieces with one number and different progress the greater counts. Pieces end at ends of lines, as no mark runs on into the next line; null
+    texts are empty, a piece without a number counts for markers alone, and null models and paths are logs of their own. A piece that is given twice counts twice.
+    """
+    own = pieces.select(model, path, piece, *marks(text))
+    told_at = F.when(F.col("progress").isNotNull() & F.col(piece).isNotNull(), F.struct(F.col(piece), F.col("progress")))
+    return own.groupBy(model, path).agg(F.max(told_at)["progress"].alias("progress"), *[F.sum(c).alias(c) for c in ("fallbacks", "critical_errors", "checkpoints")])
+
+
+def latest(batches: DataFrame, *keys: str) -> DataFrame:
+    """Of rows that later batches tell anew, what the last ``batch`` says of each key; each key comes once a batch."""
+    rest = [c for c in batches.columns if c not in (*keys, "batch")]
+    return batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+
+
 def segment_summary(logs: DataFrame) -> DataFrame:
     spent = F.sum("total_seconds")
     return logs.groupBy("model", "segment").agg(

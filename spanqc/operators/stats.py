@@ -75,18 +75,26 @@ def two_proportion_z(frame: DataFrame, by: str, correct: str, first: str, second
 def chi_square(frame: DataFrame, a: str, b: str) -> DataFrame:
     """The statistic of independence, its degrees of freedom and p; with one degree, corrected for continuity as Yates did.
 
-    Cells are counted first; totals come from the cells, so nothing grows but with the values.
+    Cells are counted first, and totals come from the cells. Cells without rows aren't made: one adds what is expected of it, so a
+    row of the table adds its total's share of the columns that it doesn't meet. Null is a value like any other; an empty table gives no row.
     """
     cells = frame.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("seen"))
     rows = cells.groupBy(F.col(a).alias("_r")).agg(F.sum("seen").alias("row_total"))
     columns = cells.groupBy(F.col(b).alias("_c")).agg(F.sum("seen").alias("column_total"))
-    grid = rows.crossJoin(columns).join(cells, F.col("_r").eqNullSafe(F.col(a)) & F.col("_c").eqNullSafe(F.col(b)), "left")
-    sizes = rows.agg(F.count(F.lit(1)).alias("nr"), F.sum("row_total").alias("total")).crossJoin(columns.agg(F.count(F.lit(1)).alias("nc")))
-    freedom = (F.col("nr") - 1) * (F.col("nc") - 1)
-    wanted = F.col("row_total") * F.col("column_total") / F.col("total")
-    apart = F.abs(F.coalesce("seen", F.lit(0.0)) - wanted)
-    apart = F.when(freedom == 1, apart - F.least(F.lit(0.5), apart)).otherwise(apart)
-    return with_p(grid.crossJoin(sizes).groupBy(freedom.alias("dof")).agg(F.sum(apart * apart / wanted).alias("chi2")), lambda r: chi_square_p(r["chi2"], r["dof"]))
+    of = lambda totals, n: totals.agg(F.count(F.lit(1)).alias(f"n_{n}"), F.sum(1 / F.col(totals.columns[1])).alias(f"inverse_{n}"), F.sum(totals.columns[1]).alias(f"total_{n}"))
+    sizes = of(rows, "rows").crossJoin(of(columns, "columns"))  # one row each
+    known = cells.join(rows, F.col(a).eqNullSafe(F.col("_r"))).join(columns, F.col(b).eqNullSafe(F.col("_c"))).crossJoin(F.broadcast(sizes))  # one row
+    total = F.col("total_rows")
+    wanted = F.col("row_total") * F.col("column_total") / total
+    apart = F.abs(F.col("seen") - wanted)
+    freedom = ((F.col("n_rows") - 1) * (F.col("n_columns") - 1)).alias("dof")
+    line = known.groupBy(freedom, "_r", "row_total", "total_rows", "inverse_rows", "inverse_columns").agg(F.sum(apart * apart / wanted).alias("met"), F.sum("column_total").alias("columns"), F.max(apart).alias("apart"))
+    plain = F.sum(F.col("met") + F.col("row_total") * (total - F.col("columns")) / total)
+    # With one degree all four cells are equally far from what is expected.
+    less = F.max("apart") - F.least(F.lit(0.5), F.max("apart"))
+    corrected = less * less * F.max(total * F.col("inverse_rows") * F.col("inverse_columns"))
+    chi = F.when(F.col("dof") == 1, corrected).otherwise(plain)
+    return with_p(line.groupBy("dof").agg(chi.alias("chi2")), lambda r: chi_square_p(r["chi2"], r["dof"]))
 
 
 def normal_two_sided(z: float) -> float:

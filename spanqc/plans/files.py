@@ -131,6 +131,19 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.regexp_replace("segment", "^segment=", "").alias("segment")).agg(F.sum("fallbacks").alias("fallbacks"), F.sum("critical_errors").alias("critical_errors"), F.sum("checkpoints").alias("checkpoints"))
 
 
+@Q.query
+def growing_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of logs that grow: a stream gets them line by line, later lines first for some, in two runs."""
+    root = shared_path(spark, "growing")
+    lines = Q.worker_logs(spark, sf_dir).select("model", "path", F.posexplode(F.split("text", "\n")).alias("piece", "text"))
+    first = (F.col("piece") == 1) | (F.col("piece") == 2) & F.startswith("path", F.lit("w"))
+    for some in (first, ~first):
+        lines.where(some).coalesce(2).write.mode("append").parquet(f"{root}/pieces")
+        stream = incremental.stream_of(spark, f"{root}/pieces", StructType.fromDDL("model string, path string, piece int, text string"), 4)
+        logs = incremental.follow_logs(stream, f"{root}/state", f"{root}/checkpoint")
+    return reports.segment_summary(logs)
+
+
 @Q.query
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that fill a file, each a list of an event type's days, over several lines."""

@@ -365,8 +365,10 @@ oracle(
         SELECT max_new_tokens, count(*) AS total, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS errors, coalesce(max(n_chars) FILTER (ok), 0) AS max_chars, coalesce(max(w) FILTER (ok), 0) AS max_tokens FROM p GROUP BY 1""",
     benchmark_summary="""SELECT event_type AS model, count(*) AS num_samples, count(*) FILTER (event_id % 7 > 0) AS num_success, count(*) FILTER (event_id % 7 = 0) AS num_failures,
         round_even(avg(value) FILTER (event_id % 7 > 0), 3) AS avg_context_time_s, round_even(60.0::double / avg(value) FILTER (event_id % 7 > 0), 2) AS contexts_per_min FROM events GROUP BY 1""",
-    experiment_plan="""WITH m(i, model) AS (VALUES (0, 'm1'), (1, 'm2'), (2, 'm3')), d(j, dataset) AS (VALUES (0, 'merged'), (1, 'strict')), o(l, mode) AS (VALUES (0, 'zsl'), (1, 'ft'))
-        SELECT (i * 4 + j * 2 + l)::bigint AS place, model, dataset, mode, ((i * 4 + j * 2 + l) % 4)::bigint AS slot FROM m, d, o""",
+    experiment_plan="""WITH m AS (SELECT source AS model, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+        d AS (SELECT lang AS dataset, row_number() OVER (ORDER BY lang) - 1 AS j FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)), o(l, mode) AS (VALUES (0, 'zsl'), (1, 'ft')),
+        runs AS (SELECT row_number() OVER (ORDER BY i, j, l) - 1 AS place, model, dataset, mode FROM m, d, o)
+        SELECT place, model, dataset, mode, place % 4 AS slot FROM runs""",
     rows_per_key="SELECT n AS rows_per_key, count(*) AS n_keys FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id) GROUP BY n",
     mode_deltas="SELECT event_type, avg(value) FILTER (user_id % 2 = 1) - avg(value) FILTER (user_id % 2 = 0) AS delta_value FROM events GROUP BY 1",
     normalized_texts=f"WITH {CONTEXTS} SELECT context_id, md5({BARE.format('context')}) AS bare, md5({COLLAPSE.format('context')}) AS low, length({STRIP.format('context')}) AS stripped FROM contexts",
@@ -403,6 +405,7 @@ LOGS = """logs AS (SELECT CASE WHEN event_type = 'click' THEN 'a' ELSE 'b' END A
         printf('%02d:%02d:%02d', max(secs) // 3600, max(secs) % 3600 // 60, max(secs) % 60) AS wall_clock FROM parsed GROUP BY 1, 2)"""
 oracle(
     log_segments=f"WITH {LOGS} SELECT * FROM segs",
+    growing_logs=f"WITH {LOGS} SELECT * FROM segs",
     log_models=f"WITH {LOGS} SELECT model, sum(processed)::bigint AS processed, sum(elapsed_seconds)::double / 3600 AS gpu_hours, sum(elapsed_seconds)::double / sum(processed) AS seconds_per_context, sum(elapsed_seconds)::double / greatest(max(workers), 1) / 3600 AS continuous_hours, printf('%02d:%02d:%02d', c // 3600, c % 3600 // 60, c % 60) AS continuous FROM (SELECT *, (sum(elapsed_seconds) OVER (PARTITION BY model) / max(workers) OVER (PARTITION BY model))::double AS whole, floor(whole)::bigint AS c FROM segs) GROUP BY model, c",
 )
 oracle(

@@ -721,8 +721,8 @@ def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def experiment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A26, A27."""
-    return reports.plan(spark, ["m1", "m2", "m3"], ["merged", "strict"], ["zsl", "ft"], 4).select(long("place").alias("place"), "model", "dataset", "mode", long("slot").alias("slot"))
+    """Every source's model on the documents of every language."""
+    return reports.plan_of(X.table(spark, sf_dir, "documents"), "source", "lang", ["zsl", "ft"], 4)
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.reports import grown_logs, latest, told
 from ..schemas import ANSWERED, IMPOSSIBLE, QUESTIONS_PER_CONTEXT, SENTINEL
 
 
@@ -104,17 +105,18 @@ def failures(answered: DataFrame) -> DataFrame:
     return answered.where(F.col("error").isNotNull()).select("context_id", "question", "attempts", "error")
 
 
-def append_batches(stream: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+def append_batches(stream: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Rows that ``make`` gives for what has come since the last run, each batch in a folder of its own; ends when all is done.
 
     A batch whose run was cut off, before, in or after its writing, is made again whole and takes the place of what
     it left, so no key is ever there in part or twice. What is read by ``read_batches`` is what was written whole.
+    With ``mode="update"`` a batch has the groups of a running aggregation that it changed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         make(batch).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/batch={number}")
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
@@ -124,3 +126,13 @@ def read_batches(spark: SparkSession, path: str, checkpoint: str, schema: Struct
     ended = spark.read.text(f"{checkpoint}/commits").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)$", 1).try_cast("long").alias("batch")).distinct()
     rows = spark.read.schema(schema).option("basePath", path).json(path)
     return rows.withColumn("batch", F.col("batch").cast("long")).join(ended, "batch", "left_semi")
+
+
+def follow_logs(pieces: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """What growing logs say so far, as ``parsed_logs`` has it; call it again when more pieces have come.
+
+    Only new pieces are read. What was known of each log is held as the stream's state; each batch writes the logs it changed.
+    """
+    append_batches(grown_logs(pieces), lambda batch: batch, path, checkpoint, "update")
+    schema = "model string, path string, progress struct<processed: long, target: long, total_seconds: long>, fallbacks long, critical_errors long, checkpoints long"
+    return told(latest(read_batches(pieces.sparkSession, path, checkpoint, schema), "model", "path"), "path", "model")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from spanqc.operators import decode
+from spanqc.operators import decode, reports
 from spanqc.streaming import incremental
 
 
@@ -103,3 +103,54 @@ def test_spans_over_windows(spark):
             want.append((key, k, start, end, window, first[-1] + 1 if ok else 0, last[0] + 1 if ok else 0))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def log_rows(rng):
+    """Whole logs, and their pieces, which end at ends of lines."""
+    whole, pieces = [], []
+    for k in range(30):
+        lines = [rng.choice([f"{rng.randint(1, 9)}/9 [{rng.randint(0, 2)}:05:{rng.randint(10, 59)}<1", "Fallback fallback", "Error crítico", "Checkpoint guardado", "", "none"]) + "\n" for _ in range(rng.randint(0, 12))]
+        path, model, at, number = rng.choice(["", "resume_1/", "resume_2/deep/"]) + f"w{k}.log", rng.choice(["a", "b", None]), 0, 0
+        whole.append((model, path, "".join(lines)))
+        while at < len(lines) or not number:
+            size = rng.randint(1, 4)
+            pieces.append((model, path, number, "".join(lines[at : at + size])))
+            at, number = at + size, number + 1
+    return whole, pieces
+
+
+def test_growing_logs(spark, tmp_path):
+    rng = random.Random(7)
+    whole, pieces = log_rows(rng)
+    want = sorted(map(tuple, reports.parsed_logs(spark.createDataFrame(whole, "model string, path string, text string")).collect()), key=str)
+    schema = "model string, path string, piece int, text string"
+    rng.shuffle(pieces)
+    told = reports.told(reports.grown_logs(spark.createDataFrame(pieces, schema)), "path", "model")
+    assert sorted(map(tuple, told.collect()), key=str) == want
+    for part in range(3):  # pieces come in any order, and the stream is stopped between
+        spark.createDataFrame(pieces[part::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "pieces"))
+        stream = incremental.stream_of(spark, str(tmp_path / "pieces"), spark.createDataFrame([], schema).schema, 1)
+        logs = incremental.follow_logs(stream, str(tmp_path / "state"), str(tmp_path / "checkpoint"))
+        come = [p for k in range(part + 1) for p in pieces[k::3]]
+        assert logs.count() == len({p[:2] for p in come})
+    assert sorted(map(tuple, logs.collect()), key=str) == want
+    again = incremental.follow_logs(stream, str(tmp_path / "state"), str(tmp_path / "checkpoint"))
+    assert sorted(map(tuple, again.collect()), key=str) == want
+
+
+def test_grown_logs_of_odd_pieces(spark):
+    rows = [("m", "w", 2, "3/9 [0:00:03<"), ("m", "w", 2, "5/9 [0:00:01<"), ("m", "w", None, "9/9 [9:00:00< fallback"), ("m", "w", 7, None), ("m", None, 0, "Fallback"), (None, "x/w", 0, "")]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "model string, path string, piece int, text string, progress int").drop("progress")
+    got = {(r.model, r.path): (r.progress and r.progress.processed, r.fallbacks) for r in reports.grown_logs(frame).collect()}
+    assert got == {("m", "w"): (5, 1), ("m", None): (None, 1), (None, "x/w"): (None, 0)}
+    assert reports.grown_logs(frame.limit(0)).count() == 0
+
+
+def test_plan_of_rows(spark):
+    rows = spark.createDataFrame([("m2", "d"), ("m1", None), (None, "c"), ("m2", "d"), ("é", "d")], "model string, dataset string")
+    got = [tuple(r) for r in reports.plan_of(rows, "model", "dataset", ["x", "y"], 3).orderBy("place").collect()]
+    runs = [(m, d, o) for m in ("m1", "m2", "é") for d in ("c", "d") for o in ("x", "y")]
+    assert got == [(k, *run, k % 3) for k, run in enumerate(runs)]
+    assert reports.plan_of(rows.limit(0), "model", "dataset", ["x"], 3).count() == 0
+    with pytest.raises(Exception, match="more than 2 models"):
+        reports.plan_of(rows, "model", "dataset", ["x"], 3, 2).collect()

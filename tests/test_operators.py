@@ -289,3 +289,20 @@ def test_reports(spark):
     assert reports.benchmark_summary(spark.createDataFrame([("m", False, 1.0)], "model string, ok boolean, elapsed_s double")).head()["avg_context_time_s"] is None
     plan = reports.plan(spark, ["a", "b"], ["d"], ["x", "y"], 3).collect()
     assert [r["slot"] for r in plan] == [0, 1, 2, 0]
+
+
+def test_chi_square_with_cells_that_have_no_rows(spark):
+    rng = random.Random(8)
+    for a, b, n in ((2, 2, 40), (2, 2, 5), (5, 4, 30), (1, 3, 9), (9, 2, 200)):
+        rows = [(rng.choice([None, *range(a - 1)]), rng.choice([None, *range(b - 1)])) for _ in range(n)]
+        r, c = {x for x, _ in rows}, {y for _, y in rows}
+        dof, chi2 = (len(r) - 1) * (len(c) - 1), 0.0
+        for x in r:
+            for y in c:
+                want = sum(i == x for i, _ in rows) * sum(j == y for _, j in rows) / n
+                apart = abs(rows.count((x, y)) - want)
+                chi2 += (apart - min(0.5, apart) * (dof == 1)) ** 2 / want
+        frame = stats.chi_square(spark.createDataFrame(rows, "m int, c int"), "m", "c")
+        got = frame.head()
+        assert got.dof == dof and abs(got.chi2 - chi2) < 1e-9
+    assert stats.chi_square(spark.createDataFrame([], "m int, c int"), "m", "c").count() == 0

@@ -9,6 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from spanqc.functions import text as T
+from spanqc.functions.matching import automaton, similarity_of
 
 
 def rows(spark, values, *columns, schema="i long, x string"):
@@ -85,6 +86,28 @@ def test_similarity(spark):
     assert got == [1.0 if not a and not b else difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in pairs]
 
 
+def test_similarity_of_many_pairs():
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789é😀 "
+    for n in [*range(40)] * 8 + [199, 200, 201, 350, 700] * 8:  # beyond 199 characters common ones begin no match
+        few = letters[: rng.choice([1, 2, 3, 9, len(letters)])]
+        a = "".join(rng.choices(few, k=n))
+        b = [*a] if rng.random() < 0.6 else rng.choices(few, k=rng.choice([0, n, n + 60]))
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 3)] = rng.choices(few, k=rng.randint(0, 3))
+        b = "".join(b)
+        assert similarity_of(a, b) == (difflib.SequenceMatcher(None, a, b).ratio() if a or b else 1.0)
+
+
+def test_similarity_of_long_texts_takes_linear_states():
+    rng = random.Random(4)
+    for n in (2_000, 20_000):
+        a, b = ("".join(rng.choices([chr(0x4E00 + k) for k in range(150)], k=n)) for _ in range(2))
+        assert len(automaton(b, 0, n, frozenset())[0]) <= 2 * n
+    assert similarity_of("a" * 100_000 + "b", "a" * 150 + "c") == 300 / 100_152  # as many comparisons as places would be 15 million
+
+
 def test_json_answers(spark):
     good = '{"answer_text": "x", "is_impossible": "respondido"}'
     texts = [good, f"```json\n{good}\n```", f"bla {good} bla", '{"answer_text": "x', "", None, "[1]"]
