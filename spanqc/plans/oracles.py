@@ -464,3 +464,29 @@ oracle(
         UNION ALL SELECT 6 + place, kind || ' & ' || n || ' & ' || printf('%.2f', m) || ' \\\\' FROM counted
         UNION ALL SELECT 6 + (SELECT count(*) FROM counted) + i, v FROM (VALUES (1, '\\bottomrule'), (2, '\\end{{tabular}}'), (3, '\\end{{table}}')) f(i, v)""",
 )
+
+#: The longest part that x and y share, of equals the first in x, then in y: a match of short texts, in which no character is common.
+LONGEST = "list_max(list_filter(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(x) - i + 2), lambda n: {'n': n, 'i': -i}))), lambda m: contains(y, substr(x, -m.i, m.n))))"
+GRAMS = "flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, len({0}) - n + 2), lambda i: array_to_string({0}[i : i + n - 1], ' '))))"
+oracle(
+    similarity_agreement=f"""WITH RECURSIVE {CANDIDATES}, rows AS (SELECT a.answer_text AS a, b.answer_text AS b, a.is_impossible = 'imposible' AS i, b.is_impossible = 'imposible' AS j
+            FROM candidates a JOIN candidates b USING (context_id, question) WHERE a.model = 'a' AND b.model = 'b'),
+        boxes AS (SELECT a, b, a AS x, b AS y, {LONGEST} AS m FROM (SELECT DISTINCT a, b, a AS x, b AS y FROM rows)
+            UNION ALL SELECT a, b, x, y, {LONGEST} FROM (SELECT a, b, unnest([substr(x, 1, -m.i - 1), substr(x, -m.i + m.n)]) AS x, unnest([substr(y, 1, strpos(y, substr(x, -m.i, m.n)) - 1), substr(y, strpos(y, substr(x, -m.i, m.n)) + m.n)]) AS y
+                FROM boxes WHERE m IS NOT NULL) WHERE x <> '' AND y <> ''),
+        alike AS (SELECT a, b, CASE WHEN a = b THEN 1.0::double ELSE 2.0::double * coalesce(sum(m.n), 0)::double / (length(a) + length(b)) END AS ratio FROM boxes GROUP BY a, b)
+        SELECT CASE WHEN i AND j THEN 'both_impossible' WHEN i <> j THEN 'disagree' WHEN ratio >= 0.7 THEN 'agree' ELSE 'disagree' END AS agreement, count(*) AS n FROM rows JOIN alike USING (a, b) GROUP BY 1""",
+    bleu_scores=f"""WITH {SCORED}, words AS (SELECT id, regexp_extract_all(prediction, '\\S+') AS p, regexp_extract_all(coalesce(gold, ''), '\\S+') AS g FROM said),
+        grams AS (SELECT id, {GRAMS.format("p")} AS p, {GRAMS.format("g")} AS g FROM words)
+        SELECT id, CASE WHEN len(p) + len(g) = 0 THEN 0.0 ELSE coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda y: y = t))))), 0)::double / greatest(len(p), len(g)) END::double AS bleu FROM grams""",
+    decode_spans=f"""WITH {CONTEXTS}, wins AS (SELECT context_id AS id, context, length(context) AS size, unnest(range(0, greatest(ceil(length(context) / 95.0::double)::bigint - 2, 0) + 1)) AS w FROM contexts),
+        placed AS (SELECT *, w * 95 + (i - CASE WHEN i < 20 THEN 1 ELSE 2 END) * 5 AS spot FROM (SELECT *, unnest(range(40)) AS i FROM wins)),
+        tokens AS (SELECT id, context, w, i, CASE WHEN i IN (0, 20) OR spot >= size THEN 0 ELSE spot END AS b, CASE WHEN i IN (0, 20) OR spot >= size THEN 0 ELSE least(spot + 5, size) END AS e,
+            ('0x' || substr(md5(concat_ws('/', id, w, i, 's')), 1, 6))::bigint::double / 1e6::double AS s, ('0x' || substr(md5(concat_ws('/', id, w, i, 'e')), 1, 6))::bigint::double / 1e6::double AS t FROM placed),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY id, w ORDER BY s DESC, i) AS s_at, row_number() OVER (PARTITION BY id, w ORDER BY t DESC, i) AS t_at FROM tokens),
+        spans AS (SELECT a.id, a.w, a.i, z.i AS j, a.s + z.t AS score, substr(a.context, a.b + 1, z.e - a.b) AS text FROM ranked a JOIN ranked z ON a.id = z.id AND a.w = z.w AND z.i >= a.i AND z.i - a.i < 100
+            WHERE a.s_at <= 20 AND z.t_at <= 20 AND a.e > a.b AND NOT (z.b = 0 AND z.e = 0)),
+        best AS (SELECT * FROM spans WHERE {STRIP.format("text")} <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, w, i, j) = 1),
+        nothing AS (SELECT id, min(s + t) AS score FROM tokens WHERE i = 0 GROUP BY id)
+        SELECT id, coalesce(text, '') AS prediction_text, CASE WHEN best.score IS NULL THEN 'inf'::double ELSE nothing.score - best.score END AS no_answer_probability FROM nothing LEFT JOIN best USING (id)""",
+)

@@ -831,7 +831,7 @@ def logits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def decode_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5, O4; held against a restatement in Python by the tests."""
+    """M5, O4."""
     return decode.decode(*logits(spark, sf_dir))
 
 
@@ -844,14 +844,14 @@ def top_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def similarity_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F10, F11; held against a restatement in Python by the tests."""
+    """F10, F11."""
     rows = X.candidates(spark, sf_dir).withColumn("impossible", F.col("is_impossible") == IMPOSSIBLE)
     return agreement.similarity_agreement(rows.where("model = 'a'"), rows.where("model = 'b'")).groupBy("agreement").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def bleu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F21; held against hand-worked values by the tests."""
+    """F21."""
     rows = X.predictions(spark, sf_dir).join(X.references(spark, sf_dir).select("id", F.coalesce(F.try_element_at("answers.text", F.lit(1)), F.lit("")).alias("gold")), "id")
     return rows.select("id", T.google_bleu("prediction_text", "gold").alias("bleu"))
 
