@@ -119,6 +119,28 @@ def histogram(frame: DataFrame, value: str, bins: int) -> DataFrame:
     return frame.where(v.isNotNull()).crossJoin(F.broadcast(bounds)).groupBy(bucket.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # one row of bounds
 
 
+def box_plot(frame: DataFrame, value: str, *by: str, reach: float = 1.5) -> DataFrame:
+    """What a box plot shows of each group: ``n``, ``q1``, ``median``, ``q3``, the whiskers ``low`` and ``high``, and how many values lie beyond them.
+
+    A whisker ends at the last value within ``reach`` times the box's height of it, and at the box if none lies outside the box. Quartiles are
+    exact, of any number of different values. Nulls don't count, a null group is one; a group of nulls alone has no box.
+    """
+    v = F.col(value).cast("double")
+    boxes = quantiles(frame, value, (0.25, 0.5, 0.75), *by).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("p25").alias("q1"), F.col("p50").alias("median"), F.col("p75").alias("q3"))
+    spread = reach * (F.col("q3") - F.col("q1"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    own = frame.select(*by, v.alias("_v")).where(v.isNotNull())
+    rows = own.join(boxes, same) if by else own.crossJoin(F.broadcast(boxes))  # one row of quartiles
+    near = rows.withColumns({"_low": F.col("q1") - spread, "_high": F.col("q3") + spread})
+    below, above = F.col("_v") < F.col("_low"), F.col("_v") > F.col("_high")
+    whiskers = near.groupBy(*by, "q1", "median", "q3").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(~below, F.col("_v"))).alias("_least"), F.max(F.when(~above, F.col("_v"))).alias("_most"), count_if(below).alias("below"), count_if(above).alias("above"),
+    )
+    return whiskers.select(*by, "n", F.least("q1", "_least").alias("low"), "q1", "median", "q3", F.greatest("q3", "_most").alias("high"), "below", "above")
+
+
 def length_counts(frame: DataFrame, value: str, *by: str) -> DataFrame:
     c = F.col(value)
     return frame.groupBy(*by).agg(count_if(c < 17).alias("under_17"), count_if(c < 100).alias("under_100"), count_if(c > 30).alias("over_30"), count_if(c > 100).alias("over_100"))

@@ -347,6 +347,11 @@ oracle(
     price_quantiles="SELECT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) AS p{round(p * 100)}" for p in (0.01, 0.25, 0.5, 0.75, 0.99)) + " FROM lineitem GROUP BY 1",
     word_population=f"""WITH {WORDED} SELECT lang, round_even(avg(words), 2) AS mean, round_even(stddev_pop(words), 2) AS std, min(words) AS min, round_even(quantile_cont(words, 0.25), 2) AS q1, round_even(quantile_cont(words, 0.5), 2) AS median,
         round_even(quantile_cont(words, 0.75), 2) AS q3, max(words) AS max FROM worded GROUP BY lang""",
+    price_boxes="""WITH offs AS (SELECT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, l_extendedprice * l_discount AS v FROM lineitem),
+        boxes AS (SELECT flag, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM offs GROUP BY 1),
+        met AS (SELECT *, q1 - 1.5::double * (q3 - q1) AS bottom, q3 + 1.5::double * (q3 - q1) AS top FROM (SELECT offs.flag, v, q1, median, q3 FROM offs JOIN boxes ON offs.flag IS NOT DISTINCT FROM boxes.flag))
+        SELECT flag AS l_returnflag, count(*) AS n, round(least(min(v) FILTER (v >= bottom), q1), 4) AS low, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
+            round(greatest(max(v) FILTER (v <= top), q3), 4) AS high, count(*) FILTER (v < bottom) AS below, count(*) FILTER (v > top) AS above FROM met GROUP BY flag, q1, median, q3""",
     word_histogram=f"""WITH {WORDED}, ends AS (SELECT min(words)::double AS low, max(words)::double AS high FROM worded)
         SELECT least(floor((words - low) * 50 / (high - low)) + 1, 50)::int AS bin, count(*) AS n FROM worded, ends GROUP BY 1""",
     overlong_p99=f"""WITH {classified()}, pos AS (SELECT model, question, {WORDS.format("answer_text")} AS aw, {WORDS.format("context")} AS cw FROM classified WHERE literal_match), lim AS (SELECT model, question, quantile_cont(aw, 0.99) AS p FROM pos GROUP BY 1, 2)

@@ -630,6 +630,14 @@ def word_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.population(worded(spark, sf_dir), "words", "lang")
 
 
+@query
+def price_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: the boxes of prices, whose few highest lie beyond the whiskers, by return flag."""
+    rows = X.table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("l_returnflag"), (F.col("l_extendedprice") * F.col("l_discount")).alias("off"))
+    found = reports.box_plot(rows, "off", "l_returnflag")
+    return found.select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in ("low", "q1", "median", "q3", "high")], "below", "above")
+
+
 @query
 def word_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11."""
