@@ -120,7 +120,7 @@ def without_repeats(found: DataFrame, key: str, number: Column, crowded: list, m
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Actions in the block give Python processes at most so many rows at a time."""
+    """Actions in the block give Python processes at most so many rows at a time; so do those that other threads run on this session meanwhile."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, str(rows))
