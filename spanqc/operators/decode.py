@@ -88,19 +88,30 @@ def decode(features: DataFrame, examples: DataFrame, n_best: int = 20, longest:
     earlier window, then the earlier tokens win. The score of no answer is the least over windows of
     the first position's sum, less the best span's; infinite without a span.
     """
-    starts, ends = top_positions(F.col("start_logits"), n_best), top_positions(F.col("end_logits"), n_best)
-    offset = lambda i: F.get(F.col("offsets"), i)
-    real = lambda p: ~((offset(p["at"])["b"] == 0) & (offset(p["at"])["e"] == 0))
+    offset = lambda p: F.get(F.col("offsets"), p["at"])
+    real = lambda p: ~((offset(p)["b"] == 0) & (offset(p)["e"] == 0))
 
-    def spans(s: Column) -> Column:
-        fit = F.filter("_ends", lambda e: real(e) & (e["at"] >= s["at"]) & (e["at"] - s["at"] < longest))
-        return F.transform(fit, lambda e: F.struct((-s["minus"] - e["minus"]).alias("score"), (-F.col("window")).alias("w"), (-s["at"]).alias("s"), (-e["at"]).alias("e"), T.slice_of("context", offset(s["at"])["b"], offset(e["at"])["e"]).alias("text")))
+    def begin(p: Column) -> Column:
+        """A start with its offset, and where the first character from there on stands that isn't white space, null if none does."""
+        b = offset(p)["b"]
+        mark = F.nullif(F.regexp_instr(F.substring("context", b + 1, F.length("context")), F.lit(r"(?U)\S")), F.lit(0))
+        return F.struct(p["minus"].alias("minus"), p["at"].alias("at"), b.alias("b"), F.when(b >= 0, b + mark).alias("seen"))
+
+    def spans(x: Column) -> Column:
+        """All spans of a window that aren't blank; their texts aren't cut out, as one of them is wanted."""
+        fit = lambda s: F.filter(x["ends"], lambda e: (e["at"] >= s["at"]) & (e["at"] - s["at"] < longest) & (e["e"] >= s["seen"]))
+        span = lambda s, e: F.struct((-s["minus"] - e["minus"]).alias("score"), (-F.col("window")).alias("w"), (-s["at"]).alias("s"), (-e["at"]).alias("e"), s["b"].alias("first"), e["e"].alias("last"))
+        return F.array_max(F.flatten(F.transform(x["starts"], lambda s: F.transform(fit(s), lambda e: span(s, e)))))
 
     texts = examples.select(F.col("id").alias("example_id"), "context")
-    wide = features.join(texts, "example_id").withColumns({"_starts": starts, "_ends": ends})
-    usable = F.filter("_starts", lambda s: real(s) & (offset(s["at"])["e"] > offset(s["at"])["b"]))
-    every = F.filter(F.flatten(F.transform(usable, spans)), lambda x: T.strip(x["text"]) != "")
-    best = wide.select("example_id", F.array_max(every).alias("best"), (F.get("start_logits", F.lit(0)) + F.get("end_logits", F.lit(0))).alias("null_score"))
+    wide = features.join(texts, "example_id")
+    starts = F.transform(F.filter(top_positions(F.col("start_logits"), n_best), lambda s: real(s) & (offset(s)["e"] > offset(s)["b"])), begin)
+    ends = F.transform(F.filter(top_positions(F.col("end_logits"), n_best), real), lambda e: F.struct(e["minus"].alias("minus"), e["at"].alias("at"), offset(e)["e"].alias("e")))
+    # Bound, as a column that is used within a function of each start would be sorted anew for each.
+    best = wide.withColumn("best", T.let(spans, starts=starts, ends=ends)).select(
+        "example_id", F.when(F.col("best").isNotNull(), F.struct("best.score", "best.w", "best.s", "best.e", T.slice_of("context", F.col("best.first"), F.col("best.last")).alias("text"))).alias("best"),
+        (F.get("start_logits", F.lit(0)) + F.get("end_logits", F.lit(0))).alias("null_score"),
+    )
     picked = best.groupBy("example_id").agg(F.max("best").alias("best"), F.min("null_score").alias("null_score"))
     out = examples.select("id").join(picked, F.col("id") == F.col("example_id"), "left")
     score = F.when(F.col("best").isNull(), F.lit(float("inf"))).otherwise(F.col("null_score") - F.col("best.score"))

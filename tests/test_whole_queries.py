@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import os
 import random
+import re
 import sys
 from collections import Counter
 
@@ -16,7 +17,7 @@ from test_operators import naive_decode
 from test_queries import plain
 
 from spanqc.functions import text
-from spanqc.operators import agreement, datasets, reports, semantics, stats, validation
+from spanqc.operators import agreement, datasets, decode, reports, semantics, stats, validation
 from spanqc.plans import queries
 from spanqc.plans.oracles import ORACLES
 from spanqc.plans.queries import QUERIES
@@ -185,3 +186,18 @@ def test_shards_in_order_of_keys(spark):
     places = {k: p for p, k in enumerate(sorted({k for k in keys if k}))}
     assert len(rows) == 1001 and all((r["place"], r["shard"]) == (places[r["k"]], places[r["k"]] % 4) for r in rows)
     assert datasets.shards(spark.createDataFrame([], "k string"), "k", 4).count() == 0
+
+
+def test_blank_spans_and_sorted_positions(spark):
+    rng = random.Random(10)
+    contexts = {"a": "  😀 \n  x  y \t", "b": "   ", "c": "word", "d": ""}
+    rows = []
+    for name, context in contexts.items():
+        for window in range(3):
+            offsets = [(0, 0), *[(b, b + rng.randint(0, 3)) for b in sorted(rng.randint(0, len(context)) for _ in range(8))], (0, 0)]
+            rows.append((name, window, offsets, [float(rng.randint(0, 3)) for _ in offsets], [float(rng.randint(0, 3)) for _ in offsets]))
+    features = spark.createDataFrame(rows, "example_id string, window int, offsets array<struct<b: int, e: int>>, start_logits array<double>, end_logits array<double>")
+    found = decode.decode(features, spark.createDataFrame(list(contexts.items()), "id string, context string"), 6, 4)
+    assert {r["id"]: (r["prediction_text"], r["no_answer_probability"]) for r in found.collect()} == naive_decode(rows, contexts, 6, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan[:m.start()].endswith(side) for m, side in zip(re.finditer(r"transform\(filter\(slice\(array_sort\(", plan), ("starts, ", "ends, "), strict=True)] == [True, True], re.findall(r".{80}slice\(array_sort\(", plan)  # once a window, not for each start
