@@ -44,6 +44,11 @@ def word_count(c: Column | str) -> Column:
     return F.coalesce(F.regexp_count(column(c), F.lit(r"(?U)\S+")), F.lit(0))
 
 
+def words_between(c: Column | str, low: int, high: int) -> Column:
+    """Whether a text has ``low`` to ``high`` words, by ``word_count``; of a longer text no more is read than that many words."""
+    return F.coalesce(F.rlike(column(c), F.lit(rf"(?U)\A\s*+(?:\S++\s*+){{{low},{high}}}+\z")), F.lit(low <= 0))
+
+
 def collapse(c: Column | str) -> Column:
     """Lower case, white space made one blank, none at the ends; accents stay."""
     return strip(F.regexp_replace(F.lower(or_empty(c)), r"(?U)\s+", " "))
@@ -122,7 +127,7 @@ def normalize_exact(c: Column | str) -> Column:
     kept = sorted(one, key=lambda ch: one[ch] == "")  # what goes stands last, where it has no counterpart
     single = F.translate(text, "".join(kept), "".join(one[ch] for ch in kept))
     rest = [*runs_of(sorted(map(ord, more))), HANGUL]
-    several = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in rest) + "]"
+    several = "[\\x{80}-\\x{10ffff}&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in rest) + "]]"  # hundreds of ranges, not asked for ASCII
     forms = F.str_to_map(F.lit("\x01".join(f"{ch}\x02{form}" for ch, form in more.items())), F.lit("\x01"), F.lit("\x02"))
 
     def letters(ch: Column) -> Column:
@@ -191,9 +196,11 @@ def find(haystack: Column | str, needle: Column | str) -> Column:
 def count_overlapping(haystack: Column | str, needle: Column | str) -> Column:
     """Occurrences, overlapping ones too; an empty needle has none."""
     h, n = or_empty(haystack), or_empty(needle)
+    first = F.instr(h, n)
+    once = F.instr(F.substring(h, first + 1, F.length(h)), n) == 0  # no pattern is compiled for these, which most are
     slow = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(h) - F.length(n) + 1)), lambda i: F.substring(h, i, F.length(n)) == n))
     fast = F.regexp_count(h, F.concat(F.lit(r"(?=\Q"), n, F.lit(r"\E)")))
-    return F.when((n == "") | (F.instr(h, n) == 0), F.lit(0)).when(F.contains(n, F.lit(r"\E")), slow).otherwise(fast)
+    return F.when((n == "") | (first == 0), F.lit(0)).when(once, F.lit(1)).when(F.contains(n, F.lit(r"\E")), slow).otherwise(fast)
 
 
 def trie_pattern(words: Sequence[str]) -> str:

@@ -166,15 +166,21 @@ def english(kind: Column | str) -> Column:
     return F.coalesce(F.try_element_at(names, T.column(kind)), F.lit("other"))
 
 
-def heuristics(frame: DataFrame, old_kind: bool = False, exact: bool = True, rules: SemanticRules = RULES, old_rules: SemanticRules = OLD_RULES) -> DataFrame:
-    """Adds ``question_kind``, ``semantic_flag_v1``, ``semantic_score``, ``semantic_flag_v2`` and the active ``semantic_heuristic_flag``."""
+def heuristics(frame: DataFrame, old_kind: bool = False, exact: bool = True, rules: SemanticRules = RULES, old_rules: SemanticRules = OLD_RULES, normal_context: Column | str | None = None) -> DataFrame:
+    """Adds ``question_kind``, ``semantic_flag_v1``, ``semantic_score``, ``semantic_flag_v2`` and the active ``semantic_heuristic_flag``.
+
+    ``normal_context`` is the context's normal form, where the caller has worked it out once for the many rows of a context; else it is
+    worked out for each row that has a status of the rules.
+    """
     def both(x: Column) -> Column:
         args = (x["kind"], x["answer"], x["context"], x["status"])
         return F.struct((old_rules.score(*args) >= 1).alias("old"), rules.score(*args).alias("score"))
 
     kind = T.let(lambda x: kind_of(x["normal"], old_kind), normal=T.normalize("question", exact))
     frame = frame.withColumn("question_kind", kind)
-    found = T.let(both, kind=F.col("question_kind"), answer=T.normalize("answer_text", exact), context=T.normalize("context", exact), status=F.col("qc_status"))
+    scored = F.col("qc_status").isin(*rules.statuses, *old_rules.statuses)
+    context = T.normalize("context", exact) if normal_context is None else T.column(normal_context)
+    found = T.let(both, kind=F.col("question_kind"), answer=F.when(scored, T.normalize("answer_text", exact)), context=F.when(scored, context), status=F.col("qc_status"))
     flag = F.col("_found.score") >= 1
     return frame.withColumn("_found", found).withColumns(
         {"semantic_flag_v1": F.col("_found.old"), "semantic_score": F.col("_found.score"), "semantic_flag_v2": flag, "semantic_heuristic_flag": flag}

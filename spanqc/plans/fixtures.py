@@ -23,14 +23,19 @@ FOREIGN = "0000 respuesta ajena"
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of 82 to 150 words."""
-    rows = table(spark, sf_dir, "documents").where(T.word_count("text").between(WORDS_LOW, WORDS_HIGH))
+    rows = table(spark, sf_dir, "documents").where(T.words_between("text", WORDS_LOW, WORDS_HIGH))
     return rows.select("doc_id", F.concat(F.lit("context_"), F.col("doc_id").cast("string")).alias("context_id"), F.col("text").alias("context"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten rows for each context: two models, five questions; which state a row has follows from a hash."""
+    return answered(contexts(spark, sf_dir))
+
+
+def answered(contexts: DataFrame) -> DataFrame:
+    """The candidates of contexts, which may have more columns."""
     asked = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("question")) for k, q in QUESTIONS])
-    rows = contexts(spark, sf_dir).select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model")).select("*", F.explode(asked).alias("_q")).select("*", "_q.*").drop("_q")
+    rows = contexts.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model")).select("*", F.explode(asked).alias("_q")).select("*", "_q.*").drop("_q")
     key = F.when(F.col("doc_id") % 4 == 0, F.lit("a")).otherwise(F.col("model"))
     digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("k").cast("string"), key))
     rows = rows.withColumn("h", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"))
@@ -54,8 +59,9 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified rows with the heuristics' flags."""
-    return semantics.heuristics(classified(spark, sf_dir))
+    """Classified rows with the heuristics' flags; the ten rows of a context share its normal form."""
+    rows = answered(contexts(spark, sf_dir).withColumn("normal_context", T.normalize("context")))
+    return semantics.heuristics(spans.extractive_validity(rows, normal=T.collapse), normal_context="normal_context").drop("normal_context")
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:

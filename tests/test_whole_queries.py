@@ -188,6 +188,34 @@ def test_shards_in_order_of_keys(spark):
     assert datasets.shards(spark.createDataFrame([], "k string"), "k", 4).count() == 0
 
 
+def test_words_are_counted_up_to_the_most(spark):
+    rng = random.Random(8)
+    texts = [None, "", " ", "\n\t", *["".join(rng.choices(["w", "é", "😀", " ", "\n", " ", "\x1c", " "], k=rng.randint(0, 40))) for _ in range(500)], "w " * 200_000, "w" * 200_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for low, high in ((0, 3), (1, 1), (2, 5), (4, 150)):
+        wrong = rows.where(text.words_between("t", low, high) != text.word_count("t").between(low, high))
+        assert wrong.count() == 0 and rows.where(text.words_between("t", low, high).isNull()).count() == 0
+    plan = queries.X.contexts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan
+
+
+def test_a_context_is_normalised_once(spark, sf_dir):
+    rows = queries.X.judged(spark, sf_dir)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("AS normal_context") > plan.index("Generate explode")  # below the explosion into ten rows
+    alone = semantics.heuristics(queries.X.classified(spark, sf_dir))
+    assert sorted(rows.columns) == sorted(alone.columns)
+    columns = ["context_id", "model", "k", "question_kind", "semantic_flag_v1", "semantic_score", "semantic_heuristic_flag"]
+    assert sorted(map(tuple, rows.select(columns).collect())) == sorted(map(tuple, alone.select(columns).collect()))
+
+
+def test_overlaps_are_counted(spark):
+    rng = random.Random(9)
+    pairs = [(None, "a"), ("a", None), ("", ""), ("aaaa", "aa"), ("x\\Ey\\Ez", "\\E"), ("ab", "ab"), ("😀a😀a", "😀a"), *[("".join(rng.choices("ab😀", k=rng.randint(0, 9))), "".join(rng.choices("ab😀", k=rng.randint(0, 3)))) for _ in range(500)]]
+    got = spark.createDataFrame(pairs, "h string, n string").select("h", "n", text.count_overlapping("h", "n").alias("c")).collect()
+    assert [r["c"] for r in got] == [sum((h or "").startswith(n, i) for i in range(len(h or ""))) if n else 0 for h, n in pairs]
+
+
 def test_blank_spans_and_sorted_positions(spark):
     rng = random.Random(10)
     contexts = {"a": "  😀 \n  x  y \t", "b": "   ", "c": "word", "d": ""}
