@@ -252,7 +252,7 @@ PROGRESS = r"(\d+)/(\d+)\s*\[(\d+):(\d+):(\d+)<"
 
 def marks(text: str) -> list[Column]:
     """What a log says last of its progress, null if nothing, and how often it has each marker."""
-    part = lambda g: T.last_match(text, PROGRESS, g).cast("long")
+    part = lambda g: F.when(F.contains(text, F.lit("[")), T.last_match(text, PROGRESS, g)).cast("long")  # noqa: E731, most lines tell none
     progress = F.struct(part(1).alias("processed"), part(2).alias("target"), (part(3) * 3600 + part(4) * 60 + part(5)).alias("total_seconds"))
     return [
         F.when(part(1).isNotNull(), progress).alias("progress"), T.count_hits(F.lower(T.or_empty(text)), ["fallback"]).alias("fallbacks"),
@@ -281,19 +281,31 @@ def parsed_logs(logs: DataFrame, path: str = "path", text: str = "text", model:
 def grown_logs(pieces: DataFrame, path: str = "path", piece: str = "piece", text: str = "text", model: str = "model") -> DataFrame:
     """The marks of logs that come in pieces: ``model``, ``path``, ``progress`` and the markers' counts of each log so far.
 
-    Works on a table and on a stream, whose state is a row for each log. The progress is that of the last piece, by its number, that tells
+    Works on a table; of a stream each batch's ``piece_marks`` are kept, and joined when they are read. The progress is that of the last piece, by its number, that tells
     any, in whatever order pieces come; of pieces with one number and different progress the greater counts. Pieces end at ends of lines, as no mark runs on into the next line; null
     texts are empty, a piece without a number counts for markers alone, and null models and paths are logs of their own. A piece that is given twice counts twice.
     """
-    own = pieces.select(model, path, piece, *marks(text))
-    told_at = F.when(F.col("progress").isNotNull() & F.col(piece).isNotNull(), F.struct(F.col(piece), F.col("progress")))
-    return own.groupBy(model, path).agg(F.max(told_at)["progress"].alias("progress"), *[F.sum(c).alias(c) for c in ("fallbacks", "critical_errors", "checkpoints")])
+    return joined_logs(piece_marks(pieces, path, piece, text, model), path, model)
 
 
-def latest(batches: DataFrame, *keys: str) -> DataFrame:
-    """Of rows that later batches tell anew, what the last ``batch`` says of each key; each key comes once a batch."""
-    rest = [c for c in batches.columns if c not in (*keys, "batch")]
-    return batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+#: What is known of a log by some of its pieces: the last piece that tells its progress, with what it tells, and the markers' counts.
+COUNTS = ("fallbacks", "critical_errors", "checkpoints")
+
+
+def summed_marks(rows: DataFrame, path: str, model: str) -> DataFrame:
+    return rows.groupBy(model, path).agg(F.max("told").alias("told"), *[F.sum(c).alias(c) for c in COUNTS])
+
+
+def piece_marks(pieces: DataFrame, path: str = "path", piece: str = "piece", text: str = "text", model: str = "model") -> DataFrame:
+    """What some pieces of logs tell: a row for each log, that ``joined_logs`` puts together with those of other pieces, in any order."""
+    own = pieces.select(model, path, F.col(piece).alias("_piece"), *marks(text))
+    told_at = F.when(F.col("progress").isNotNull() & F.col("_piece").isNotNull(), F.struct(F.col("_piece").alias("piece"), F.col("progress")))
+    return summed_marks(own.select(model, path, told_at.alias("told"), *COUNTS), path, model)
+
+
+def joined_logs(marked: DataFrame, path: str = "path", model: str = "model") -> DataFrame:
+    """The marks of logs by those of their pieces; sums and greatest values, so no log's pieces are held together."""
+    return summed_marks(marked, path, model).select(model, path, F.col("told.progress").alias("progress"), *COUNTS)
 
 
 def segment_summary(logs: DataFrame) -> DataFrame:

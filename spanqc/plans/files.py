@@ -138,8 +138,9 @@ def growing_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = Q.worker_logs(spark, sf_dir).select("model", "path", F.posexplode(F.split("text", "\n")).alias("piece", "text"))
     first = (F.col("piece") == 1) | (F.col("piece") == 2) & F.startswith("path", F.lit("w"))
     for some in (first, ~first):
-        lines.where(some).coalesce(2).write.mode("append").parquet(f"{root}/pieces")
-        stream = incremental.stream_of(spark, f"{root}/pieces", StructType.fromDDL("model string, path string, piece int, text string"), 4)
+        lines.where(some).write.mode("append").parquet(f"{root}/pieces")  # in all tasks
+        at_once = max(4, spark.sparkContext.defaultParallelism)  # files that keep all cores busy
+        stream = incremental.stream_of(spark, f"{root}/pieces", StructType.fromDDL("model string, path string, piece int, text string"), at_once)
         logs = incremental.follow_logs(stream, f"{root}/state", f"{root}/checkpoint")
     return reports.segment_summary(logs)
 

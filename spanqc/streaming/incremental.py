@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.reports import grown_logs, latest, told
+from ..operators.reports import joined_logs, piece_marks, told
 from ..schemas import ANSWERED, IMPOSSIBLE, QUESTIONS_PER_CONTEXT, SENTINEL
 
 
@@ -131,8 +131,10 @@ def read_batches(spark: SparkSession, path: str, checkpoint: str, schema: Struct
 def follow_logs(pieces: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """What growing logs say so far, as ``parsed_logs`` has it; call it again when more pieces have come.
 
-    Only new pieces are read. What was known of each log is held as the stream's state; each batch writes the logs it changed.
+    Only new pieces are read. Each batch writes what its own pieces tell, a row for each of their logs; what batches tell is put together
+    when it is read. So the stream has no state, which would hold a row for each log in the executors' memory.
     """
-    append_batches(grown_logs(pieces), lambda batch: batch, path, checkpoint, "update")
-    schema = "model string, path string, progress struct<processed: long, target: long, total_seconds: long>, fallbacks long, critical_errors long, checkpoints long"
-    return told(latest(read_batches(pieces.sparkSession, path, checkpoint, schema), "model", "path"), "path", "model")
+    append_batches(pieces, piece_marks, path, checkpoint)
+    number = pieces.schema["piece"].dataType.simpleString()
+    schema = f"model string, path string, told struct<piece: {number}, progress: struct<processed: long, target: long, total_seconds: long>>, fallbacks long, critical_errors long, checkpoints long"
+    return told(joined_logs(read_batches(pieces.sparkSession, path, checkpoint, schema)), "path", "model")

@@ -154,3 +154,17 @@ def test_plan_of_rows(spark):
     assert reports.plan_of(rows.limit(0), "model", "dataset", ["x"], 3).count() == 0
     with pytest.raises(Exception, match="more than 2 models"):
         reports.plan_of(rows, "model", "dataset", ["x"], 3, 2).collect()
+
+
+def test_followed_logs_have_no_state(spark, tmp_path):
+    rng = random.Random(11)
+    whole, pieces = log_rows(rng)
+    want = sorted(map(tuple, reports.parsed_logs(spark.createDataFrame(whole, "model string, path string, text string")).collect()), key=str)
+    schema = "model string, path string, piece int, text string"
+    rng.shuffle(pieces)
+    spark.createDataFrame(pieces, schema).repartition(5).write.parquet(str(tmp_path / "pieces"))  # a log's pieces come in several batches
+    stream = incremental.stream_of(spark, str(tmp_path / "pieces"), spark.createDataFrame([], schema).schema, 1)
+    logs = incremental.follow_logs(stream, str(tmp_path / "rows"), str(tmp_path / "checkpoint"))
+    assert sorted(map(tuple, logs.collect()), key=str) == want
+    assert len(list((tmp_path / "checkpoint" / "commits").glob("[0-9]*"))) > 1
+    assert not list((tmp_path / "checkpoint").glob("state/*"))
