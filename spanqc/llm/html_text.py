@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 from .common import keep_nothing, rows_with_text, stored
 from .html_lines import PLAIN, chosen, lines_of, shared_lines
 
-RECORD = "host string, path string, url string, page string, hashes array<long>, plain array<int>"
+RECORD = "host string, path string, url string, page string, hashes array<long>, own array<int>"
 
 
 class Page(NamedTuple):
-    """A page as it stands in order: its lines' hashes, and which of them stay or go as others share them."""
+    """A page as it stands in order: its lines' hashes, and which of them are of the part that its main text is taken from."""
 
     host: str
     path: str
     url: str
     page: str
     hashes: list[int]
-    plain: list[int]
+    own: list[int]
 
 
 def page_key(url: str, html: str) -> Column:
@@ -34,17 +34,17 @@ def page_key(url: str, html: str) -> Column:
 
 
 def gone_of(page: Page, before: Page | None, after: Page | None) -> list[int]:
-    """The page's unmarked lines that the page of the nearest URL shares.
+    """The page's lines that the page of the nearest URL shares, whatever their marks.
 
     That is the neighbour on the same host with the longer common beginning of the path, the one before if both are as
-    near. A page of which no line would be left is a copy of the other, and none of its lines go.
+    near. A page of whose own part no line would be left is a copy of the other, and none of that part's lines go.
     """
     near = [p for p in (before, after) if p and p.host == page.host]
-    if not near or not page.plain:
+    if not near:
         return []
     other = max(near, key=lambda p: len(commonprefix([p.path, page.path])))
-    gone = set(shared_lines(page.hashes, other.hashes)) & set(page.plain)
-    return sorted(gone) if len(gone) < len(page.plain) else []
+    gone, own = set(shared_lines(page.hashes, other.hashes)), set(page.own)
+    return sorted(gone - own if own <= gone else gone)
 
 
 def neighbours(pages: Iterable[Page]) -> Iterator[tuple[Page | None, Page, Page | None]]:
@@ -59,9 +59,9 @@ def neighbours(pages: Iterable[Page]) -> Iterator[tuple[Page | None, Page, Page
 
 
 def template_lines(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``page`` and ``gone``: of pages that share unmarked lines with the page of the nearest URL, the numbers of these lines.
+    """``page`` and ``gone``: of pages that share lines with the page of the nearest URL, the numbers of these lines.
 
-    Pages are sorted by host and path; the nearest is next to a page. Rows hold hashes of lines, not texts. The first and last pages
+    Every page is aligned, with all of its lines, marked or not. Pages are sorted by host and path; the nearest is next to a page. Rows hold hashes of lines, not texts. The first and last pages
     of each range, whose neighbours lie in others, are put in order once more: four rows at most of each range.
     """
     rest = F.regexp_extract(F.col(url).cast("string"), r"(?s)^.*?://(.*)$", 1)
@@ -71,16 +71,16 @@ def template_lines(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_nothing()
         for batch in batches:
-            hashes, plain = [], []
+            hashes, own = [], []
             for page in batch.column("html"):
                 lines = lines_of(page.as_py())
                 part = chosen(lines)
                 hashes.append([xxhash.xxh64_intdigest(line) - (1 << 63) for _, line in lines])
-                plain.append([k for k, (of, _) in enumerate(lines) if of == part == PLAIN])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("host", "path", "url", "page")], pa.array(hashes, pa.list_(pa.int64())), pa.array(plain, pa.list_(pa.int32()))], ["host", "path", "url", "page", "hashes", "plain"])
+                own.append([k for k, (of, _) in enumerate(lines) if of == part])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("host", "path", "url", "page")], pa.array(hashes, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int32()))], ["host", "path", "url", "page", "hashes", "own"])
 
     order = ["host", "path", "url", "page"]
-    known = texts.mapInArrow(parsed, RECORD).where("host <> ''").groupBy(*order).agg(F.first("hashes").alias("hashes"), F.first("plain").alias("plain"))
+    known = texts.mapInArrow(parsed, RECORD).where("host <> ''").groupBy(*order).agg(F.first("hashes").alias("hashes"), F.first("own").alias("own"))
     records = stored(known, "lines")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Page]:
@@ -97,7 +97,7 @@ def template_lines(pages: DataFrame, url: str = "url", html: str = "html") -> Da
         for n, (before, page, after) in enumerate(neighbours(read(batches))):
             out = []
             if before and after and (gone := gone_of(page, before, after)):
-                out.append(row_of(page._replace(hashes=[], plain=[]), gone, False, False))
+                out.append(row_of(page._replace(hashes=[], own=[]), gone, False, False))
             if n < 2:
                 out.append(row_of(page, [], True, n == 0))
             last = [*last[-1:], page]
@@ -131,7 +131,7 @@ def template_lines(pages: DataFrame, url: str = "url", html: str = "html") -> Da
             if asking.pop(page.page) and (gone := gone_of(page, before, after)):
                 yield pa.RecordBatch.from_pylist([{"page": page.page, "gone": gone}], pa.schema([("page", pa.string()), ("gone", pa.list_(pa.int32()))]))
 
-    fields = [*[(c, pa.string()) for c in order], ("hashes", pa.list_(pa.int64())), ("plain", pa.list_(pa.int32())), ("gone", pa.list_(pa.int32())), ("edge", pa.bool_()), ("asks", pa.bool_())]
+    fields = [*[(c, pa.string()) for c in order], ("hashes", pa.list_(pa.int64())), ("own", pa.list_(pa.int32())), ("gone", pa.list_(pa.int32())), ("edge", pa.bool_()), ("asks", pa.bool_())]
     schema = pa.schema(fields)
     ranged = records.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ranged.mapInArrow(aligned, RECORD + ", gone array<int>, edge boolean, asks boolean"), "aligned")
@@ -140,11 +140,11 @@ def template_lines(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 
 
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The main text of every page: id, columns to keep, url, text, n_chars.
+    """The main text of every page: id, columns to keep, url, text, n_chars, n_shared, n_returned.
 
     A page is a list of lines: the text of each block, in order. It is paired with the page of its host whose path has the longest
     beginning in common with its own, both lists are aligned by a longest common subsequence, and shared lines
-    go, unless the markup says that they are the article: the texts of ``article`` elements, of the ``main`` element if there
+    go (``n_shared``). Then the markup checks what is left. Shared lines come back (``n_returned``) if they are the article's: the texts of ``article`` elements, of the ``main`` element if there
     is no article, are whole, as articles of two pages may share passages or be copies. What the markup
     says is no article goes as well, shared or not: navigation, headers (but an article's own), footers, asides, forms,
     dialogs, scripts, styles, and elements whose class, id or role names an advert, notice, menu, sidebar or comments. Of pages
@@ -160,17 +160,20 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
         texts = texts.join(gone.select(F.col("page").alias("__page"), F.col("gone").alias("__gone")), "__page", "left").drop("__page")
     else:
         texts = texts.withColumn("__gone", F.lit(None).cast("array<int>")).drop("__page")
-    columns = [page_id, *keep]
+    columns, counts = [page_id, *keep], ["__size", "__shared", "__returned"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_nothing()
         for batch in batches:
-            found = []
+            found, shared, returned = [], [], []
             for page, gone_lines in zip(batch.column(name), batch.column("__gone"), strict=True):
-                lines = lines_of(page.as_py() or "")
-                part, without = chosen(lines), set(gone_lines.as_py() or ())
-                found.append(" ".join(line for k, (of, line) in enumerate(lines) if of == part and k not in without))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], batch.column("__url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*columns, "__url", "__main", "__size"])
-
-    schema = ", ".join([*[f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns], f"__url {pages.schema[url].dataType.simpleString()}", "__main string", "__size long"])
-    return texts.mapInArrow(made, schema).select(*columns, F.col("__url").alias("url"), F.col("__main").alias("text"), F.col("__size").alias("n_chars"))
+                lines, gone = lines_of(page.as_py() or ""), set(gone_lines.as_py() or ())
+                part = chosen(lines)
+                back = {k for k in gone if lines[k][0] == part != PLAIN}
+                found.append(" ".join(line for k, (of, line) in enumerate(lines) if of == part and (k not in gone or k in back)))
+                shared.append(len(gone))
+                returned.append(len(back))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], batch.column("__url"), pa.array(found, pa.string()), *[pa.array(n, pa.int64()) for n in (map(len, found), shared, returned)]], [*columns, "__url", "__main", *counts])
+
+    schema = ", ".join([*[f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns], f"__url {pages.schema[url].dataType.simpleString()}", "__main string", *[f"{c} long" for c in counts]])
+    return texts.mapInArrow(made, schema).select(*columns, F.col("__url").alias("url"), F.col("__main").alias("text"), F.col("__size").alias("n_chars"), F.col("__shared").alias("n_shared"), F.col("__returned").alias("n_returned"))

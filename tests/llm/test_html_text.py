@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanqc.llm.html_lines import ARTICLE, OTHER, PLAIN, lines_of, shared_lines
-from spanqc.llm.html_text import main_texts
+from spanqc.llm.html_text import main_texts, template_lines
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -88,6 +88,16 @@ def test_articles_that_share_lines_stay_whole(spark):
     assert texts(spark, rows) == {k: f"shared own {k}" for k in range(4)}
 
 
+def test_marked_pages_are_aligned_as_well(spark):
+    """Every page's shared lines are found; the markup checks them afterwards, gives back the article's and drops other parts that aren't shared."""
+    rows = [(k, f"http://h/{k}", f"<nav>same</nav><nav>menu {k}</nav><p>top</p><article><p>shared</p><p>own {k}</p></article>") for k in range(4)]
+    rows += [(9, "http://alone/9", rows[0][2]), (10, "http://copy/1", rows[0][2]), (11, "http://copy/2", rows[0][2])]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(r.gone for r in template_lines(frame).collect()) == [[0, 1, 2]] * 2 + [[0, 2, 3]] * 4
+    got = {r.page_id: (r.text, r.n_shared, r.n_returned) for r in main_texts(frame).collect()}
+    assert got == {k: (f"shared own {k}", 3, 1) for k in range(4)} | {9: ("shared own 0", 0, 0)} | {k: ("shared own 0", 3, 0) for k in (10, 11)}
+
+
 def test_long_pages(spark):
     page = "<p>top</p>" + "<p>same</p>" * 20_000 + "<b><i>" * 5000 + "<a \"" * 5000
     got = texts(spark, [(1, "http://h/1", page + "<p>x1"), (2, "http://h/2", page + "<p>x2")])
